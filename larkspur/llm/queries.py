@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_ids
+
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest_documents
 
@@ -34,7 +46,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+    return {"op1_language": op1_language, "op3_secrets": op3_secrets, "op6_bpe": op6_bpe, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
