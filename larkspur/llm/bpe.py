@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import with_python_columns
+
 #: Splits text before the merges (fixed value of the vocabulary's byte-level pre-tokeniser).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = 1 << 30
@@ -153,16 +154,14 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """
     shared = load(docs.sparkSession, vocabulary_path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts):
         encoder = encoder_for(vocabulary_path, lambda: shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                ids = [encoder.encode(t or "") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [encoder.decode(x) for x in ids]})
+        for text in texts:
+            ids = encoder.encode(text or "")
+            yield ids, encoder.decode(ids)
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return with_python_columns(narrow, ["text"], {"ids": "array<int>", "decoded": "string"}, make, drop=("text",))
 
 
 def digest_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,15 +171,12 @@ def digest_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """
     shared = load(docs.sparkSession, vocabulary_path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts):
         encoder = encoder_for(vocabulary_path, lambda: shared.value)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.encode(text or "")
-                listed = ",".join(map(str, ids)).encode()
-                rows.append((doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for text in texts:
+            ids = encoder.encode(text or "")
+            listed = ",".join(map(str, ids)).encode()
+            yield len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_python_columns(narrow, ["text"], {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, make, drop=("text",))

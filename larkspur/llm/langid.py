@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import with_python_columns
+
 SAMPLE_PER_LANG = 500
 BUCKETS = (256, 2048, 4096)
 DIMS = sum(BUCKETS)
@@ -169,27 +171,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(x, [r.lang for r in got])
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with lang_pred and score; columns of those names are replaced.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with lang_pred and score; columns of those names are replaced.
 
     Null, empty or letterless text, and any text under no model, gets ``und`` with score 0. Whole texts are read.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    narrow = docs.select(*keep, F.col(text_col).alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts):
         found = shared.value
-        for batch in batches:
-            pairs = []
-            for text in batch["__text"]:
-                f = features(text) if found is not None else None
-                pairs.append((UNDETERMINED, 0.0) if f is None else found.predict(f))
-            out = batch.drop(columns="__text")
-            yield out.assign(lang_pred=[p for p, _ in pairs], score=np.array([s for _, s in pairs], float))
+        for text in texts:
+            f = features(text) if found is not None else None
+            yield (UNDETERMINED, 0.0) if f is None else found.predict(f)
 
-    return narrow.mapInPandas(run, schema + ", lang_pred string, score double")
+    return with_python_columns(docs, [text_col], {"lang_pred": "string", "score": "double"}, make)
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -199,10 +194,12 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     model = fit(docs, id_col, text_col, lang_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return identify(narrow, model, "text", ["doc_id", "held_out"])
+    return identify(narrow, model).drop("text")
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose whole text is in a learned language (score of ``min_score`` at least), with their own columns."""
     model = fit(docs, id_col, text_col, lang_col)
-    return identify(docs, model, text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    narrow = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
+    return identify(narrow, model).where(known).select("row.*")

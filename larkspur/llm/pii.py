@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import with_python_columns
+
 BASE = ("email", "ip", "card", "phone")
 FOUND = ("crf_email", "crf_ip", "crf_card", "crf_phone", "crf_id")
 KINDS = BASE + FOUND
@@ -336,18 +337,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                texts = [t or "" for t in part["text"]]
-                bases = [base_spans(t) for t in texts]
-                rows = [
-                    (doc_id, *(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)))
-                    for doc_id, base, more in zip(part["doc_id"], bases, field_spans(texts, bases, field), strict=True)
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+    def make(texts):
+        texts = [t or "" for t in texts]
+        bases = [base_spans(t) for t in texts]
+        for base, more in zip(bases, field_spans(texts, bases, shared.value), strict=True):
+            yield (*(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)))
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    outputs = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string"}
+    return with_python_columns(narrow, ["text"], outputs, make, drop=("text",))

@@ -20,6 +20,27 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, line, lower_key AS key FROM (
+    SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
+    FROM (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+  )
+),
+repeated AS (SELECT key, max(doc_id) AS home FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE r.key IS NOT NULL AND r.home <> l.doc_id) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.key IS NULL OR r.home = l.doc_id), '')) AS kept_sha256
+FROM lines l LEFT JOIN repeated r ON l.key = r.key GROUP BY l.doc_id
+"""
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_spans
 
@@ -52,8 +73,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op3_secrets": op3_secrets, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_lines": OP2_SQL}

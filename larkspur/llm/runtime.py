@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +50,30 @@ def forget(df: DataFrame | None) -> None:
     sc = df.sparkSession.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+SLICE = 256
+
+
+def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], make: Callable[..., Iterable[tuple]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``drop``, plus ``outputs`` (name -> type) computed in Arrow batches.
+
+    ``make`` gets one list for each of ``inputs`` (at most ``SLICE`` rows long) and gives one tuple a row. The other
+    columns pass through as Arrow data, untouched (nulls and 64-bit integers included).
+    """
+    keep = [c for c in df.columns if c not in drop and c not in outputs]
+    types = [ARROW[t] for t in outputs.values()]
+    schema = T.StructType([df.schema[c] for c in keep])
+    for name, kind in zip(outputs, types, strict=True):
+        schema = schema.add(name, from_arrow_type(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = list(make(*(part.column(c).to_pylist() for c in inputs)))
+                made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, *outputs])
+
+    return df.mapInArrow(run, schema)

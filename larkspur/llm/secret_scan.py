@@ -9,12 +9,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import with_python_columns
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -129,14 +129,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                base = base_spans(text or "")
-                every = sorted(base + guessed_spans(text or "", base, min_guesses))
-                rows.append((doc_id, *(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def make(texts):
+        for text in texts:
+            base = base_spans(text or "")
+            every = sorted(base + guessed_spans(text or "", base, min_guesses))
+            yield (*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    outputs = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
+    return with_python_columns(narrow, ["text"], outputs, make, drop=("text",))
