@@ -63,6 +63,12 @@ FROM q
 """
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest_documents
 
@@ -89,7 +95,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
