@@ -94,8 +94,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
