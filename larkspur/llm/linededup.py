@@ -27,24 +27,26 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 SEGMENT_BITS = 1 << 16
 PROBES = 3
-BITS_PER_LINE = 12
+BYTES_PER_BIT = 8  # of text: a line of 100 bytes gets about 12 bits
 MIN_SEGMENTS = 64
 MAX_SEGMENTS = 8192  # 2**29 bits, 64 MB: the most that is ever broadcast
-STRIP = " \t\n\x0b\x0c\r"
-LOWER = {c: c + 32 for c in range(65, 91)}
+STRIP = b" \t\n\x0b\x0c\r"
 
 
-def line_key(line: str) -> str | None:
-    """The key of a line, or None where it is too short to count."""
-    line = line.strip(STRIP)
-    return line.translate(LOWER) if len(line) >= MIN_CHARS else None
+def line_key(line: bytes) -> bytes | None:
+    """The key of a line (UTF-8, A-Z already in lower case), or None where it has under ``MIN_CHARS`` code points."""
+    key = line.strip(STRIP)
+    if len(key) < MIN_CHARS or (len(key) < 4 * MIN_CHARS and len(key.decode("utf-8", "surrogatepass")) < MIN_CHARS):
+        return None
+    return key
 
 
-def keys_of(text: str) -> list[str | None]:
-    return [line_key(line) for line in text.split("\n")]
+def keys_of(text: str) -> list[bytes | None]:
+    """Each line's key; bytes.lower changes A-Z only."""
+    return [line_key(line) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def hashes(keys: list[str]) -> np.ndarray:
+def hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
@@ -143,16 +145,16 @@ def build_filter(texts: DataFrame, segments: int) -> np.ndarray:
     return twice
 
 
-def digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode(), digest_size=16).digest()
+def digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
 def confirmed_drops(rows: DataFrame, min_docs: int) -> DataFrame:
     """doc_id and drop, the digests of the keys whose lines it loses; ``rows`` has doc_id and text."""
     spark = rows.sparkSession
     texts = rows.select("text")
-    lines = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    segments = int(min(MAX_SEGMENTS, max(MIN_SEGMENTS, lines * BITS_PER_LINE // SEGMENT_BITS)))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = int(min(MAX_SEGMENTS, max(MIN_SEGMENTS, size // BYTES_PER_BIT // SEGMENT_BITS)))
     shared = spark.sparkContext.broadcast(build_filter(texts, segments))
 
     def suspects(texts):
@@ -164,19 +166,20 @@ def confirmed_drops(rows: DataFrame, min_docs: int) -> DataFrame:
 
     found = with_python_columns(rows, ["text"], {"keys": "array<binary>"}, suspects, drop=("text",))
     pairs = stored(found.select("doc_id", F.explode("keys").alias("key")), "line-suspects")
-    repeated = pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("home")).where(F.col("n") >= min_docs)
+    # stored, so that the join below has nothing but an exchange under either side and Spark can split a hot key
+    repeated = stored(pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("home")).where(F.col("n") >= min_docs).select("key", "home"), "repeated-lines")
     lost = pairs.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("home")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` as the struct ``row``, with kept (text), n_lines and n_dropped.
+    """All columns of ``docs`` but the text as the struct ``row``, with kept (the new text), n_lines and n_dropped.
 
     Null or empty text is one empty line and stays empty. Documents are told apart by id: repeated rows of an id count
     once and lose the same lines; rows without an id never count and lose every confirmed line. A line that repeats
     within one document only stays. An empty table gives no rows; other columns pass through under any name.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     drops = confirmed_drops(rows.select("doc_id", "text"), min_docs).select(F.col("doc_id").alias("drop_id"), "drop")
     joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("row", "text", "drop")
 
@@ -186,7 +189,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield text, text.count("\n") + 1, 0
                 continue
             gone, lines = set(drop), text.split("\n")
-            stay = [x for x in lines if (k := line_key(x)) is None or digest(k) not in gone]
+            stay = [x for x, k in zip(lines, keys_of(text), strict=True) if k is None or digest(k) not in gone]
             yield "\n".join(stay), len(lines), len(lines) - len(stay)
 
     return with_python_columns(joined, ["text", "drop"], {"kept": "string", "n_lines": "long", "n_dropped": "long"}, cut, drop=("text", "drop"))
