@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,19 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+MODULES = ("search",)
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
