@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL in DuckDB: python -m tests.oracle [sf_dir] [name...]"""
+"""Compare registered queries with their SQL in DuckDB: python -m tests.oracle [sf_dir] [:module | name...]"""
 
 import math
 import os
@@ -53,7 +53,8 @@ if __name__ == "__main__":
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     q, s = e.queries(), e.oracle_sql()
-    for name in sys.argv[2:] or [n for n in q if n in s]:
+    module = sys.argv[2][1:] if len(sys.argv) == 3 and sys.argv[2][0] == ":" else None
+    for name in [n for n in q if n in s and q[n].__module__.endswith(module)] if module else sys.argv[2:] or [n for n in q if n in s]:
         t = time.time()
         try:
             d = differences(spark, sf, q[name], s[name])
