@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in Catalyst expressions only.
 
-Each fixed mask picks ``WEIGHT`` of ``SPAN`` neighbouring tokens and ignores the others, so a window with replaced words
+Each fixed mask picks some of ``SPAN`` neighbouring tokens and ignores the others, so a window with replaced words
 at ignored places still gives the same hash. Hashes of all windows of all documents are joined with those of the
 benchmark; each hit fixes an alignment (document position minus item position). Along the whole alignment the tokens
 are compared place by place; an item is found when, in some stretch of ``WINDOW`` of its tokens (all of them if it has
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .quality import let
 from .runtime import stored
 
-#: Fixed masks: 1 picks a token, 0 ignores it.
-MASKS = ("1110101011", "1101100111", "1011011101", "1100111011")
+#: Fixed masks, by the places at which each picks a pair of neighbouring tokens (pair hashes are shared by all masks).
+PAIRS = ((0, 3, 8), (0, 4, 8), (0, 5, 8), (0, 2, 8))
 SPAN = 10
+MASKS = tuple("".join("1" if i in picked or i - 1 in picked else "0" for i in range(SPAN)) for picked in PAIRS)
 WINDOW = 16
 PERCENT = 80
 #: Benchmark hashes (items) up to this number of rows are broadcast; more are joined by a shuffle.
@@ -30,22 +31,29 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(words: Column) -> Column:
-    """array of (seed, at): the hash of each mask at each window of ``words``; empty below ``SPAN`` words."""
+    """array of hashes, those of all masks at the first window of ``words``, then at the next; empty below ``SPAN`` words."""
 
-    def windows(h: Column) -> Column:
-        n = F.greatest(F.size(h) - (SPAN - 1), F.lit(0))
-        beside = F.arrays_zip(*(F.slice(h, k + 1, n) for k in range(SPAN)))
+    def windows(w: Column) -> Column:
+        n = F.greatest(F.size(w) - (SPAN - 1), F.lit(0))
+        pairs = F.transform(F.arrays_zip(F.slice(w, 1, F.size(w)), F.slice(w, 2, F.size(w))), lambda x: F.xxhash64(x["0"], x["1"]))
+        return let(pairs, lambda p: beside(p, n))
 
-        def hashed(x: Column, at: Column) -> Column:
-            each = []
-            for number, mask in enumerate(MASKS):
-                picked = [x[str(k)] for k in range(SPAN) if mask[k] == "1"]
-                each.append(F.struct(F.xxhash64(F.lit(number), *picked).alias("seed"), at.alias("at")))
-            return F.array(*each)
+    def beside(p: Column, n: Column) -> Column:
+        places = sorted({at for picked in PAIRS for at in picked})
+        fields = {at: str(k) for k, at in enumerate(places)}
 
-        return F.flatten(F.transform(beside, hashed))
+        def hashed(x: Column) -> Column:
+            return F.array(*(F.xxhash64(F.lit(number), *(x[fields[at]] for at in picked)) for number, picked in enumerate(PAIRS)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+        return F.flatten(F.transform(F.arrays_zip(*(F.slice(p, at + 1, n) for at in places)), hashed))
+
+    return let(words, windows)
+
+
+def exploded(df: DataFrame, columns: list[str], words: Column) -> DataFrame:
+    """``columns`` with a row for each seed of ``words`` and the window at which it lies."""
+    rows = df.select(*columns, F.posexplode(seeds(words)).alias("place", "seed"))
+    return rows.select(*columns, "seed", F.floor(F.col("place") / len(MASKS)).cast("int").alias("at"))
 
 
 def overlap(words: Column, item: Column, shift: Column) -> Column:
@@ -72,12 +80,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
     items = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") >= SPAN).distinct(), "items")
-    marks = stored(items.select("item_id", F.xxhash64("item").alias("item_hash"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "item_hash", "s.seed", F.col("s.at").alias("item_at")).distinct(), "benchmark-seeds")
-    hits = (
-        docs.select("doc_id", "text_hash", F.explode(seeds(F.col("words"))).alias("s")).select("doc_id", "text_hash", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
-        .join(bounded(marks, marks.count()), "seed")
-        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    )
+    marks = exploded(items.withColumn("item_hash", F.xxhash64("item")), ["item_id", "item_hash"], F.col("item"))
+    marks = stored(marks.withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
+    hits = stored(
+        exploded(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks, marks.count()), "seed")
+        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
+    ids = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     known = items.select(F.col("item_id").alias("known_id"), F.xxhash64("item").alias("known_hash"), "item")
     laid = (
         hits.join(bounded(known, items.count()), F.col("item_id").eqNullSafe(F.col("known_id")) & (F.col("item_hash") == F.col("known_hash")))
@@ -85,7 +94,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         .select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
     )
     scored = (
-        docs.join(laid, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
+        docs.join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
         .select("doc_id", "text_hash", "words", "hits")
         .select("doc_id", "text_hash", F.explode(let(F.col("words"), lambda w: F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), overlap(w, h["item"], h["shift"]).alias("overlap"))))).alias("o"))
         .select("doc_id", "text_hash", "o.item_id", "o.overlap")

@@ -85,7 +85,8 @@ def test_edges(spark):
 
 
 def test_masks():
-    assert all(len(m) == decontam.SPAN and m.count("1") == 7 for m in decontam.MASKS) and len(set(decontam.MASKS)) == 4
+    assert all(len(m) == decontam.SPAN and m.count("1") == 6 for m in decontam.MASKS) and len(set(decontam.MASKS)) == 4
+    assert [[i for at in picked for i in (at, at + 1)] for picked in decontam.PAIRS] == [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
 
 
 def test_the_tables_whole_items(spark):
