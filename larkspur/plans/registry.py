@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-MODULES = ("search", "relational")
+MODULES = ("search", "relational", "business", "textual")
 
 
 def load() -> None:
