@@ -144,7 +144,7 @@ def bootstrap(df: DataFrame, value: Column, rounds: int, seed: int) -> DataFrame
     for k in reversed(range(len(steps))):
         weight = F.when(at < steps[k], k).otherwise(weight)
     rows = df.withColumn("__v", value).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("__w", weight)
-    means = rows.groupBy("__round").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("m"))
+    means = rows.groupBy("__round").agg((F.sum(F.col("__v") * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0))).alias("m"))
     return means.agg(F.round(F.percentile("m", F.lit(0.05)), 4).alias("low"), F.round(F.avg("m"), 4).alias("mean"), F.round(F.percentile("m", F.lit(0.95)), 4).alias("high"))
 
 
