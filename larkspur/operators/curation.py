@@ -81,9 +81,12 @@ def chat_audit(turns: DataFrame, conversation: str, turn: str, role: str, text:
 
 def repeated_ngrams(words: Column, n: int) -> Column:
     """How many n-grams of ``words`` are not the first of their kind."""
-    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    grams = F.transform(F.arrays_zip(*(F.slice(words, i + 1, size) for i in range(n))), lambda x: F.concat_ws("\u0001", *(x[str(i)] for i in range(n))))
-    return F.size(grams) - F.size(F.array_distinct(grams))
+    def count(w: Column) -> Column:
+        size = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        grams = F.transform(F.arrays_zip(*(F.slice(w, i + 1, size) for i in range(n))), lambda x: F.xxhash64(*(x[str(i)] for i in range(n))))
+        return F.transform(F.array(grams), lambda g: F.size(g) - F.size(F.array_distinct(g)))[0]
+
+    return F.transform(F.array(words), count)[0]  # the words are computed once, whatever is made of them
 
 
 def windows_of(words: Column, size: int, overlap: int) -> Column:
