@@ -87,6 +87,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM d),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2))),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY 1),
+l AS (SELECT doc_id, host, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+  len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS words FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+lw AS (SELECT * FROM l WHERE words > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY 1),
+hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
+boiler AS (SELECT k.host, k.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM lw GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 20) k JOIN hosts ON hosts.host = k.host WHERE k.n > hosts.n * 0.01),
+lost AS (SELECT lw.doc_id, sum(words) AS n FROM lw JOIN boiler b ON b.host = lw.host AND b.key = lw.key GROUP BY 1),
+q AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
+  FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.3 * n_words) AS kept FROM q
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -100,9 +119,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def seed_sql(source: str, ids: str) -> str:
+    """All (mask, picked tokens, place) of the token lists of ``source``."""
+    from .decontam import MASKS, SPAN
+
+    picks = ", ".join("'" + str(n) + " ' || " + " || ' ' || ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") for n, mask in enumerate(MASKS))
+    return f"SELECT {ids}, i, unnest([{picks}]) AS seed FROM (SELECT {ids}, w, unnest(generate_series(1, len(w) - {SPAN - 1})) AS i FROM {source} WHERE len(w) >= {SPAN})"
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS ({seed_sql("d", "doc_id")}),
+bs AS ({seed_sql("b", "item_id")}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.seed = bs.seed),
+places AS (SELECT h.doc_id, h.item_id, h.shift, k, len(b.w) AS n, CASE WHEN k + shift >= 1 AND k + shift <= len(d.w) AND d.w[k + shift] = b.w[k] THEN 1 ELSE 0 END AS same
+  FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id, unnest(generate_series(1, len(b.w))) AS u(k)),
+runs AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS s FROM places),
+best AS (SELECT doc_id, item_id, max(CAST(s AS DOUBLE) / least(n, 16)) AS overlap FROM runs WHERE k <= greatest(n - 15, 1) GROUP BY 1, 2),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(overlap) AS overlap FROM best WHERE overlap * 100 >= 80 GROUP BY 1)
+SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(overlap, 0.0) AS overlap FROM d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL, "op8_quality": OP8_SQL, "op10_decontamination": OP10_SQL}
