@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -46,7 +47,7 @@ def number(text: str, thousands: bool = False) -> float:
 
 
 def period_of(word: str) -> str | None:
-    found = [(len(stem), name) for name, stems in STEMS.items() for stem in stems.split() if word.startswith(stem) and (len(stem) > 2 or word == stem or len(word) <= len(stem) + 2)]
+    found = [(len(stem), name) for name, stems in STEMS.items() for stem in stems.split() if word.startswith(stem) and (len(stem) > 2 or word in (stem, stem + "s"))]
     return max(found)[1] if found else None
 
 
@@ -155,3 +156,48 @@ def name_similarity(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def similar_names(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else name_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def deep_value(text: str | None, key: str) -> str | None:
+    """A key's value in JSON: at the top, then whatever its case, then in nested objects, depth first."""
+    def search(node):
+        if not isinstance(node, dict):
+            return None
+        if node.get(key) not in (None, "", [], {}):
+            return node[key]
+        for k, v in node.items():
+            if k.lower() == key.lower() and v not in (None, "", [], {}):
+                return v
+        for v in node.values():
+            found = search(v)
+            if found is not None:
+                return found
+        return None
+
+    try:
+        found = search(json.loads(text)) if text else None
+    except json.JSONDecodeError:
+        return None
+    return found if found is None or isinstance(found, str) else json.dumps(found, ensure_ascii=False)
+
+
+def deep_key(key: str):
+    """A column function: the value of ``key`` anywhere in a JSON column."""
+    return F.pandas_udf(lambda s: s.map(lambda t: deep_value(t, key)), T.StringType())
+
+
+def merged_sentences(text: str | None, overlap: float = 0.5) -> str | None:
+    """Sentences that share ``overlap`` of their words or more with an earlier one are left out."""
+    if text is None:
+        return None
+    kept: list[tuple[str, set]] = []
+    for sentence in re.split(r"(?<=[.!?])\s+", text.strip()):
+        words = set(re.findall(r"\w+", sentence.lower()))
+        if words and not any(len(words & w) >= overlap * min(len(words), len(w)) for _, w in kept):
+            kept.append((sentence, words))
+    return " ".join(s for s, _ in kept)
+
+
+@F.pandas_udf(T.StringType())
+def without_similar_sentences(text: pd.Series) -> pd.Series:
+    return text.map(merged_sentences)

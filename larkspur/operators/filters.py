@@ -39,6 +39,11 @@ def list_has_ci(column: str | Column, value: str) -> Column:
     return F.exists(column, lambda x: F.lower(x) == F.lower(F.lit(value)))
 
 
+def json_list_has_ci(column: str | Column, value: str) -> Column:
+    """Membership in a JSON list of strings."""
+    return F.coalesce(list_has_ci(F.from_json(column, "array<string>"), value), F.lit(False))
+
+
 def list_matching(column: str | Column, text: str) -> Column:
     """The elements that contain ``text``, case-insensitively."""
     return F.filter(column, lambda x: F.contains(F.lower(x), F.lower(F.lit(text))))
