@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored, with_python_columns
+from .runtime import small_batches, stored, with_python_columns
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -137,6 +137,7 @@ def build_filter(texts: DataFrame, segments: int) -> np.ndarray:
             if twice.any():
                 yield pd.DataFrame([(segment, pack(twice))], columns=["segment", "twice"])
 
+    small_batches(texts.sparkSession)
     parts = texts.mapInPandas(build, "segment int, once binary, twice binary")
     merged = parts.repartition("segment").mapInPandas(merge, "segment int, twice binary")
     twice, size = np.zeros(segments * SEGMENT_BITS // 8, np.uint8), SEGMENT_BITS // 8

@@ -54,6 +54,14 @@ def forget(df: DataFrame | None) -> None:
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 SLICE = 256
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to ``BATCH_ROWS`` rows: rows here hold whole texts or sets, and both sides buffer a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], make: Callable[..., Iterable[tuple]], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -62,6 +70,7 @@ def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str
     ``make`` gets one list for each of ``inputs`` (at most ``SLICE`` rows long) and gives one tuple a row. The other
     columns pass through as Arrow data, untouched (nulls and 64-bit integers included).
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in drop and c not in outputs]
     types = [ARROW[t] for t in outputs.values()]
     schema = T.StructType([df.schema[c] for c in keep])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import new_folder, stored
+from .runtime import new_folder, small_batches, stored
 
 WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdxj"
@@ -273,6 +273,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             paths.append(writer.path)
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
 
+    small_batches(rows.sparkSession)
     return stored(rows.mapInArrow(run, "path string"), "archives")
 
 
