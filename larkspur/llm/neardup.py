@@ -5,10 +5,12 @@
    smallest id goes on.
 2. Bands that two or more representatives share are buckets. Every member is paired with the bucket's smallest id only,
    so a bucket of any size gives a linear number of pairs. Pairs pass the signature test, then the test on full sets.
-3. Components of these links are found by alternating large-star and small-star. In a bucket that still holds several
-   components, the members outside its largest one are paired with all members of other components. So each pair of a
-   bucket has been tested or lies in one component, and no link between components is lost.
-4. Components again, over both rounds' links.
+3. Components of these links are found by alternating large-star and small-star. In buckets that still hold several
+   components, members that can have no link there go (an exact bound by the shingles that no other member document
+   holds), the others are paired with the bucket's most central member, and components are found again.
+4. What is left in buckets of several components is pruned again; members outside a bucket's largest component are
+   paired with the members of other components, where the bound allows a link. So each pair of a bucket has been tested,
+   is ruled out or lies in one component, and no link between components is lost.
 
 Bands are chosen so that a pair at the threshold shares none with a probability of at most ``MISS``.
 """
@@ -32,6 +34,8 @@ MAX_MINIMA = 280
 SLACK = 0.12  # over five standard deviations of the signature's estimate
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 128
+#: Ids of documents in buckets are broadcast up to this number of rows (about 100 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def band_plan(percent: int) -> tuple[int, int]:
@@ -152,8 +156,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sizes, signatures and then full shingle sets pass; a stored table src, dst."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, hashes): the sorted shingle hashes of the documents of ``ids`` (one row an id), as bytes."""
+    def hashes(texts):
+        return ((shingles(words_of(t)).astype("<u8").tobytes(),) for t in texts)
+
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return with_python_columns(docs.join(few, "doc_id", "left_semi"), ["text"], {"hashes": "binary"}, hashes, drop=("text",))
+
+
+def similar(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sizes and signatures allow a link."""
     def side(name):
         return prints.select(F.col("doc_id").alias(name), F.col("n_shingles").alias("n_" + name), F.col("signature").alias("s_" + name))
 
@@ -161,22 +174,49 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, percent: int)
         return ((similar_signatures(x, y, percent),) for x, y in zip(sa, sb, strict=True))
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "s_a", "s_b")
-    near = stored(with_python_columns(near, ["s_a", "s_b"], {"close": "boolean"}, close, drop=("s_a", "s_b")).where("close").select("a", "b").distinct(), "near-pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    return stored(with_python_columns(near, ["s_a", "s_b"], {"close": "boolean"}, close, drop=("s_a", "s_b")).where("close").select("a", "b").distinct(), "near-pairs")
 
-    def hashes(texts):
-        return ((shingles(words_of(t)).astype("<u8").tobytes(),) for t in texts)
-
-    sets = stored(with_python_columns(docs.join(wanted, "doc_id", "left_semi"), ["text"], {"hashes": "binary"}, hashes, drop=("text",)), "shingle-sets")
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full shingle sets are linked, as a stored table src, dst."""
     def confirm(ha, hb):
         return ((linked(x, y, percent),) for x, y in zip(ha, hb, strict=True))
 
-    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h_b")), "b")
-    found = stored(with_python_columns(both, ["h_a", "h_b"], {"ok": "boolean"}, confirm, drop=("h_a", "h_b")).where("ok").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct(), "links")
-    forget(sets)
-    forget(near)
-    return found
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h_b")), "b")
+    return stored(with_python_columns(both, ["h_a", "h_b"], {"ok": "boolean"}, confirm, drop=("h_a", "h_b")).where("ok").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct(), "links")
+
+
+def placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``buckets`` with the root of each member's component."""
+    return buckets.drop("first").join(roots.select(F.col("src").alias("doc_id"), F.col("dst").alias("found")), "doc_id", "left").withColumn("root", F.coalesce("found", "doc_id")).drop("found")
+
+
+def several(members: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold more than one component."""
+    roots = stored(members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "several")
+    return members.join(roots, "bucket")
+
+
+def shingle_rows(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, shingle) of the documents of ``members``."""
+    def unpacked(hashes):
+        return ((np.frombuffer(h, "<i8").tolist(),) for h in hashes)
+
+    wanted = sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    return with_python_columns(wanted, ["hashes"], {"own": "array<long>"}, unpacked, drop=("hashes",)).select("doc_id", F.explode("own").alias("shingle")).distinct()
+
+
+def prune(members: DataFrame, shingle: DataFrame, percent: int) -> DataFrame:
+    """``members`` (bucket, doc_id, root, n) that can still have a link in their bucket, with c.
+
+    c is the number of a document's shingles that another member document holds too; it bounds every intersection. So a
+    partner y needs n(y) <= c * (100 + percent) / percent - n, and a document whose bucket has none so small has no link.
+    """
+    lone = shingle.join(members.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("held")).where("held = 1")
+    private = stored(lone.groupBy("doc_id").agg(F.count("*").alias("private")), "private-shingles")
+    bounded = members.join(private, "doc_id", "left").withColumn("c", F.col("n") - F.coalesce("private", F.lit(0))).drop("private")
+    least = stored(members.groupBy("bucket").agg(F.min("n").alias("least")), "least-sizes")
+    return several(bounded.join(least, "bucket").where(F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).drop("least"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -197,33 +237,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = every.where(F.col("seq").isNotNull() & F.col("doc_id").isNotNull())
 
     # classes of equal word sequences
-    classes = prints.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("seq", "rep")
+    classes = stored(prints.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("seq", "rep"), "classes")
     copies = stored(prints.select("doc_id", "seq").join(classes, "seq").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     own_copy = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     reps = prints.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     # buckets with two representatives or more
     rows = reps.select("doc_id", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "first")
+    shared = stored(rows.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("bucket", "first"), "shared-buckets")
     buckets = stored(rows.join(shared, "bucket").select("bucket", "doc_id", "first").distinct(), "buckets")
 
     # first round: every member with its bucket's smallest id
     tried = stored(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = verified(tried, prints, docs, percent)
+    sets = stored(shingle_sets(docs, stored(buckets.select("doc_id").distinct(), "bucket-members")), "shingle-sets")
+    links = verified(similar(tried, prints, percent), sets, percent)
     roots = components(links)
 
-    # second round: what lies outside a bucket's largest component, with all of its other components
-    placed = stored(
-        buckets.select("bucket", "doc_id").join(roots.select(F.col("src").alias("doc_id"), F.col("dst").alias("root")), "doc_id", "left")
-        .select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = stored(placed.join(mixed, "bucket"), "mixed-buckets")
-    left = mixed.where("root <> main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-    right = mixed.select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), "main")
-    crossed = left.join(right, "bucket").where((F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))))
-    pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(pairs, prints, docs, percent)
+    # buckets that still hold several components: prune, link by central members, prune again, then pair the rest
+    sizes = prints.select("doc_id", F.col("n_shingles").alias("n")).distinct()
+    mixed = stored(several(placed(buckets, roots).join(sizes, "doc_id")), "mixed-buckets")
+    members = stored(shingle_rows(sets, mixed), "member-shingles")
+    mixed = stored(prune(mixed, members, percent), "pruned-buckets")
+    central = stored(mixed.groupBy("bucket").agg(F.min(F.struct(F.col("n") - F.col("c"), F.col("doc_id")))["doc_id"].alias("centre")), "centres")
+    spokes = mixed.join(central, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    more = verified(similar(spokes.distinct().join(tried, ["a", "b"], "left_anti"), prints, percent), sets, percent)
+    if not more.isEmpty():
+        roots = components(roots.union(more))
+        mixed = several(placed(mixed.drop("root", "c"), roots))
+    mixed = stored(prune(mixed.drop("c"), members, percent), "pruned-buckets")
+    largest = mixed.groupBy("bucket", "root").agg(F.count("*").alias("held")).groupBy("bucket").agg(F.max(F.struct("held", "root"))["root"].alias("main"))
+    mixed = stored(mixed.join(largest, "bucket").join(prints.select("doc_id", "buckets").distinct(), "doc_id"), "mixed-buckets")
+    left = mixed.where("root <> main").select("bucket", *(F.col(k).alias("x_" + k) for k in ("doc_id", "root", "n", "c", "buckets")))
+    right = mixed.select("bucket", "main", *(F.col(k).alias("y_" + k) for k in ("doc_id", "root", "n", "c", "buckets")))
+    possible = F.least("x_c", "y_c") * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
+    # a pair comes out of the least bucket that it shares, once
+    once = ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & (F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("x.bucket"))
+    crossed = left.alias("x").join(right.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_root") != F.col("y_root")) & possible & once)
+    pairs = crossed.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # the bound has sorted these out better than signatures could: what is left has a like of about the threshold
+    more = verified(stored(pairs, "crossed-pairs"), sets, percent)
     if not more.isEmpty():
         roots = components(roots.union(more))
     placed_copies = every.select("doc_id", "n_shingles").join(own_copy, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
