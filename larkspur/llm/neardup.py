@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & (F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("x.bucket"))
     crossed = left.alias("x").join(right.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_root") != F.col("y_root")) & possible & once)
     pairs = crossed.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    # the bound has sorted these out better than signatures could: what is left has a like of about the threshold
+    # the bound has sorted these out better than signatures could (what is left is about as like as the threshold), so
+    # they go to the exact check at once
     more = verified(stored(pairs, "crossed-pairs"), sets, percent)
     if not more.isEmpty():
         roots = components(roots.union(more))
