@@ -173,3 +173,12 @@ def fuzzy_titles(df: DataFrame, known: DataFrame, id_column: str, title: str, pe
     pairs = prefixes(left, id_column).join(prefixes(right, "known_title"), "w").select(id_column, "known_title").distinct()
     scored = pairs.join(left.withColumnRenamed("t", "a"), id_column).join(right.withColumnRenamed("t", "b"), "known_title")
     return scored.withColumn("jaccard", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 4)).where(F.col("jaccard") * 100 >= percent).select(id_column, "known_title", "jaccard")
+
+
+def soft_match(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Micro precision, recall and f1 of lists, where two entries agree if one contains the other (lower case)."""
+    agree = lambda x, y: F.contains(F.lower(x), F.lower(y)) | F.contains(F.lower(y), F.lower(x))
+    hits = lambda a, b: F.size(F.filter(F.col(a), lambda x: F.exists(F.col(b), lambda y: agree(x, y))))
+    sums = df.agg(F.sum(hits(guess, truth)).alias("right"), F.sum(F.size(guess)).alias("given"), F.sum(hits(truth, guess)).alias("found"), F.sum(F.size(truth)).alias("wanted"))
+    p, r = F.col("right") / F.nullif("given", F.lit(0)), F.col("found") / F.nullif("wanted", F.lit(0))
+    return sums.select(F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 4).alias("f1"))

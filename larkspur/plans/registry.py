@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-MODULES = ("search", "relational", "business", "textual", "curating", "changing", "matching", "streams")
+MODULES = ("search", "relational", "business", "textual", "curating", "changing", "matching", "reports", "streams")
 
 
 def load() -> None:
