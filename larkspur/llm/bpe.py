@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array per short word.
 
-A word is held as its part boundaries and, beside each, the rank of merging the part with the next one; the encoder
-scans that array for the minimum, deletes one boundary and refreshes the two neighbouring ranks. Words over
-``LONG_WORD`` bytes use the same merges through a heap over linked parts, so that a very long word costs n log n.
+A word is held as its parts, a token id between each two boundaries, and beside each inner boundary the rank of merging
+across it; the encoder scans the ranks for the minimum, deletes that boundary and refreshes the two neighbouring ranks.
+Words over ``LONG_WORD`` bytes use the same merges through a heap over linked parts, so that a very long word costs
+n log n.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from .runtime import with_python_columns
 #: Splits text before the merges (fixed value of the vocabulary's byte-level pre-tokeniser).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = 1 << 30
+SHIFT = 20
 LONG_WORD = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,94 +45,107 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.ids = {raw(t): i for t, i in data["model"]["vocab"].items() if t not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): n for n, (a, b) in reversed(list(enumerate(merges)))}
+        self.byte_ids = [self.ids[bytes((b,))] for b in range(256)]
+        #: rank of each pair of ids (packed into one number), and the id that each rank makes
+        self.ranks = {self.ids[raw(a)] << SHIFT | self.ids[raw(b)]: n for n, (a, b) in reversed(list(enumerate(merges)))}
+        self.made = [self.ids[raw(a) + raw(b)] for a, b in merges]
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
 
 
-def merge_short(word: bytes, ranks: dict) -> list[bytes]:
-    """Parts of ``word`` after all merges, by repeated minimum scans of the rank array."""
-    bounds = list(range(len(word) + 1))
-    rank = [ranks.get((word[i : i + 1], word[i + 1 : i + 2]), NO_RANK) for i in range(len(word) - 1)]
+def merge_short(word: bytes, v: Vocabulary) -> list[int]:
+    """Ids of ``word`` after all merges, by repeated minimum scans of the rank array."""
+    ids, ranks, made = [v.byte_ids[b] for b in word], v.ranks.get, v.made
+    rank = [ranks(a << SHIFT | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
     while rank:
         least = min(rank)
         if least == NO_RANK:
             break
         i = rank.index(least)
-        del bounds[i + 1]
-        del rank[i]
-        part = word[bounds[i] : bounds[i + 1]]
+        ids[i] = made[least]
+        del ids[i + 1], rank[i]
         if i < len(rank):
-            rank[i] = ranks.get((part, word[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
+            rank[i] = ranks(ids[i] << SHIFT | ids[i + 1], NO_RANK)
         if i:
-            rank[i - 1] = ranks.get((word[bounds[i - 1] : bounds[i]], part), NO_RANK)
-    return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            rank[i - 1] = ranks(ids[i - 1] << SHIFT | ids[i], NO_RANK)
+    return ids
 
 
-def merge_long(word: bytes, ranks: dict) -> list[bytes]:
-    """The same merges (least rank first, leftmost on ties) with a heap, for words of any length."""
+def merge_long(word: bytes, v: Vocabulary) -> list[int]:
+    """The same merges (least rank first, leftmost on ties) with a heap over linked parts, for words of any length."""
     n = len(word)
-    end, prev, alive = [i + 1 for i in range(n)], [i - 1 for i in range(n)], [True] * n
+    ids, after, before = [v.byte_ids[b] for b in word], list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int]] = []
 
     def offer(i: int) -> None:
-        j = end[i]
-        if j < n and (r := ranks.get((word[i:j], word[j : end[j]]))) is not None:
-            heapq.heappush(heap, (r, i, j, end[j]))
+        j = after[i]
+        if j < n and (r := v.ranks.get(ids[i] << SHIFT | ids[j])) is not None:
+            heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
     for i in range(n - 1):
         offer(i)
     while heap:
-        _, i, j, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] != j or j >= n or not alive[j] or end[j] != stop:
+        r, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != left or j >= n or ids[j] != right:
             continue
-        end[i], alive[j] = stop, False
-        if stop < n:
-            prev[stop] = i
+        ids[i], ids[j], after[i] = v.made[r], -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
         offer(i)
-        if prev[i] >= 0:
-            offer(prev[i])
-    return [word[i : end[i]] for i in range(n) if alive[i]]
+        if before[i] >= 0:
+            offer(before[i])
+    return [x for x in ids if x >= 0]
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of up to ``CACHE_WORDS`` words (a full cache is emptied)."""
+    """Encodes and decodes texts; keeps the ids (as decimal text) of words met lately.
+
+    New words go to the young half; when it holds ``CACHE_WORDS`` it becomes the old half, and the old one is dropped.
+    Words found in the old half move to the young one, so frequent words stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words = regex.compile(PATTERN)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        found = self.v.ids.get(raw) if len(raw) == 1 else None
-        if found is not None:
-            out: tuple[int, ...] = (found,)
-        else:
-            parts = (merge_short if len(raw) <= LONG_WORD else merge_long)(raw, self.v.ranks)
-            out = tuple(self.v.ids[p] for p in parts)
+        self.decimal = {str(i): t for i, t in vocabulary.bytes.items()}
+        self.cache: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+
+    def word(self, word: str) -> str:
+        """The ids of a word that the young half does not hold."""
+        out = self.old.get(word)
+        if out is None:
+            raw = word.encode()
+            out = ",".join(map(str, (merge_short if len(raw) <= LONG_WORD else merge_long)(raw, self.v)))
         if len(word) <= LONG_WORD:
             if len(self.cache) >= CACHE_WORDS:
+                self.old = dict(self.cache)
                 self.cache.clear()
             self.cache[word] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, extend = self.cache.get, out.extend
-        pieces = self.cuts.split(text) if self.cuts and any(s in text for s in self.v.special) else (text,)
-        for piece in pieces:
+    def listed(self, text: str) -> str:
+        """The ids of a text in decimal, joined by commas."""
+        get, new = self.cache.get, self.word
+        if not (self.cuts and any(s in text for s in self.v.special)):
+            return ",".join([get(w) or new(w) for w in self.words.findall(text)])
+        out = []
+        for piece in self.cuts.split(text):
             special = self.v.special.get(piece)
-            if special is not None:
-                out.append(special)
-                continue
-            for word in self.words.findall(piece):
-                extend(get(word) or self.word(word))
-        return out
+            out += [str(special)] if special is not None else [get(w) or new(w) for w in self.words.findall(piece)]
+        return ",".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        listed = self.listed(text)
+        return list(map(int, listed.split(","))) if listed else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_listed(self, listed: str) -> str:
+        return b"".join(map(self.decimal.__getitem__, listed.split(","))).decode("utf-8", "replace") if listed else ""
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -174,9 +189,9 @@ def digest_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def make(texts):
         encoder = encoder_for(vocabulary_path, lambda: shared.value)
         for text in texts:
-            ids = encoder.encode(text or "")
-            listed = ",".join(map(str, ids)).encode()
-            yield len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
+            listed = encoder.listed(text or "")
+            n_tokens = listed.count(",") + 1 if listed else 0
+            yield n_tokens, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(encoder.decode_listed(listed).encode()).hexdigest()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return with_python_columns(narrow, ["text"], {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, make, drop=("text",))

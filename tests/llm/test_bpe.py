@@ -32,5 +32,15 @@ def test_long_and_short_merges_agree():
     for n in (1, 2, 3, 17, 255, 600):
         for alphabet in (b"ab", b"abcdefghij the", bytes(range(256))):
             w = bytes(rnd.choice(alphabet) for _ in range(n))
-            assert bpe.merge_short(w, v.ranks) == bpe.merge_long(w, v.ranks)
-    assert b"".join(bpe.merge_long(b"a" * 100_000, v.ranks)) == b"a" * 100_000
+            assert bpe.merge_short(w, v) == bpe.merge_long(w, v)
+            assert b"".join(v.bytes[i] for i in bpe.merge_long(w, v)) == w
+    assert b"".join(v.bytes[i] for i in bpe.merge_long(b"a" * 100_000, v)) == b"a" * 100_000
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    v = bpe.Vocabulary(BPE_VOCABULARY)
+    whole, text = bpe.Encoder(v), " ".join(rows()[0][1].split() * 3)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    small = bpe.Encoder(v)
+    assert [small.encode(r[1] or "") for r in rows()] == [whole.encode(r[1] or "") for r in rows()]
+    assert len(small.cache) <= 3 and len(small.old) <= 3 and small.encode(text) == whole.encode(text)
