@@ -1,6 +1,6 @@
 """Quality rules: per-document counts and cross-document line frequency, all in Catalyst expressions.
 
-Line frequency: lines are normalised (outer white space stripped, ASCII lower case) and hashed; distinct documents are
+Line frequency: lines are normalised (outer white space stripped, lower case) and hashed; distinct documents are
 counted per host (the ``source`` column) and line hash. A line is boilerplate when at least ``MIN_DOCS`` documents of
 its host hold it and they are more than ``MAX_SHARE`` of the host's documents. Documents that keep less than
 ``MIN_KEPT`` of their words after boilerplate lines go are depleted and rejected.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 MIN_DOCS = 20
 MAX_SHARE = 0.01
 MIN_KEPT = 0.3
@@ -31,15 +31,16 @@ def words_of(text: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """How many words lie in 3-word windows that the text holds at least twice (first occurrences included)."""
+    """How many words lie in 3-word windows that the text holds at least twice (first occurrences included).
 
-    def covered(ws: Column) -> Column:
-        n = F.greatest(F.size(ws) - 2, F.lit(0))
-        windows = F.transform(
-            F.arrays_zip(F.slice(ws, 1, n), F.slice(ws, 2, n), F.slice(ws, 3, n)),
-            lambda x, i: F.struct(F.xxhash64(x["0"], x["1"], x["2"]).alias("k"), i.alias("p")),
-        )
-        return let(F.sort_array(windows), repeated)
+    ``words`` must be bound (an attribute or a lambda variable). Only texts in which some window's hash repeats sort
+    their windows.
+    """
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    windows = F.transform(F.arrays_zip(F.slice(words, 1, n), F.slice(words, 2, n), F.slice(words, 3, n)), lambda x: F.xxhash64(x["0"], x["1"], x["2"]))
+
+    def placed(ks: Column) -> Column:
+        return let(F.sort_array(F.transform(ks, lambda k, i: F.struct(k.alias("k"), i.alias("p")))), repeated)
 
     def repeated(s: Column) -> Column:
         m = F.greatest(F.size(s) - 1, F.lit(0))
@@ -47,11 +48,16 @@ def repeat_words(words: Column) -> Column:
         starts = F.flatten(F.transform(pairs, lambda z: F.array(z["0"]["p"], z["1"]["p"])))
         return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))))
 
-    return let(words, covered).cast("long")
+    return let(windows, lambda ks: F.when(F.size(F.array_distinct(ks)) == F.size(ks), F.lit(0)).otherwise(placed(ks)))
+
+
+def word_counts(words: Column) -> Column:
+    """struct(n, chars, repeated) of an array of words."""
+    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).cast("long").alias("repeated")))
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE_CHARS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
 def boilerplate_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -74,17 +80,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.concat(F.lit("h"), F.col(host_col)), F.lit("-")).alias("host"),
         F.xxhash64(text).alias("text_hash"),
         text.alias("text"),
-        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0).alias("lines"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
     )
     counted = base.select(
         "doc_id", "text_hash",
-        F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(words_of(F.col("text"))).alias("n_repeat_words"),
-    )
-    held = base.select("doc_id", "host", "text_hash", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(line_key(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))).alias("at", "l"))
+        word_counts(words_of(F.col("text"))).alias("w"),
+    ).select("doc_id", "text_hash", "n_symbols", "n_dup_lines", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), F.col("w.repeated").alias("n_repeat_words"))
+    held = base.select("doc_id", "host", "text_hash", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(line_key(x)).alias("line"), F.size(words_of(x)).alias("words")))).alias("at", "l"))
     lost = (
         held.select("doc_id", "host", "text_hash", "at", "l.line", "l.words")
         .join(boilerplate_lines(base, min_docs, max_share), ["host", "line"])

@@ -92,7 +92,7 @@ WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') A
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM d),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2))),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY 1),
-l AS (SELECT doc_id, host, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+l AS (SELECT doc_id, host, line, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key,
   len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS words FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
 lw AS (SELECT * FROM l WHERE words > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY 1),

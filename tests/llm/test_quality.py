@@ -6,12 +6,11 @@ from larkspur.llm import quality
 from .fixture import docs, none, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def brute(rows, min_docs, max_share, min_kept):
     lines = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
-    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
     hosts, held = Counter(), defaultdict(int)
     for r in rows:
         hosts[r[3]] += 1
