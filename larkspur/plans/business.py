@@ -60,7 +60,7 @@ def median_of_max(spark, sf):
 
 
 @query("""
-SELECT l_returnflag, min(bucket) + 5.0 AS median, max(total) AS total FROM (
+SELECT l_returnflag, CAST(min(bucket) + 5.0 AS DOUBLE) AS median, max(total) AS total FROM (
   SELECT l_returnflag, bucket, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket) AS BIGINT) AS run, CAST(sum(n) OVER (PARTITION BY l_returnflag) AS BIGINT) AS total
   FROM (SELECT l_returnflag, CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE total >= 100 AND run * 2 >= total GROUP BY 1
 """)
