@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .windows import ranked
 
 #: Pattern tables up to this size are folded into one regular expression; larger ones are matched by their first word.
 MAX_PATTERNS = 2000
+#: Rows of a block of vectors; two blocks and their products are held at once.
+VECTOR_BLOCK = 2048
 
 
 def pattern_test(column: Column, patterns: Sequence[str]) -> Column:
@@ -102,3 +107,45 @@ def chase(pointers: DataFrame, node: str, target: str, most_rounds: int = 40) ->
         if jumped.where("moved").isEmpty():
             return now.select(F.col("node").alias(node), F.col("target").alias(target))
     raise ValueError("a chain of pointers does not end")
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(key, near_id, score, rn): the ``k`` rows of highest cosine for every row, ties by id; a row is not its own neighbour.
+
+    Exact, each block of rows against each: the pairs are quadratic in the rows, but a task holds two blocks at a time
+    and hands on at most ``k`` neighbours of a row from each. ``key`` must be unique; null and zero vectors have no neighbours.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
+    left = rows.select("id", "v", F.col("own").alias("a"), every).withColumnRenamed("other", "b")
+    right = rows.select("id", "v", F.col("own").alias("b"), every).withColumnRenamed("other", "a")
+
+    def in_order(x, y):
+        """Products summed in the order of the places, so that equal vectors get equal scores in all blocks."""
+        out = np.zeros(len(x))
+        for place in range(x.shape[1]):
+            out += x[:, place] * y[:, place]
+        return out
+
+    def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "near_id": [], "score": []})
+        x, y = (np.stack(f["v"].to_numpy()).astype(np.float64) for f in (a, b))
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        own, norm = in_order(x, x), in_order(y, y)
+        with np.errstate(all="ignore"):
+            near = (x @ y.T) / np.sqrt(own)[:, None] / np.sqrt(norm)[None, :]
+        near[(ids[:, None] == others[None, :]) | np.isnan(near)] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(x), -2.0)
+        i, j = np.nonzero(near >= np.maximum(least, -2.0)[:, None] - 1e-9)
+        score = in_order(x[i], y[j]) / np.sqrt(own[i]) / np.sqrt(norm[j])
+        order = np.lexsort((others[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"id": ids[i][keep], "near_id": others[j][keep], "score": score[keep]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(top, f"id {kind}, near_id {kind}, score double")
+    return ranked(found, ["id"], [F.col("score").desc(), F.col("near_id")]).where(F.col("rn") <= k).withColumnRenamed("id", key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, windows
+from ..operators import aggregates, joins, windows
 from .common import money, postings, table
 from .registry import query
 
@@ -165,6 +165,15 @@ def cosine_topk(spark, sf):
     return windows.ranked(scored, ["q"], [F.col("s").desc(), F.col("vec_id")]).where("rn <= 10").select("q", "vec_id", "rn")
 
 
+@query("""
+WITH d AS (SELECT a.vec_id AS q, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
+SELECT q, vec_id, rn FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rn FROM d) WHERE rn <= 10
+""")
+def cosine_topk_all(spark, sf):
+    """Ten nearest vectors of every row against all rows, in bounded blocks."""
+    return joins.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 10).select(F.col("vec_id").alias("q"), F.col("near_id").alias("vec_id"), "rn")
+
+
 @query("""
 SELECT user_id, CAST(sum(CASE WHEN date_trunc('month', ts) < TIMESTAMP '2024-01-01' OR event_type = 'view' THEN 0 ELSE 1 END) AS BIGINT) AS used, round(sum(CAST(value AS DECIMAL(18,2))) / nullif(count(*), 0), 4) AS mean_value FROM events GROUP BY 1
 """)
