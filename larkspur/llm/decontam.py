@@ -5,6 +5,9 @@ at ignored places still gives the same hash. Hashes of all windows of all docume
 benchmark; each hit fixes an alignment (document position minus item position). Along the whole alignment the tokens
 are compared place by place; an item is found when, in some stretch of ``WINDOW`` of its tokens (all of them if it has
 fewer), at least ``PERCENT`` of the places agree.
+
+Items under ``SPAN`` tokens are found where all their tokens stand word for word. Items of ``SPAN`` to ``THIRDS`` tokens
+may differ at two places, so one third of their tokens is always whole: their thirds are looked for besides the masks.
 """
 
 from __future__ import annotations
@@ -19,15 +22,21 @@ from .runtime import stored
 PAIRS = ((0, 3, 8), (0, 4, 8), (0, 5, 8), (0, 2, 8))
 SPAN = 10
 MASKS = tuple("".join("1" if i in picked or i - 1 in picked else "0" for i in range(SPAN)) for picked in PAIRS)
+#: Items of up to this number of tokens are also looked for by runs of a third of their tokens.
+THIRDS = 13
 WINDOW = 16
 PERCENT = 80
+#: Scripts that are written without blanks: each character is a token.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Benchmark hashes (items) up to this number of rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, in lower case; single characters of unspaced scripts."""
+    low = F.lower(text)
+    spaced = F.when(low.rlike(UNSPACED), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def seeds(words: Column) -> Column:
@@ -50,6 +59,43 @@ def seeds(words: Column) -> Column:
     return let(words, windows)
 
 
+def run_hashes(words: Column, length: int) -> Column:
+    """array of hashes of all runs of ``length`` neighbouring words."""
+
+    def hashed(w: Column) -> Column:
+        n = F.greatest(F.size(w) - (length - 1), F.lit(0))
+        return F.transform(F.arrays_zip(*(F.slice(w, k + 1, n) for k in range(length))), lambda x: F.xxhash64(F.lit(length), *(x[str(k)] for k in range(length))))
+
+    return let(words, hashed)
+
+
+def short_marks(items: DataFrame) -> DataFrame:
+    """(item_id, item_hash, item, run, at) of items of up to ``THIRDS`` tokens: the runs to look for, by length and place."""
+    n = F.size("item")
+    short = items.where(n <= THIRDS)
+    run = F.when(n < SPAN, n).otherwise(F.floor(n / 3).cast("int"))
+    places = F.when(n < SPAN, F.array(F.lit(0))).otherwise(F.array(F.lit(0), run, 2 * run))
+    return short.select("item_id", F.xxhash64("item").alias("item_hash"), "item", run.alias("run"), F.explode(places).alias("item_at"))
+
+
+def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, text_hash, item_id, item_hash, shift) of the runs of short items in ``docs``; none if no item is short."""
+    marks = short_marks(items)
+    lengths = sorted(r[0] for r in marks.select("run").distinct().collect())  # at most SPAN - 1
+    if not lengths:
+        return None
+    seeds = stored(marks.select("item_id", "item_hash", "run", "item_at", run_seed(lengths).alias("seed")).distinct(), "short-seeds")
+    runs = F.flatten(F.array(*(F.transform(run_hashes(F.col("words"), n), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for n in lengths)))
+    rows = docs.select("doc_id", "text_hash", F.explode(runs).alias("r")).select("doc_id", "text_hash", "r.seed", "r.at")
+    return rows.join(bounded(seeds, seeds.count()), "seed").select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift"))
+
+
+def run_seed(lengths: list[int]) -> Column:
+    """Hash of the run of ``run`` tokens of ``item`` at ``item_at``."""
+    part = F.slice("item", F.col("item_at") + 1, F.col("run"))
+    return F.coalesce(*(F.when(F.col("run") == n, run_hashes(part, n)[0]) for n in lengths))
+
+
 def exploded(df: DataFrame, columns: list[str], words: Column) -> DataFrame:
     """``columns`` with a row for each seed of ``words`` and the window at which it lies."""
     rows = df.select(*columns, F.posexplode(seeds(words)).alias("place", "seed"))
@@ -79,12 +125,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(doc_id, text_hash, item_id, overlap) of all verified overlaps; a document is its id and the hash of its text."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
-    items = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") >= SPAN).distinct(), "items")
+    items = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct(), "items")
     marks = exploded(items.withColumn("item_hash", F.xxhash64("item")), ["item_id", "item_hash"], F.col("item"))
     marks = stored(marks.withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
-    hits = stored(
+    hits = (
         exploded(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks, marks.count()), "seed")
-        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
+        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")))
+    short = short_hits(docs, items)
+    hits = stored((hits if short is None else hits.unionByName(short)).distinct(), "seed-hits")
     ids = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     known = items.select(F.col("item_id").alias("known_id"), F.xxhash64("item").alias("known_hash"), "item")
@@ -105,8 +153,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, items (sorted ids, comma-joined) and its largest overlap.
 
-    Null text has no tokens and is clean. Items under ``SPAN`` tokens (null and empty ones too) are too short to be
-    told from chance and are not looked for. Repeated rows get the same result each; repeated items count once. An
+    Null text has no tokens and is clean. Items under ``SPAN`` tokens are found word for word only; null and empty ones
+    are not looked for. Repeated rows get the same result each; repeated items count once. An
     empty table gives no rows, an empty benchmark only clean rows; other columns are ignored.
     """
     found = overlaps(docs, benchmark, id_col, text_col, percent=percent).groupBy("doc_id", "text_hash").agg(
