@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .windows import hash_share, top_per_group
 
 
@@ -175,6 +176,32 @@ def fuzzy_titles(df: DataFrame, known: DataFrame, id_column: str, title: str, pe
     return scored.withColumn("jaccard", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 4)).where(F.col("jaccard") * 100 >= percent).select(id_column, "known_title", "jaccard")
 
 
+def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) -> DataFrame:
+    """(id, known_id, jaccard) of whole texts alike in their token sets, each to the representatives of all classes.
+
+    Texts of one token set are a class, represented by the smallest id; only classes are compared, then members follow
+    by membership. Exact prefix filter as in ``fuzzy_titles``, with the sizes and the places of a shared token as bounds.
+    """
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    rows = cut(df.select(F.col(id_column).alias("id"), tokens.alias("t")).where(F.size("t") > 0).withColumn("set", F.sha2(F.array_join("t", " "), 256)))
+    classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.any_value("t").alias("t")))
+    words = classes.select("rep", F.size("t").alias("n"), F.explode("t").alias("w"))
+    order = words.groupBy("w").agg(F.count("*").alias("df"))
+    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    sorted_words = words.join(order, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    prefixes = cut(sorted_words.select("rep", "n", F.posexplode(F.slice(F.col("o")["w"], 1, keep)).alias("i", "w")))
+    a, b = (prefixes.select("w", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    shared = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    likely = (F.col("a") < F.col("b")) & ((100 + percent) * shared >= percent * (F.col("na") + F.col("nb")))
+    pairs = a.join(b, "w").where(likely).select("a", "b").distinct()
+    x, y = (classes.select(F.col("rep").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("union", F.size("ta") + F.size("tb") - F.col("common"))
+    alike = both.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b", F.round(F.col("common") / F.col("union"), 4).alias("jaccard"))
+    ways = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")))
+    members = rows.select("id", "set").join(classes.select("set", F.col("rep").alias("a")), "set")
+    return members.join(ways, "a").select(F.col("id").alias(id_column), F.col("b").alias("known_id"), "jaccard")
+
+
 def soft_match(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """Micro precision, recall and f1 of lists, where two entries agree if one contains the other (lower case)."""
     agree = lambda x, y: F.contains(F.lower(x), F.lower(y)) | F.contains(F.lower(y), F.lower(x))

@@ -162,3 +162,14 @@ SELECT doc_id, known_title, round(len(list_intersect(w.t, k.t)) / len(list_disti
 def fuzzy_title_match(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.substring("text", 1, 50).alias("title"))
     return curation.fuzzy_titles(docs, docs.where("n_chars < 300"), "doc_id", "title", 85)
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS t FROM documents),
+k AS (SELECT min(doc_id) AS known_id, t FROM w WHERE len(t) > 0 GROUP BY t),
+p AS (SELECT a.known_id AS a, b.known_id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) + len(b.t) AS n FROM k a JOIN k b ON 100 * least(len(a.t), len(b.t)) >= 85 * greatest(len(a.t), len(b.t)))
+SELECT w.doc_id, p.b AS known_id, round(c / (n - c), 4) AS jaccard FROM w JOIN k ON k.t = w.t JOIN p ON p.a = k.known_id WHERE 100 * c >= 85 * (n - c)
+""")
+def near_dup_jaccard(spark, sf):
+    """Documents alike in the token sets of their whole texts, to the representative of every class alike."""
+    return curation.alike_texts(table(spark, sf, "documents"), "doc_id", "text", 85)
