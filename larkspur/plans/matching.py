@@ -38,6 +38,17 @@ def case_variants(spark, sf):
     return entities.case_variants(rows, "seg", [F.col("c_custkey")]).groupBy("c_nationkey", "kept").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH c AS (SELECT c_nationkey, c_custkey, CASE WHEN c_acctbal > 5000 THEN lower(c_mktsegment) ELSE c_mktsegment END AS seg FROM customer)
+SELECT c_nationkey, kept, count(*) AS n FROM (SELECT c_nationkey, first_value(seg) OVER (PARTITION BY lower(seg) ORDER BY c_custkey) AS kept, lower(seg) AS l FROM c)
+WHERE l IN (SELECT lower(seg) FROM c GROUP BY 1 HAVING count(DISTINCT seg) > 1) GROUP BY 1, 2
+""")
+def case_variants_all(spark, sf):
+    """Case variants over all customers."""
+    rows = table(spark, sf, "customer").withColumn("seg", F.when(F.col("c_acctbal") > 5000, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
+    return entities.case_variants(rows, "seg", [F.col("c_custkey")]).groupBy("c_nationkey", "kept").agg(F.count("*").alias("n"))
+
+
 @query("SELECT host, count(DISTINCT page_id) AS companies FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '^www\\.', '') AS host FROM pages) GROUP BY 1 HAVING count(DISTINCT page_id) >= 3")
 def shared_domains(spark, sf):
     from ..functions.text import domain

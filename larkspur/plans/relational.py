@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import aggregates, joins, windows
 from .common import day, money, table, total
@@ -136,6 +137,18 @@ def canonical_chase(spark, sf):
     return joins.chase(rows.select(F.col("n_nationkey").alias("node"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("target")), "node", "target")
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT * FROM (SELECT doc_id AS node, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS target FROM documents WHERE text IS NOT NULL) WHERE target IS NOT NULL),
+c AS (SELECT node, target FROM p UNION ALL SELECT c.node, p.target FROM c JOIN p ON c.target = p.node)
+SELECT node, target FROM c WHERE target NOT IN (SELECT node FROM p)
+""")
+def canonical_chase_documents(spark, sf):
+    """Each repeated document to the first of its text, along pointers to the copy before it."""
+    rows = table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("key"))
+    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
+    return joins.chase(rows.select("node", before.alias("target")), "node", "target")
+
+
 @query("""
 SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS big, count(*) FILTER (WHERE l_discount = 0) AS full_price, CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax FROM lineitem GROUP BY 1
 """)

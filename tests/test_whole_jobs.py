@@ -26,3 +26,16 @@ def test_blocks_do_not_change_the_neighbours(spark):
     for i, rn, near in whole:
         best = np.sort(np.delete(unit @ unit[i], i))[::-1]
         assert near != i and abs(unit[near] @ unit[i] - best[rn - 1]) < 1e-9
+
+
+def test_case_variants_are_found_in_all_nations(spark):
+    got = registry.queries()["case_variants_all"](spark, SF)
+    assert {r.c_nationkey for r in got.collect()} == {r.c_nationkey for r in table(spark, SF, "customer").select("c_nationkey").distinct().collect()}
+
+
+def test_every_repeated_document_reaches_the_first_of_its_text(spark):
+    first, want = {}, set()
+    for r in table(spark, SF, "documents").where("text IS NOT NULL").orderBy("doc_id").collect():
+        if first.setdefault(r.text, r.doc_id) != r.doc_id:
+            want.add((r.doc_id, first[r.text]))
+    assert want and want == {tuple(r) for r in registry.queries()["canonical_chase_documents"](spark, SF).select("node", "target").collect()}
