@@ -27,7 +27,7 @@ THIRDS = 13
 WINDOW = 16
 PERCENT = 80
 #: Scripts that are written without blanks: each character is a token.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED = r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{323AF}]"
 #: Benchmark hashes (items) up to this number of rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
