@@ -1,9 +1,9 @@
 """Personal data: pattern spans, plus spans decoded by a linear-chain conditional random field over word shapes.
 
 The field is trained on the driver from a small labelled table (sentences made from the templates below by a fixed
-seed). Tokens are runs without white space. Only tokens that hold a digit or an ``@`` can carry a label other than
-``O`` (a hard constraint of the field), so a text's label sequence falls apart exactly at all other tokens; the runs in
-between are decoded by Viterbi, many runs to a numpy batch. Decoded spans that overlap pattern spans are dropped.
+seed). Tokens are runs without white space. Tokens that hold a digit (of any script) or an ``@``, capitalised
+words, neighbours of digits and linking words between such tokens can carry a label other than ``O``; a text's label
+sequence falls apart exactly at all other tokens; the runs in between are decoded by Viterbi, many runs to a numpy batch. Decoded spans that overlap pattern spans are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .runtime import with_python_columns
 
 BASE = ("email", "ip", "card", "phone")
-FOUND = ("crf_email", "crf_ip", "crf_card", "crf_phone", "crf_id")
+FOUND = ("crf_email", "crf_ip", "crf_card", "crf_phone", "crf_id", "crf_name", "crf_street")
 KINDS = BASE + FOUND
 LABELS = ["O", *(f"{p}-{k}" for k in FOUND for p in "BI")]
 
@@ -32,6 +32,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\t-\r]+")
 MAYBE = re.compile(r"[0-9@]")
+DIGIT = re.compile(r"[\d@]")
+LINKS = frozenset("de la le du des van von der den di del da".split())
 EDGES = ".,;:!?\"'<>[]{}"
 
 
@@ -81,15 +83,19 @@ TEMPLATES = (
     "version #.#.# was released", "on ####-##-## at ##:##", "page ### of ####", "order ############ shipped", "serial ########-####",
     "between #### and ####", "hash {hex} matches", "token {hex}", "chapter #", "#,### readers", "## # # ### ##", "## ## ####", "no ####.####", "a ratio of #:#", "{phone} {card} and {email}", "at {ip} {card} {phone}", "call {phone} {card}", "in #### #### people left",
     "the ####s and ####s", "room ### floor #", "score ##-##", "growth of #.# %", "#### #### ####", "section #.# and #.#.#", "see [##] and (##)", "follow @{name} here", "@{name}", "{name}@ home",
+    "iban {id} please", "IBAN {id} please", "to account {id} today", "pay {id} now", "mr {person} said", "Mrs {person} wrote", "dear {person}, thank you", "my name is {person}", "my name is {person} and more", "name: {person}", "Name: {person} Phone: {phone}", "Herr {person} sagte", "Frau {person} schrieb", "Monsieur {person} est venu", "Dr. {person} called", "signed by {person}",
+    "lives at {street}", "lives at {street} today", "address: {street}", "Address: {street}", "wohnt in der {street} seit", "deliver to {street} please", "habite au {street}", "{person}, {street}", "the {Cap} {Cap} was closed", "In {Cap} der {Cap} und {Cap}", "{Cap} {Cap} {Cap} read", "on {Cap} ## the {Cap} met", "{Cap} #### was a year", "die {Cap} hat ## {Cap} verkauft", "{Cap} and {Cap} went to {Cap}", "The {Cap} of {Cap}", "chapter # The {Cap} {Cap}", "{CAP} {CAP} {CAP}", "see {CAP} ####", "{CAP} {CAP} #### {Cap}",
 )
 FORMS = {
     "phone": ("(###) ###-####", "###-###-####", "###.###.####", "+# (###) ###-####", "+## ### ### ####", "+## ## ## ## ## ##", "0### #######", "(0##) ### ####", "1-800-###-####", "+###########"),
     "card": ("#### #### #### ####", "####-####-####-####", "#### ###### #####", "################", "################", "###############"),
     "ip": ("1##.##.#.##", "10.#.##.1##", "192.168.#.##", "2#.1##.##.#"),
     "email": ("{name}.##@{name}.com", "{name}@{name}.org", "{name}_{name}@{name}.co", "{name}##@{name}.net", "{name}@{name}"),
-    "id": ("###-##-####", "DE## #### #### #### ##", "FR##############", "GB##ABCD##########"),
+    "id": ("###-##-####", "DE## #### #### #### ##", "FR##############", "GB##ABCD##########", "GB## {CAP} #### #### #### ##", "NL## {CAP} #### #### ##"),
+    "person": ("{Cap} {Cap}", "{Cap} {Cap}", "{Cap} {Cap} {Cap}", "{Cap} van {Cap}", "{Cap} de {Cap}"),
+    "street": ("## {Cap} Street", "### {Cap} Road", "# {Cap} Avenue", "{Cap}straße ##", "{Cap}strasse #", "{Cap}weg ##", "{Cap} Platz #", "## rue de {Cap}", "# rue {Cap}", "## {Cap} Lane"),
 }
-SENTENCES = 800
+SENTENCES = 1200
 SEED = 11
 
 
@@ -99,17 +105,19 @@ def labelled_table() -> list[tuple[list[str], list[str]]]:
 
     def fill(form: str) -> str:
         form = re.sub(r"\{name\}", lambda m: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(3, 9))), form)
+        form = re.sub(r"\{Cap\}", lambda m: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(3, 9))).capitalize(), form)
+        form = re.sub(r"\{CAP\}", lambda m: "".join(rnd.choice("ABCDEFGHIJKLMNOPRSTUVW") for _ in range(4)), form)
         form = form.replace("{hex}", "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((16, 18, 32, 40)))))
         return re.sub("#", lambda m: rnd.choice("0123456789"), form)
 
     out = []
     for n in range(SENTENCES):
         tokens, labels = [], []
-        for piece in re.split(r"(\{(?:phone|card|ip|email|id)\})", TEMPLATES[n % len(TEMPLATES)]):
+        for piece in re.split(r"(\{(?:phone|card|ip|email|id|person|street)\})", TEMPLATES[n % len(TEMPLATES)]):
             kind = piece[1:-1] if piece[1:-1] in FORMS else None
             words = fill(rnd.choice(FORMS[kind]) if kind else piece).split()
             tokens += words
-            labels += [f"{'I' if i else 'B'}-crf_{kind}" if kind else "O" for i in range(len(words))]
+            labels += [f"{'I' if i else 'B'}-crf_{'name' if kind == 'person' else kind}" if kind else "O" for i in range(len(words))]
         if rnd.random() < 0.2:
             tokens[-1] += rnd.choice(".,;")
         out.append((tokens, labels))
@@ -137,6 +145,9 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+NO_DIGITS = str.maketrans("", "", "dD0123456789")
+
+
 def feature_names(tokens: list[str], i: int) -> tuple[str, ...]:
     own = shape(tokens[i].strip(EDGES))
     before = tokens[i - 1] if i else ""
@@ -144,19 +155,28 @@ def feature_names(tokens: list[str], i: int) -> tuple[str, ...]:
     sb, sa = shape(before.strip(EDGES)), shape(after.strip(EDGES))
     digits = sum(c.isdigit() for c in tokens[i])
     marks = "".join(c for c in "@+().-:/%" if c in tokens[i])
-    word = before.strip(EDGES).lower()
-    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", f"n={min(digits, 20)}|{marks}", "m=" + marks, "w=" + (word if word.isalpha() else ""), "x=" + own.translate(str.maketrans("", "", "dD0123456789")))
+    word, later, end = before.strip(EDGES).lower(), after.strip(EDGES).lower(), tokens[i].strip(EDGES).lower()
+    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", f"n={min(digits, 20)}|{marks}", "m=" + marks, "w=" + (word if word.isalpha() else ""), "x=" + own.translate(NO_DIGITS), "e=" + (end[-5:] if end.isalpha() else ""), "v=" + (later if later.isalpha() else ""))
 
 
 def may_carry(token: str) -> bool:
-    return MAYBE.search(token) is not None
+    """Digits, ``@`` and capitalised words; neighbours and linking words follow in ``runs_of``."""
+    return DIGIT.search(token) is not None or token.lstrip(EDGES + "(")[:1].isupper()
 
 
 def runs_of(tokens: list[str]) -> Iterator[tuple[int, int]]:
     """Maximal stretches of tokens that may carry a label."""
-    start = None
+    own = [may_carry(t) for t in tokens]
+    on = own.copy()
     for i, t in enumerate(tokens):
-        if may_carry(t):
+        if own[i] and DIGIT.search(t):
+            for k in range(max(0, i - 1), min(i + 2, len(tokens))):
+                on[k] = True
+        elif t in LINKS and i and on[i - 1]:
+            on[i] = True
+    start = None
+    for i, carries in enumerate(on):
+        if carries:
             start = i if start is None else start
         elif start is not None:
             yield start, i
@@ -271,7 +291,7 @@ def trained() -> Field:
 
 def plausible(kind: str, text: str) -> bool:
     """What a decoded span must hold besides its shape."""
-    digits = "".join(c for c in text if c in "0123456789")
+    digits = "".join(c for c in text if c.isdecimal())
     if kind == "crf_email":
         return 0 < text.find("@") < len(text) - 1
     if kind == "crf_ip":
@@ -281,6 +301,10 @@ def plausible(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "crf_phone":
         return 7 <= len(digits) <= 15
+    if kind == "crf_name":
+        return not digits and len(text.split()) >= 2
+    if kind == "crf_street":
+        return bool(digits) and any(c.isalpha() for c in text) and len(text.split()) >= 2
     return 9 <= len(digits) <= 30
 
 
@@ -298,7 +322,7 @@ def field_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     runs, where = [], []
     for n, text in enumerate(texts):
-        if MAYBE.search(text):
+        if DIGIT.search(text) or not text.islower():
             places = [m.span() for m in TOKEN.finditer(text)]
             tokens = [text[a:b] for a, b in places]
             for a, b in runs_of(tokens):
