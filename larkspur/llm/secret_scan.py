@@ -21,11 +21,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|login|bearer)"""
-    r"""["']?[\x20\t]{0,8}(?::=|=>|[:=])[\x20\t]{0,8}(?ai:bearer[\x20\t]{1,8}|basic[\x20\t]{1,8})?["'`]?([^\s"'`<>,;]+)"""
+    r"""(?:(?:[_-]|[0-9]|[A-Z][a-z])[A-Za-z0-9_-]{0,40})?"""
+    r"""["']?[\x20\t]{0,8}(?::=|=>|[:=])[\x20\t]{0,8}(?ai:bearer[\x20\t]{1,8}|basic[\x20\t]{1,8})?"""
+    r"""(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|["'`]?([^\s"'`<>,;]+))"""
     r"""|://[^\s/:@]{1,256}:([^\s/@]+)@"""
 )
 MIN_GUESSES = 10.0
-MIN_VALUE = 8
 
 # Common words of passwords and placeholders, most common first (their place is their rank).
 WORDS = (
@@ -110,10 +111,10 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], min_guesses: floa
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        start, end = m.span(1 if m.group(1) is not None else 2)
-        while end > start and text[end - 1] in ".)]}!?":
+        start, end = m.span(m.lastindex)
+        while m.lastindex > 3 and end > start and text[end - 1] in ".)]}!?":
             end -= 1
-        if end - start >= MIN_VALUE and not any(s < end and start < e for s, _, e in base) and guess_cost(text[start:end]) >= min_guesses:
+        if not any(s < end and start < e for s, _, e in base) and guess_cost(text[start:end]) >= min_guesses:
             found.append((start, 3, end))
     return found
 
