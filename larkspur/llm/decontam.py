@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced seeds, in Catalyst expressions only.
 
-Each fixed mask picks some of ``SPAN`` neighbouring tokens and ignores the others, so a window with replaced words
-at ignored places still gives the same hash. Hashes of all windows of all documents are joined with those of the
-benchmark; each hit fixes an alignment (document position minus item position). Along the whole alignment the tokens
-are compared place by place; an item is found when, in some stretch of ``WINDOW`` of its tokens (all of them if it has
-fewer), at least ``PERCENT`` of the places agree.
-
-Items under ``SPAN`` tokens are found where all their tokens stand word for word. Items of ``SPAN`` to ``THIRDS`` tokens
-may differ at two places, so one third of their tokens is always whole: their thirds are looked for besides the masks.
+Each fixed mask picks some neighbouring tokens and ignores others, so a window with replaced words at ignored places
+still gives the same hash. The hashes of all windows of all documents are joined with those of the benchmark; each hit
+fixes an alignment (document position minus item position). Along the whole alignment the tokens are compared place by
+place; an item is found when, in some stretch of ``WINDOW`` of its tokens (all of them if it has fewer), at least
+``PERCENT`` of the places agree. Items under ``SPAN`` tokens are found where all their tokens stand word for word.
+
+No overlap is lost. A stretch of 14 tokens may differ at 2 places, one of 15 or 16 at 3: wherever they lie, one of the
+two ``MASKS`` fits between them (all cases are enumerated in the tests). The masks share the places of ``COMMON``, so
+that a window is one row with one hash to look up, and the masks' own places are compared in windows that pass. Items of
+``SPAN`` to ``THIRDS`` tokens may differ at two places, so one third of their tokens is always whole: their thirds are
+looked for as well.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ from pyspark.sql import functions as F
 from .quality import let
 from .runtime import stored
 
-#: Fixed masks, by the places at which each picks a pair of neighbouring tokens (pair hashes are shared by all masks).
-PAIRS = ((0, 3, 8), (0, 4, 8), (0, 5, 8), (0, 2, 8))
+#: Fixed masks: the places that both pick, and the place that each adds.
+COMMON = (0, 1, 2, 4)
+ADDED = (3, 5)
+MASKS = tuple(tuple(sorted((*COMMON, own))) for own in ADDED)
+#: Items of fewer tokens are found whole.
 SPAN = 10
-MASKS = tuple("".join("1" if i in picked or i - 1 in picked else "0" for i in range(SPAN)) for picked in PAIRS)
 #: Items of up to this number of tokens are also looked for by runs of a third of their tokens.
 THIRDS = 13
 WINDOW = 16
 PERCENT = 80
 #: Scripts that are written without blanks: each character is a token.
 UNSPACED = r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{323AF}]"
+#: Hits of a document are held in one row for each stretch of so many positions.
+BLOCK = 1 << 16
 #: Benchmark hashes (items) up to this number of rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,24 +46,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(words: Column) -> Column:
-    """array of hashes, those of all masks at the first window of ``words``, then at the next; empty below ``SPAN`` words."""
+def windows(df: DataFrame, columns: list[str], words: Column) -> DataFrame:
+    """``columns`` with a row for each window of ``words``: its place ``at``, the hash of the common places, and those of
+    the places that the masks add (null past the end)."""
 
-    def windows(w: Column) -> Column:
-        n = F.greatest(F.size(w) - (SPAN - 1), F.lit(0))
-        pairs = F.transform(F.arrays_zip(F.slice(w, 1, F.size(w)), F.slice(w, 2, F.size(w))), lambda x: F.xxhash64(x["0"], x["1"]))
-        return let(pairs, lambda p: beside(p, n))
+    def zipped(w: Column) -> Column:
+        n = F.greatest(F.size(w) - COMMON[-1], F.lit(0))
+        # the last place of a mask may lie past the end in the last window: zipping pads it with a null
+        return F.slice(F.arrays_zip(*(F.slice(w, k + 1, n) for k in range(max(ADDED) + 1))), 1, n)
 
-    def beside(p: Column, n: Column) -> Column:
-        places = sorted({at for picked in PAIRS for at in picked})
-        fields = {at: str(k) for k, at in enumerate(places)}
-
-        def hashed(x: Column) -> Column:
-            return F.array(*(F.xxhash64(F.lit(number), *(x[fields[at]] for at in picked)) for number, picked in enumerate(PAIRS)))
-
-        return F.flatten(F.transform(F.arrays_zip(*(F.slice(p, at + 1, n) for at in places)), hashed))
-
-    return let(words, windows)
+    rows = df.select(*columns, F.posexplode(let(words, zipped)).alias("at", "w"))
+    added = (F.when(F.col(f"w.{k}").isNotNull(), F.hash(f"w.{k}")).alias(f"added_{k}") for k in ADDED)
+    return rows.select(*columns, "at", F.xxhash64(*(f"w.{k}" for k in COMMON)).alias("seed"), *added)
 
 
 def run_hashes(words: Column, length: int) -> Column:
@@ -70,24 +71,23 @@ def run_hashes(words: Column, length: int) -> Column:
 
 
 def short_marks(items: DataFrame) -> DataFrame:
-    """(item_id, item_hash, item, run, at) of items of up to ``THIRDS`` tokens: the runs to look for, by length and place."""
-    n = F.size("item")
-    short = items.where(n <= THIRDS)
-    run = F.when(n < SPAN, n).otherwise(F.floor(n / 3).cast("int"))
-    places = F.when(n < SPAN, F.array(F.lit(0))).otherwise(F.array(F.lit(0), run, 2 * run))
-    return short.select("item_id", F.xxhash64("item").alias("item_hash"), "item", run.alias("run"), F.explode(places).alias("item_at"))
+    """(item_key, item, n, run, item_at) of items of up to ``THIRDS`` tokens: the runs to look for, by length and place."""
+    short = items.where(F.col("n") <= THIRDS)
+    run = F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.floor(F.col("n") / 3).cast("int"))
+    places = F.when(F.col("n") < SPAN, F.array(F.lit(0))).otherwise(F.array(F.lit(0), run, 2 * run))
+    return short.select("item_key", "item", "n", run.alias("run"), F.explode(places).alias("item_at"))
 
 
 def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(doc_id, text_hash, item_id, item_hash, shift) of the runs of short items in ``docs``; none if no item is short."""
+    """(doc_id, text_hash, item_key, n, shift) of the runs of short items in ``docs``; none if no item is short."""
     marks = short_marks(items)
     lengths = sorted(r[0] for r in marks.select("run").distinct().collect())  # at most SPAN - 1
     if not lengths:
         return None
-    seeds = stored(marks.select("item_id", "item_hash", "run", "item_at", run_seed(lengths).alias("seed")).distinct(), "short-seeds")
+    seeds = stored(marks.select("item_key", "n", "run", "item_at", run_seed(lengths).alias("seed")).distinct(), "short-seeds")
     runs = F.flatten(F.array(*(F.transform(run_hashes(F.col("words"), n), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for n in lengths)))
     rows = docs.select("doc_id", "text_hash", F.explode(runs).alias("r")).select("doc_id", "text_hash", "r.seed", "r.at")
-    return rows.join(bounded(seeds, seeds.count()), "seed").select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift"))
+    return rows.join(bounded(seeds, seeds.count()), "seed").select("doc_id", "text_hash", "item_key", "n", (F.col("at") - F.col("item_at")).alias("shift"))
 
 
 def run_seed(lengths: list[int]) -> Column:
@@ -96,23 +96,19 @@ def run_seed(lengths: list[int]) -> Column:
     return F.coalesce(*(F.when(F.col("run") == n, run_hashes(part, n)[0]) for n in lengths))
 
 
-def exploded(df: DataFrame, columns: list[str], words: Column) -> DataFrame:
-    """``columns`` with a row for each seed of ``words`` and the window at which it lies."""
-    rows = df.select(*columns, F.posexplode(seeds(words)).alias("place", "seed"))
-    return rows.select(*columns, "seed", F.floor(F.col("place") / len(MASKS)).cast("int").alias("at"))
+def overlap(part: Column, item: Column, shift: Column, percent: int) -> Column:
+    """Largest share of agreeing places in a stretch of ``WINDOW`` tokens of ``item``, laid on a document at ``shift``.
 
-
-def overlap(words: Column, item: Column, shift: Column) -> Column:
-    """Largest share of agreeing places in a stretch of ``WINDOW`` tokens of ``item``, laid on ``words`` at ``shift``."""
+    ``part`` is the stretch of the document under the item. Null where too few places agree in all.
+    """
     skip = F.greatest(-shift, F.lit(0))
-    length = F.greatest(F.size(item) - skip, F.lit(0))
-    doc_part = F.slice(words, F.greatest(shift, F.lit(0)) + 1, length)
-    same = F.transform(F.arrays_zip(F.slice(item, skip + 1, length), doc_part), lambda z: F.when(z["0"] == z["1"], 1).otherwise(0))
+    same = F.transform(F.arrays_zip(F.slice(item, skip + 1, F.greatest(F.size(item) - skip, F.lit(0))), part.alias("1")), lambda z: F.when(z["0"] == z["1"], 1).otherwise(0))
     wide = F.least(F.size(item), F.lit(WINDOW))
 
     def best(s: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(s) - wide + 1, F.lit(1)))
-        return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(s, i, wide), F.lit(0), lambda a, x: a + x))) / wide
+        stretch = F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(s, i, wide), F.lit(0), lambda a, x: a + x))) / wide
+        return F.when(F.aggregate(s, F.lit(0), lambda a, x: a + x) * 100 >= wide * percent, stretch)
 
     return let(same, best)
 
@@ -121,41 +117,51 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def seed_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_key, n, shift): the alignments of all documents and items that share a seed."""
+    own = [f"added_{k}" for k in ADDED]
+    marks = windows(items, ["item_key", "n"], F.col("item")).distinct()
+    marks = stored(marks.select("seed", F.col("at").alias("item_at"), "item_key", "n", *(F.col(c).alias("item_" + c) for c in own)), "benchmark-seeds")
+    agree = F.lit(False)
+    for c in own:
+        agree = agree | F.coalesce(F.col(c) == F.col("item_" + c), F.lit(False))
+    hits = windows(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks, marks.count()), "seed").where(agree)
+    hits = hits.select("doc_id", "text_hash", "item_key", "n", (F.col("at") - F.col("item_at")).alias("shift"))
+    short = short_hits(docs, items)
+    return stored((hits if short is None else hits.unionByName(short)).distinct(), "seed-hits")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, item_id, overlap) of all verified overlaps; a document is its id and the hash of its text."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
-    items = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct(), "items")
-    marks = exploded(items.withColumn("item_hash", F.xxhash64("item")), ["item_id", "item_hash"], F.col("item"))
-    marks = stored(marks.withColumnRenamed("at", "item_at").distinct(), "benchmark-seeds")
-    hits = (
-        exploded(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks, marks.count()), "seed")
-        .select("doc_id", "text_hash", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")))
-    short = short_hits(docs, items)
-    hits = stored((hits if short is None else hits.unionByName(short)).distinct(), "seed-hits")
-    ids = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    if percent < PERCENT:
+        raise ValueError(f"the masks lose no overlap of {PERCENT} % or more; {percent} % is less")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct()
+    items = stored(items.withColumn("n", F.size("item")).withColumn("item_key", F.xxhash64(F.col("item_id").isNull(), "item_id", "item")), "items")
+    hits = seed_hits(texts.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), items)
+    # only small numbers are gathered, and of a long document no more than a block's; the words join them once
+    laid = hits.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / BLOCK).alias("block")).agg(F.collect_list(F.struct("item_key", "n", "shift")).alias("hits"))
+    laid = laid.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
+    ids = laid.select("hit_id", "hit_hash").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    known = items.select(F.col("item_id").alias("known_id"), F.xxhash64("item").alias("known_hash"), "item")
-    laid = (
-        hits.join(bounded(known, items.count()), F.col("item_id").eqNullSafe(F.col("known_id")) & (F.col("item_hash") == F.col("known_hash")))
-        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("hits"))
-        .select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
-    )
-    scored = (
-        docs.join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
-        .select("doc_id", "text_hash", "words", "hits")
-        .select("doc_id", "text_hash", F.explode(let(F.col("words"), lambda w: F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), overlap(w, h["item"], h["shift"]).alias("overlap"))))).alias("o"))
-        .select("doc_id", "text_hash", "o.item_id", "o.overlap")
-    )
-    return scored.where(F.col("overlap") * 100 >= percent).groupBy("doc_id", "text_hash", "item_id").agg(F.max("overlap").alias("overlap"))
+    hit_texts = texts.distinct().join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
+    part = lambda w, h: F.slice(w, F.greatest(h["shift"], F.lit(0)) + 1, F.greatest(h["n"] - F.greatest(-h["shift"], F.lit(0)), F.lit(0)))
+    parts = hit_texts.select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), part(w, h).alias("part"))))).alias("h"))
+    known = bounded(items.select("item_key", "item_id", "item"), items.count())
+    scored = parts.select("doc_id", "text_hash", "h.*").join(known, "item_key")
+    scored = scored.select("doc_id", "text_hash", "item_id", F.size("item").alias("n"), overlap(F.col("part"), F.col("item"), F.col("shift"), percent).alias("overlap"))
+    enough = F.col("overlap") * 100 >= F.when(F.col("n") < SPAN, 100).otherwise(percent)
+    return scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max("overlap").alias("overlap"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, items (sorted ids, comma-joined) and its largest overlap.
 
     Null text has no tokens and is clean. Items under ``SPAN`` tokens are found word for word only; null and empty ones
-    are not looked for. Repeated rows get the same result each; repeated items count once. An
-    empty table gives no rows, an empty benchmark only clean rows; other columns are ignored.
+    are not looked for. Texts of any length are read whole, a row for each window. Of overlaps that tie all count as
+    items. Repeated rows get the same result each; repeated items count once. An empty table gives no rows, an empty
+    benchmark only clean rows; other columns are ignored. ``percent`` must be ``PERCENT`` or more.
     """
     found = overlaps(docs, benchmark, id_col, text_col, percent=percent).groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("items"), F.max("overlap").alias("overlap")

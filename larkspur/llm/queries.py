@@ -119,25 +119,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def seed_sql(source: str, ids: str) -> str:
-    """All (mask, picked tokens, place) of the token lists of ``source``."""
-    from .decontam import MASKS, SPAN
-
-    picks = ", ".join("'" + str(n) + " ' || " + " || ' ' || ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") for n, mask in enumerate(MASKS))
-    return f"SELECT {ids}, i, unnest([{picks}]) AS seed FROM (SELECT {ids}, w, unnest(generate_series(1, len(w) - {SPAN - 1})) AS i FROM {source} WHERE len(w) >= {SPAN})"
-
-
-OP10_SQL = f"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS ({seed_sql("d", "doc_id")}),
-bs AS ({seed_sql("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.seed = bs.seed),
+# Every alignment of every document and item is counted; no seed takes part.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+bt AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS n FROM b),
+hits AS (SELECT doc_id, item_id, dt.p - bt.p AS shift FROM dt JOIN bt ON dt.t = bt.t GROUP BY ALL HAVING count(*) * 100 >= 80 * least(any_value(n), 16)),
 places AS (SELECT h.doc_id, h.item_id, h.shift, k, len(b.w) AS n, CASE WHEN k + shift >= 1 AND k + shift <= len(d.w) AND d.w[k + shift] = b.w[k] THEN 1 ELSE 0 END AS same
   FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id, unnest(generate_series(1, len(b.w))) AS u(k)),
 runs AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS s FROM places),
-best AS (SELECT doc_id, item_id, max(CAST(s AS DOUBLE) / least(n, 16)) AS overlap FROM runs WHERE k <= greatest(n - 15, 1) GROUP BY 1, 2),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(overlap) AS overlap FROM best WHERE overlap * 100 >= 80 GROUP BY 1)
+best AS (SELECT doc_id, item_id, any_value(n) AS n, max(CAST(s AS DOUBLE) / least(n, 16)) AS overlap FROM runs WHERE k <= greatest(n - 15, 1) GROUP BY 1, 2),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(overlap) AS overlap FROM best WHERE overlap * 100 >= CASE WHEN n < 10 THEN 100 ELSE 80 END GROUP BY 1)
 SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(overlap, 0.0) AS overlap FROM d LEFT JOIN found f ON f.doc_id = d.doc_id
 """
 
