@@ -1,9 +1,11 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-A group is all rows with equal text (null counts as empty); it is never split over shards. Groups of at least
-``1 / (shards * GRAIN)`` of all bytes are packed one by one, so there are at most ``shards * GRAIN`` of them; all
-smaller groups are first bundled by the hash of their text into ``BUNDLES`` indivisible bundles. The driver therefore
-packs at most ``shards * GRAIN + BUNDLES`` items whatever the corpus size, and only that bounded table is broadcast.
+A group is all rows with equal text (null counts as empty); it is never split over shards. Every group is packed by its
+own size, however small. Groups of equal size are alike to the packing, so the driver packs classes, a size and the
+number of groups that have it: when a group goes into the tightest bin that fits, the next one of its size goes there
+as long as it fits, which is what packing them one by one does. Different sizes sum up, so there are at most
+sqrt(2 * bytes) classes (250,000 for 30 GB, in practice the number of different text lengths). The groups of a class get
+ranks, and the packing's answer is which ranks go to which shard.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql.window import Window
 
 from .runtime import forget, stored
 
-GRAIN = 1024
-BUNDLES = 8192
-SLOT_BUCKETS = 1024
+#: Groups of a class are ranked in parts of about so many.
+RANKED = 4096
+#: Groups with more than 1/HOT of all rows (so at most HOT of them) join their rows by broadcast.
+HOT = 4096
+#: Classes up to this number are broadcast to the groups; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 class CapacityTree:
@@ -99,54 +104,95 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(items: Iterable[tuple], capacity: int) -> dict:
-    """{item: bin}: items (key, size) by falling size (ties: key) into the tightest bin; a new bin only when none fits."""
+def best_fit_decreasing(classes: Iterable[tuple[int, int]], capacity: int, most: int | None = None) -> dict[int, list[tuple[int, int]]] | None:
+    """{size: [(bin, number of items), ...]} of items given as (size, count) with sizes all different.
+
+    Items by falling size go into the tightest bin, a new one only when none fits; the items of a class are put into a
+    bin as many at once as one by one would follow each other there. None as soon as more than ``most`` bins are open.
+    """
     tree, bins, placed = CapacityTree(), 0, {}
-    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        found = tree.tightest(size)
-        if found is None:
-            found, bins = (capacity, bins), bins + 1
-        else:
-            tree.remove(found)
-        tree.add((found[0] - size, found[1]))
-        placed[key] = found[1]
+    for size, count in sorted(classes, reverse=True):
+        own = placed[size] = []
+        while count:
+            found = tree.tightest(size)
+            if found is None:
+                found, bins = (capacity, bins), bins + 1
+                if most is not None and bins > most:
+                    return None
+            else:
+                tree.remove(found)
+            taken = min(count, max(found[0] // size, 1))
+            tree.add((found[0] - taken * size, found[1]))
+            own.append((found[1], taken))
+            count -= taken
     return placed
 
 
-def balanced_packing(items: list[tuple], shards: int) -> dict:
-    """{item: shard} with at most ``shards`` bins of the least capacity that best-fit-decreasing can meet.
+def balanced_packing(classes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """{size: [(shard, number of items), ...]} with at most ``shards`` bins of the least capacity that best fit can meet.
 
     An item above the mean of what is left gets a shard of its own, so that one huge group does not set the
     capacity of all the others.
     """
-    rest, placed, first = sorted(items, key=lambda x: (-x[1], x[0])), {}, 0
-    left = sum(s for _, s in rest)
-    while rest and shards - first > 1 and rest[0][1] * (shards - first) > left:
-        key, size = rest.pop(0)
-        placed[key], first, left = first, first + 1, left - size
+    rest, alone, first = sorted(classes, reverse=True), {}, 0
+    left = sum(size * count for size, count in rest)
+    while rest and shards - first > 1 and rest[0][0] * (shards - first) > left:
+        size, count = rest.pop(0)
+        alone.setdefault(size, []).append((first, 1))
+        first, left = first + 1, left - size
+        if count > 1:
+            rest.insert(0, (size, count - 1))
     if not rest:
-        return placed
+        return alone
     n = shards - first
-    low, high = max(-(-left // n), rest[0][1]), left
+    low, high = max(-(-left // n), rest[0][0]), left
     best = None
     while low < high:
         middle = (low + high) // 2
-        tried = best_fit_decreasing(rest, middle)
-        if max(tried.values()) < n:
+        tried = best_fit_decreasing(rest, middle, n)
+        if tried is not None:
             high, best = middle, tried
         else:
             low = middle + 1
         if best is not None and high - low <= max(1, low // 100_000):
             break
     best = best if best is not None else best_fit_decreasing(rest, high)
-    return placed | {k: b + first for k, b in best.items()}
+    return {size: alone.get(size, []) + [(b + first, k) for b, k in best.get(size, [])] for size in {**alone, **best}}
+
+
+def shards_of_groups(groups: DataFrame, shards: int) -> DataFrame:
+    """``groups`` (grp, bytes, rows) with the shard of each: packed by classes, dealt out within a class by rank."""
+    spark = groups.sparkSession
+    classes = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).toLocalIterator()]
+    counts, cuts = dict(classes), []
+    for size, parts in balanced_packing(classes, shards).items():
+        at, starts = 0, []
+        for shard, taken in parts:
+            starts.append((at, shard))
+            at += taken
+        cuts.append((size, -(-counts[size] // RANKED), starts))
+    table = spark.createDataFrame(cuts, "bytes long, parts long, starts array<struct<start: long, shard: int>>")
+    table = F.broadcast(table) if len(cuts) <= BROADCAST_ROWS else table
+    # a class that lies in one shard needs no ranks
+    whole = groups.join(table, "bytes").withColumn("part", F.pmod(F.xxhash64("grp"), "parts"))
+    simple = whole.where(F.size("starts") == 1).select("grp", "rows", F.col("starts")[0]["shard"].alias("shard"))
+    split = stored(whole.where(F.size("starts") > 1).select("grp", "rows", "bytes", "part", "starts"), "shard-classes")
+    sizes = split.groupBy("bytes", "part").agg(F.count("*").alias("n"))
+    ahead = sizes.select(F.col("bytes").alias("of_bytes"), F.col("part").alias("of_part"), (F.sum("n").over(Window.partitionBy("bytes").orderBy("part")) - F.col("n")).alias("ahead"))
+    ranked = split.withColumn("own", F.row_number().over(Window.partitionBy("bytes", "part").orderBy("grp")) - 1)
+    ranked = ranked.join(ahead, (F.col("bytes") == F.col("of_bytes")) & (F.col("part") == F.col("of_part"))).withColumn("rank", F.col("ahead") + F.col("own"))
+    chosen = F.element_at(F.filter("starts", lambda s: s["start"] <= F.col("rank")), -1)["shard"]
+    homes = stored(simple.unionByName(ranked.select("grp", "rows", chosen.alias("shard"))), "shard-homes")
+    forget(split)
+    return homes
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size (UTF-8 bytes + 1), text_crc32, shard and a gapless slot within the shard.
 
-    Null text counts as empty text; rows repeated with the same id keep one slot each; an empty table gives no rows;
-    ties in size fall back to the group's hash, ties in order to the id and then the hash. Other columns are ignored.
+    Null text counts as empty text; texts of any length are sized whole and never moved; rows repeated with the same id
+    keep one slot each; an empty table gives no rows; groups that tie in size are dealt out by their hash, slots go by
+    a hash of the id, then by the id and the text's hash. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -157,26 +203,30 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.xxhash64(text).alias("grp"),
     )
     rows = stored(rows, "shard-rows")
-    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * (shards * GRAIN) >= F.lit(total)
-    bundle = F.pmod(F.col("grp"), F.lit(BUNDLES))
-    items = groups.select(large.alias("big"), F.when(large, F.col("grp")).otherwise(bundle).alias("item"), "bytes").groupBy("big", "item").agg(F.sum("bytes").alias("bytes")).collect()
+    n_rows = rows.count()
+    groups = stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    homes = shards_of_groups(groups, shards)
     forget(groups)
-    placed = balanced_packing([((r.big, r.item), r.bytes) for r in items], shards)
-    table = spark.createDataFrame([(big, item, shard) for (big, item), shard in placed.items()], "big boolean, item long, shard int")
-    bigs = F.broadcast(table.where("big").select(F.col("item").alias("grp"), F.col("shard").alias("own_shard")))
-    bundles = F.broadcast(table.where("not big").select(F.col("item").alias("bundle"), F.col("shard").alias("bundle_shard")))
+    hot = F.col("rows") * HOT > n_rows
+    few = F.broadcast(homes.where(hot).select("grp", F.col("shard").alias("hot_shard")))
+    rest = homes.where(~hot).select("grp", "shard")
+    buckets = max(1024, min(65536, n_rows // RANKED // shards))
+    kept = ("doc_id", "size", "text_crc32", "grp")
+    known = rows.join(few, "grp", "left")
     assigned = (
-        rows.join(bigs, "grp", "left").withColumn("bundle", bundle).join(bundles, "bundle", "left")
-        .select("doc_id", "size", "text_crc32", "grp", F.coalesce("own_shard", "bundle_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"))
+        known.where(F.col("hot_shard").isNotNull()).select(*kept, F.col("hot_shard").alias("shard"))
+        .unionByName(known.where(F.col("hot_shard").isNull()).select(*kept).join(rest, "grp").select(*kept, "shard"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
     )
-    counts = {(r.shard, r.bucket): r.n for r in assigned.groupBy("shard", "bucket").agg(F.count("*").alias("n")).collect()}
+    assigned = stored(assigned, "shard-assigned")
+    counts = {(r.shard, r.bucket): r.n for r in assigned.groupBy("shard", "bucket").agg(F.count("*").alias("n")).toLocalIterator()}
     starts, at = [], dict.fromkeys(range(shards), 0)
     for shard, bucket in sorted(counts):
         starts.append((shard, bucket, at[shard]))
         at[shard] += counts[shard, bucket]
     offsets = F.broadcast(spark.createDataFrame(starts, "shard int, bucket int, start long"))
+    forget(rows)
+    forget(homes)
     local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "grp", "size"))
     return (
         assigned.withColumn("local", local).join(offsets, ["shard", "bucket"])
