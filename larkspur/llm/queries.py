@@ -97,12 +97,12 @@ l AS (SELECT doc_id, host, line, lower(trim(line, ' ' || chr(9) || chr(10) || ch
 lw AS (SELECT * FROM l WHERE words > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY 1),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-boiler AS (SELECT k.host, k.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM lw GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 20) k JOIN hosts ON hosts.host = k.host WHERE k.n > hosts.n * 0.01),
+boiler AS (SELECT k.host, k.key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM lw GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 10) k JOIN hosts ON hosts.host = k.host WHERE k.n > hosts.n * 0.01 OR k.n >= 1000),
 lost AS (SELECT lw.doc_id, sum(words) AS n FROM lw JOIN boiler b ON b.host = lw.host AND b.key = lw.key GROUP BY 1),
 q AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
   FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.3 * n_words) AS kept FROM q
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= 0.3 * n_words AND n_words - n_boilerplate_words >= 50) AS kept FROM q
 """
 
 
