@@ -24,7 +24,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NO_RANK = 1 << 30
 SHIFT = 20
 LONG_WORD = 256
-CACHE_WORDS = 400_000
+#: Memory that each half of a worker's word cache may take, by the lengths of words and ids and the cost of an entry.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -100,7 +102,7 @@ def merge_long(word: bytes, v: Vocabulary) -> list[int]:
 class Encoder:
     """Encodes and decodes texts; keeps the ids (as decimal text) of words met lately.
 
-    New words go to the young half; when it holds ``CACHE_WORDS`` it becomes the old half, and the old one is dropped.
+    New words go to the young half; when it holds ``CACHE_BYTES`` it becomes the old half, and the old one is dropped.
     Words found in the old half move to the young one, so frequent words stay.
     """
 
@@ -110,6 +112,7 @@ class Encoder:
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.decimal = {str(i): t for i, t in vocabulary.bytes.items()}
         self.cache: dict[str, str] = {}
+        self.held = 0
         self.old: dict[str, str] = {}
 
     def word(self, word: str) -> str:
@@ -119,10 +122,13 @@ class Encoder:
             raw = word.encode()
             out = ",".join(map(str, (merge_short if len(raw) <= LONG_WORD else merge_long)(raw, self.v)))
         if len(word) <= LONG_WORD:
-            if len(self.cache) >= CACHE_WORDS:
+            size = 2 * len(word) + len(out) + ENTRY_BYTES
+            if self.held + size > CACHE_BYTES:
                 self.old = dict(self.cache)
                 self.cache.clear()
+                self.held = 0
             self.cache[word] = out
+            self.held += size
         return out
 
     def listed(self, text: str) -> str:
@@ -165,7 +171,9 @@ def load(spark: SparkSession, path: str):
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) and the text decoded from them, one row per document in any order.
 
-    Null text is encoded as empty (no ids, empty decoded text). Rows and ids may repeat; other columns are ignored.
+    Null text is encoded as empty (no ids, empty decoded text). Rows and ids may repeat and are encoded each; of equal
+    ranks the leftmost is merged first. Texts of any length are encoded whole. An empty table gives no rows; other
+    columns are ignored.
     """
     shared = load(docs.sparkSession, vocabulary_path)
 
@@ -182,7 +190,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 def digest_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, without shipping the ids.
 
-    Nulls, repeats and extra columns as in ``encode_documents``.
+    Nulls, ties, repeats, long texts, empty tables and extra columns as in ``encode_documents``.
     """
     shared = load(docs.sparkSession, vocabulary_path)
 

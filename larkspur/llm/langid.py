@@ -2,8 +2,8 @@
 
 A multinomial linear model first picks the language family; one-versus-one linear support vector machines then vote
 among the learned languages of that family. Features are hashed letter 1- to 3-grams of the whole text. The models are
-fitted on the driver from a bounded sample: about ``SAMPLE_PER_LANG`` labelled training rows a language, drawn by the
-hash of their id; feature vectors have a fixed length, so what reaches the driver has a fixed bound per language.
+fitted on the driver from a bounded sample: about ``SAMPLE_PER_LANG`` labelled training texts a language, drawn by their
+hash, of at most ``MOST_LANGS`` languages; feature vectors have a fixed length, so what reaches the driver has a fixed bound per language.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .runtime import with_python_columns
 
 SAMPLE_PER_LANG = 500
+MOST_LANGS = 256
 BUCKETS = (256, 2048, 4096)
 DIMS = sum(BUCKETS)
 UNDETERMINED = "und"
@@ -142,14 +143,18 @@ class Model:
         return winner, float(min(1.0, max(0.0, p[best] * sure)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """A model from the labelled rows that are not held out; None if there is none with a letter."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
+    """A model from the labelled rows that are not held out; None if there is none with a letter.
+
+    The driver gets about ``per_lang`` different texts of each of the ``most_langs`` languages with most of them (ties: by
+    name), whatever the table holds: texts are drawn by their hash, equal ones count once.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     space = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(space))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("text")), F.lit(space))
     chosen = None
     for lang, n in sorted(counts.items()):
         part = (F.col("lang") == lang) & (draw < int(min(1.0, per_lang / n) * space))
@@ -161,7 +166,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = [np.flatnonzero(f) for _, f in made]
             yield pd.DataFrame({"lang": [lang for lang, _ in made], "at": [i.astype("<u2").tobytes() for i in at], "value": [f[i].astype("<f4").tobytes() for i, (_, f) in zip(at, made, strict=True)]})
 
-    got = rows.where(chosen).select("lang", "text").mapInPandas(run, "lang string, at binary, value binary").collect()
+    got = rows.where(chosen).select("lang", "text").distinct().mapInPandas(run, "lang string, at binary, value binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.value)))
@@ -190,7 +195,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; learns from the rows that are not held out.
 
-    Null lang rows are predicted but not learned from; repeated rows are predicted alike; an empty table gives no rows.
+    Null lang rows are predicted but not learned from; null text is ``und``; rows without an id are not held out; texts of
+    any length are read whole; of languages that tie in votes the last by name wins; repeated rows are predicted alike and
+    learned from once; an empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, id_col, text_col, lang_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only when neither is set (tests on one machine) a temporary folder is created and registered.
+    Only when neither is set and the master is local (tests on one machine) a temporary folder is created and registered.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -55,13 +57,17 @@ def forget(df: DataFrame | None) -> None:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 SLICE = 256
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``BATCH_ROWS`` rows: rows here hold whole texts or sets, and both sides buffer a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``: rows here hold whole texts or sets, and both sides
+    buffer a batch. A setting of the session that is smaller stays; a larger one is lowered, for the session's lifetime
+    (plans read it when they run)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) if "Bytes" in key else int(spark.conf.get(key))
+        if not 0 < own <= most:
+            spark.conf.set(key, str(most))
 
 
 def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], make: Callable[..., Iterable[tuple]], drop: tuple[str, ...] = ()) -> DataFrame:

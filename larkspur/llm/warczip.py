@@ -28,6 +28,8 @@ WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdxj"
 ARCHIVE_BYTES = 64 << 20
 MIN_REVISIT = 100
+#: Archives are read by as many tasks as there are archives, up to this number.
+MOST_TASKS = 100_000
 STORED = 0
 
 # Fixed values of the ZIP format: signatures, and the fields' layouts after them.
@@ -307,7 +309,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return archives.repartition("path").mapInArrow(run, schema)
+    # a number of its own, as adaptive execution would join the few bytes of all paths into one task
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
@@ -315,6 +319,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, a null url empty. Of equal payloads of ``MIN_REVISIT`` bytes or more the row with the
     smallest page_id is the response; rows repeated with that id are responses too. Rows without a page_id are
-    responses and never referred to. An empty table gives no rows; other columns are ignored.
+    responses and never referred to. Payloads of any length are one record each, written and read one at a time. An
+    empty table gives no rows; other columns are ignored.
     """
     return read_archives(write_archives(pages, new_folder(pages.sparkSession, "warc")), with_payload=False)

@@ -40,7 +40,7 @@ def test_long_and_short_merges_agree():
 def test_a_full_cache_changes_nothing(monkeypatch):
     v = bpe.Vocabulary(BPE_VOCABULARY)
     whole, text = bpe.Encoder(v), " ".join(rows()[0][1].split() * 3)
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 700)
     small = bpe.Encoder(v)
     assert [small.encode(r[1] or "") for r in rows()] == [whole.encode(r[1] or "") for r in rows()]
     assert len(small.cache) <= 3 and len(small.old) <= 3 and small.encode(text) == whole.encode(text)

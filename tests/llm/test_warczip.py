@@ -41,6 +41,13 @@ def test_round_trip_against_brute_force(spark):
     assert warczip.archived_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_archives_are_read_by_as_many_tasks(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(40)], "page_id long, url string, html string").repartition(7)
+    archives = warczip.write_archives(pages, runtime.new_folder(spark, "warc"))
+    assert archives.count() > 1
+    assert warczip.read_archives(archives).rdd.getNumPartitions() == archives.count()
+
+
 def test_several_archives_from_one_task(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warczip, "ARCHIVE_BYTES", 300)
     writer = None
