@@ -1,14 +1,23 @@
 """Secret scan: pattern spans, plus credential values whose guess cost is high.
 
-The guess cost of a value is the least total log10 guesses over all its segmentations into common words, dates,
-repeats, keyboard walks or sequences, and brute-force characters (dynamic programming over end positions).
+The guess cost of a value is the least total log10 guesses over all its segmentations (dynamic programming over end
+positions) into
+
+- words: the rank among common words, those of the corpus (the most frequent ``MOST_WORDS``, held by many texts) and a
+  fixed list of what passwords and placeholders are made of;
+- dates;
+- repeats: the unit of up to ``MOST_UNIT`` characters that goes before, ``k`` times in all: log10(k);
+- keyboard walks: neighbouring keys, or letters in the order of the alphabet;
+- single characters by brute force.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +28,19 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+# a whole name, a sign of assignment and a value; or the password of an address with a user
 CONTEXT = re.compile(
-    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|login|bearer)"""
-    r"""(?:(?:[_-]|[0-9]|[A-Z][a-z])[A-Za-z0-9_-]{0,40})?"""
-    r"""["']?[\x20\t]{0,8}(?::=|=>|[:=])[\x20\t]{0,8}(?ai:bearer[\x20\t]{1,8}|basic[\x20\t]{1,8})?"""
+    r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?ai:(?:bearer|basic)[\x20\t]++)?"""
     r"""(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|["'`]?([^\s"'`<>,;]+))"""
-    r"""|://[^\s/:@]{1,256}:([^\s/@]+)@"""
+    r"""|://[^\s/:@]++:([^\s/@]++)@"""
 )
+# a name speaks of a credential if such a word stands in it, at its end or before another part of the name
+CREDENTIAL = re.compile(r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|login|bearer)(?:$|[_0-9-]|[A-Z][a-z])")
 MIN_GUESSES = 10.0
+MOST_WORDS = 20_000
+#: A common word is held by texts of at least so many of 64 hash classes, so copies of one text do not make it common.
+LEAST_CLASSES = 8
+MOST_UNIT = 16
 
 # Common words of passwords and placeholders, most common first (their place is their rank).
 WORDS = (
@@ -39,13 +53,13 @@ WORDS = (
     "december london paris berlin madrid america england france germany spain soccer hockey tiger lion eagle silver gold "
     "purple orange yellow green blue black white red star moon sun"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+LISTED: Mapping[str, int] = {w: i + 1 for i, w in enumerate(WORDS)}
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in KEYBOARD for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+YEAR, MONTH, DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+DATES = [re.compile(p, re.ASCII) for p in (rf"{YEAR}([-/._]?){MONTH}\1{DAY}", rf"{DAY}([-/._]?){MONTH}\1{YEAR}", rf"{MONTH}([-/._]?){DAY}\1{YEAR}", YEAR)]
 WALK_START, DATE_GUESSES = math.log10(47), math.log10(365 * 120)
-MAX_RUN = 64
+LEAST_SPAN = 3  # characters of a word or a walk
 
 
 def char_cost(c: str) -> float:
@@ -56,42 +70,90 @@ def char_cost(c: str) -> float:
     return math.log10(33) if c < "\x7f" else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations of ``value``; 0 for an empty value. Linear in its length."""
+def word_cost(rank: int, cased: bool) -> float:
+    return math.log10(rank * (2 if cased else 1) + 1)
+
+
+class Starts:
+    """Start positions from which a span goes on, with the cost so far; the price of a span is the log of its length.
+
+    As a span grows, an earlier start only gains on a later one. So a later start that costs as much as an earlier one
+    is dropped for good, and so is an earlier one that was dearer to reach; few are ever left.
+    """
+
+    __slots__ = ("held",)
+
+    def __init__(self):
+        self.held: list[tuple[int, float]] = []
+
+    def add(self, at: int, cost: float) -> None:
+        while self.held and self.held[-1][1] >= cost:
+            self.held.pop()
+        self.held.append((at, cost))
+
+    def least(self, end: int, fixed: float, unit: int, ahead: int) -> float:
+        """The least cost of a span that ends at ``end``: fixed + log10(ahead + length / unit)."""
+        out, left = math.inf, []
+        for at, cost in self.held:
+            total = cost + fixed + math.log10(ahead + (end - at) / unit)
+            if total < out:
+                out = total
+                left.append((at, cost))
+        self.held = left
+        return out
+
+
+def guess_cost(value: str, ranks: Mapping[str, int] = LISTED, longest: int | None = None, enough: float = math.inf) -> float:
+    """Least log10 guesses over all segmentations of ``value``, or ``enough`` if it is no less; 0 for an empty value.
+
+    Costs only add up, so positions that cost ``enough`` to reach are given up: a long random value ends early.
+    """
+    longest = longest or max(map(len, ranks), default=0)
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     best = [0.0] + [math.inf] * n
-    walk = [1] * n
-    for i in range(1, n):
-        walk[i] = walk[i - 1] + 1 if (low[i - 1], low[i]) in NEXT else 1
-    run = [1] * n
-    for i in range(1, n):
-        run[i] = run[i - 1] + 1 if low[i] == low[i - 1] else 1
+    walk, walk_from = Starts(), 0
+    same = [0] * (MOST_UNIT + 1)  # for each unit, how many characters equal those a unit before
+    repeats: dict[tuple[int, int], Starts] = {}
     dates: dict[int, list[int]] = {}
-    for at in range(n):
-        if low[at].isdigit() and (m := DATE.match(low, at)):
-            for end in {m.end(), at + 4 if low[at : at + 2] in ("19", "20") and low[at : at + 4].isdigit() and len(low[at : at + 4]) == 4 else m.end()}:
-                dates.setdefault(end, []).append(at)
+    last = 0
     for i in range(1, n + 1):
-        cost = best[i - 1] + char_cost(value[i - 1])
-        for size in range(3, min(LONGEST, i) + 1):
-            rank = RANK.get(low[i - size : i])
-            if rank:
-                cased = value[i - size : i] != low[i - size : i]
-                cost = min(cost, best[i - size] + math.log10(rank * (2 if cased else 1) + 1))
-        for size in range(3, min(walk[i - 1], MAX_RUN) + 1):
-            cost = min(cost, best[i - size] + WALK_START + math.log10(size))
-        if run[i - 1] >= 3:
-            size = run[i - 1]
-            cost = min(cost, best[i - size] + char_cost(value[i - 1]) + math.log10(size))
-        for unit in range(2, 9):
-            if i >= 2 * unit and low[i - unit : i] == low[i - 2 * unit : i - unit]:
-                cost = min(cost, best[i - unit] + math.log10(2))
-        for at in dates.get(i, ()):
-            cost = min(cost, best[at] + DATE_GUESSES)
-        best[i] = cost
-    return best[n]
+        c = low[i - 1]
+        at = i - 1
+        if "0" <= c <= "9":
+            for end in {m.end() for p in DATES if (m := p.match(low, at))}:
+                dates.setdefault(end, []).append(at)
+        cost = best[at] + char_cost(value[at])
+        for size in range(LEAST_SPAN, min(longest, i) + 1):
+            if best[i - size] < enough and (rank := ranks.get(low[i - size : i])):
+                cost = min(cost, best[i - size] + word_cost(rank, value[i - size : i] != low[i - size : i]))
+        if i > 1 and (low[i - 2], c) not in NEXT:
+            walk, walk_from = Starts(), at
+        if i - walk_from >= LEAST_SPAN:
+            if best[i - LEAST_SPAN] < enough:
+                walk.add(i - LEAST_SPAN, best[i - LEAST_SPAN])
+            cost = min(cost, walk.least(i, WALK_START, 1, 0))
+        for unit in range(1, min(MOST_UNIT, at) + 1):
+            if low[at] != low[at - unit]:
+                if same[unit]:
+                    same[unit] = 0
+                    for k in range(unit):
+                        repeats.pop((unit, k), None)
+                continue
+            same[unit] += 1
+            if same[unit] >= unit:
+                own = repeats.setdefault((unit, i % unit), Starts())
+                if best[i - unit] < enough:
+                    own.add(i - unit, best[i - unit])
+                cost = min(cost, own.least(i, 0.0, unit, 1))
+        for start in dates.pop(i, ()):
+            cost = min(cost, best[start] + DATE_GUESSES)
+        if cost < enough:
+            best[i], last = cost, i
+        elif i - last > longest and not walk.held and not any(s.held for s in repeats.values()) and not dates:
+            return enough
+    return min(best[n], enough)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -105,16 +167,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, str]], min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
+def guessed_spans(text: str, base: list[tuple[int, int, str]], min_guesses: float = MIN_GUESSES, ranks: Mapping[str, int] = LISTED, longest: int | None = None) -> list[tuple[int, int, str]]:
     """Values in credential contexts, outside the base spans, that cost at least 10 ** ``min_guesses`` guesses."""
     if ":" not in text and "=" not in text:
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
+    apart: list[list[int]] = []  # the stretches that base spans cover
+    for start, _, end in base:
+        if apart and start < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], end)
+        else:
+            apart.append([start, end])
+    found, at = [], 0
+    while m := CONTEXT.search(text, at):
+        if m[1] is not None and not CREDENTIAL.search(m[1]):
+            at = m.end(1)
+            continue
+        at = m.end()
         start, end = m.span(m.lastindex)
-        while m.lastindex > 3 and end > start and text[end - 1] in ".)]}!?":
+        while m.lastindex > 4 and end > start and text[end - 1] in ".)]}!?":
             end -= 1
-        if not any(s < end and start < e for s, _, e in base) and guess_cost(text[start:end]) >= min_guesses:
+        before = bisect.bisect_left(apart, [end]) - 1
+        if (before < 0 or apart[before][1] <= start) and guess_cost(text[start:end], ranks, longest, min_guesses) >= min_guesses:
             found.append((start, 3, end))
     return found
 
@@ -123,19 +196,39 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES) -> DataFrame:
-    """doc_id, counts of the pattern kinds, base_sha256 and all spans (kind:start:end, code points) of every row.
+def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least_classes: int = LEAST_CLASSES) -> dict[str, int]:
+    """{word: rank} of the ``most`` most frequent words (3 to 32 letters, lower case) of all texts, ties by the word.
+
+    Only words that texts of at least ``least_classes`` of 64 hash classes hold; the driver gets ``most`` rows at most.
+    """
+    text = F.col(text_col)
+    words = docs.select(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{text_col}`), 64) as int))").alias("class"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    words = words.where(F.length("word").between(LEAST_SPAN, 32))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("class").alias("classes")).where(F.bit_count("classes") >= least_classes)
+    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    return {r.word: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)))}
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, most_words: int = MOST_WORDS) -> DataFrame:
+    """doc_id, counts of the pattern kinds, base_sha256 and all spans (kind:start:end, code points) of every row, then
+    n_guess, the number of added spans.
 
-    Null text counts as empty: no spans, the digest of nothing. Repeated rows give repeated results; an empty table
-    gives no rows; other columns are ignored.
+    Null text counts as empty: no spans, the digest of nothing. Texts and values of any length are read whole. Words that
+    tie in frequency rank by spelling. Repeated rows give repeated results; an empty table gives no rows; other columns
+    are ignored.
     """
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ranks = common_words(narrow, most=most_words)
+    for word, rank in LISTED.items():
+        ranks[word] = min(rank, ranks.get(word, rank))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, max(map(len, ranks))))
 
     def make(texts):
+        known, longest = shared.value
         for text in texts:
             base = base_spans(text or "")
-            every = sorted(base + guessed_spans(text or "", base, min_guesses))
-            yield (*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))
+            guessed = guessed_spans(text or "", base, min_guesses, known, longest)
+            yield (*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + guessed)), len(guessed))
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    outputs = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
+    outputs = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "n_guess": "long"}
     return with_python_columns(narrow, ["text"], outputs, make, drop=("text",))
