@@ -128,7 +128,7 @@ def labelled_table() -> list[tuple[list[str], list[str]]]:
 
 def shape(token: str) -> str:
     """Word shape: digits d (runs over 6 as D), lower a, upper A (runs squeezed), other letters w, the rest kept."""
-    out, i, n = [], 0, min(len(token), 64)
+    out, i, n = [], 0, len(token)
     while i < n:
         c, j = token[i], i
         if c.isdigit():
@@ -224,19 +224,21 @@ class Field:
         self.emit, self.step = theta[0], theta[1] + self.banned
 
     def _gradient(self, theta, feats, gold, mask, groups):
-        """Expected minus observed counts of features and transitions, by forward and backward sums."""
-        emit, step = theta[0], theta[1] + self.banned
+        """Expected minus observed counts of features and transitions, by scaled forward and backward sums."""
+        emit, step = theta[0], np.exp(theta[1] + self.banned)
         score = emit[feats].sum(2)
+        score = np.exp(score - score.max(2, keepdims=True))
         n, t, s = score.shape
         alpha, beta = np.zeros((n, t, s)), np.zeros((n, t, s))
-        alpha[:, 0] = score[:, 0] + step[0]
-        for i in range(1, t):
-            alpha[:, i] = np.where(mask[:, i, None], np.logaddexp.reduce(alpha[:, i - 1, :, None] + step, axis=1) + score[:, i], alpha[:, i - 1])
+        for i in range(t):
+            here = score[:, i] * (alpha[:, i - 1] @ step if i else step[0])
+            alpha[:, i] = np.where(mask[:, i, None], here / here.sum(1, keepdims=True), alpha[:, i - 1])
         beta[:, t - 1] = step[:, 0]
         for i in range(t - 2, -1, -1):
-            beta[:, i] = np.where(mask[:, i + 1, None], np.logaddexp.reduce(step + (score[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2), step[:, 0])
-        whole = np.logaddexp.reduce(alpha[:, 0] + beta[:, 0], axis=1)
-        p = np.exp(alpha + beta - whole[:, None, None]) * mask[:, :, None]
+            here = (score[:, i + 1] * beta[:, i + 1]) @ step.T
+            beta[:, i] = np.where(mask[:, i + 1, None], here / here.sum(1, keepdims=True), step[:, 0])
+        p = alpha * beta
+        p = p / p.sum(2, keepdims=True) * mask[:, :, None]
         p[np.arange(n)[:, None], np.arange(t), gold] -= mask
         grad = np.zeros_like(emit)
         tokens, present, starts = groups
@@ -244,8 +246,9 @@ class Field:
         steps = np.zeros_like(step)
         for i in range(1, t):
             on = mask[:, i]
-            both = alpha[on, i - 1, :, None] + step + (score[on, i] + beta[on, i])[:, None, :] - whole[on, None, None]
-            steps += np.exp(both).sum(0)
+            before, after = alpha[on, i - 1], score[on, i] * beta[on, i]
+            whole = ((before @ step) * after).sum(1, keepdims=True)
+            steps += step * ((before / whole).T @ after)
             np.add.at(steps, (gold[on, i - 1], gold[on, i]), -1)
         return grad, steps
 
@@ -356,10 +359,12 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of the pattern kinds, base_sha256 and all spans (kind:start:end, code points) of every row.
+    """doc_id, counts of the pattern kinds, base_sha256 and all spans (kind:start:end, code points) of every row, then
+    n_spans, their number.
 
-    Null text counts as empty: no spans, the digest of nothing. Repeated rows give repeated results; an empty table
-    gives no rows; other columns are ignored.
+    Null text counts as empty: no spans, the digest of nothing. Texts of any length are read whole; a decoded span has at
+    most ``MOST_TOKENS`` tokens. Of label sequences that tie the first in the order of ``LABELS`` is taken. Repeated rows
+    give repeated results; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
@@ -367,8 +372,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts = [t or "" for t in texts]
         bases = [base_spans(t) for t in texts]
         for base, more in zip(bases, field_spans(texts, bases, shared.value), strict=True):
-            yield (*(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)))
+            yield (*(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more)), len(base) + len(more))
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    outputs = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string"}
+    outputs = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string", "n_spans": "long"}
     return with_python_columns(narrow, ["text"], outputs, make, drop=("text",))
