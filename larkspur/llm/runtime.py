@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,23 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Only when neither is set and the master is local (tests on one machine) a temporary folder is created and registered.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+from ..session import shared_dir
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
