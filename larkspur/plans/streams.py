@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..streaming import feed
 from .common import money, table
 from .registry import query
@@ -14,12 +14,7 @@ from .registry import query
 
 def folder(spark) -> str:
     """A new folder for a stream's log and output, where all executors see it."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        current = sc._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="larkspur-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark, sf):

@@ -24,9 +24,35 @@ def build_session(app: str = "larkspur", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a table so small that its files give fewer tasks than there are cores, dealt out to all cores.
+
+    For queries that compute much for each row. A larger table is left as it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set a local master gets a temporary folder, and any other an error: on a cluster each executor
+    would write to its own disk.
+    """
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="larkspur-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder; the session's own (``spark.checkpoint.dir``) if it has one."""
-    sc = df.sparkSession.sparkContext
+    """``df`` written to the reliable checkpoint folder, that of ``shared_dir``."""
+    folder, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
