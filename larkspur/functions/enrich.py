@@ -7,12 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NAMED, first_match, normalize_org, squeeze
-
-
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once for ``body``."""
-    return F.transform(F.array(value), body)[0]
+from .text import bind, first_match, normalize_org, squeeze
+from .vocabulary import EXPECTED, NAMED
 
 
 def moment(text: Column, now: Column, ahead: str = "2 DAYS") -> Column:
@@ -51,8 +47,7 @@ def domain_country(host: Column) -> Column:
     return F.when(ending == "UK", "GB").when(ending != "", ending)
 
 
-# The currency expected in a country; unit words of declared pay.
-EXPECTED = {"US": "USD", "GB": "GBP", "CA": "CAD", "AU": "AUD", "NZ": "NZD", "CH": "CHF", "SE": "SEK", "NO": "NOK", "DK": "DKK", "PL": "PLN", "CZ": "CZK", "HU": "HUF", "RO": "RON", "IN": "INR", "AE": "AED"} | dict.fromkeys("IT FR DE ES NL BE PT IE AT FI".split(), "EUR")
+# Unit words of declared pay.
 UNITS = (("year|annu|anno", "year"), ("month|mens|mese", "month"), ("week|settiman", "week"), ("day|giorn|daily", "day"), ("hour|orari|^ora$", "hour"))
 
 

@@ -109,17 +109,18 @@ def chase(pointers: DataFrame, node: str, target: str, most_rounds: int = 40) ->
     raise ValueError("a chain of pointers does not end")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, block: int = VECTOR_BLOCK) -> DataFrame:
-    """(key, near_id, score, rn): the ``k`` rows of highest cosine for every row, ties by id; a row is not its own neighbour.
+def nearest(df: DataFrame, key: str, vector: str, k: int, wanted: Column | None = None, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(key, near_id, score, rn): the ``k`` rows of highest cosine for every row, or every ``wanted`` one, ties by id; a row
+    is not its own neighbour.
 
     Exact, each block of rows against each: the pairs are quadratic in the rows, but a task holds two blocks at a time
     and hands on at most ``k`` neighbours of a row from each. ``key`` must be unique; null and zero vectors have no neighbours.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.lit(True) if wanted is None else wanted).alias("asked")).where(F.col("v").isNotNull())
     blocks = max(1, -(-rows.count() // block))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
-    left = rows.select("id", "v", F.col("own").alias("a"), every).withColumnRenamed("other", "b")
+    left = rows.where("asked").select("id", "v", F.col("own").alias("a"), every).withColumnRenamed("other", "b")
     right = rows.select("id", "v", F.col("own").alias("b"), every).withColumnRenamed("other", "a")
 
     def in_order(x, y):

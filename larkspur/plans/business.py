@@ -151,18 +151,14 @@ def recall_at_k(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT q, vec_id, list_sum(list_transform(list_zip(qe, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / sqrt(list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS s FROM q, embeddings WHERE vec_id <> q)
 SELECT q, vec_id, rn FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rn FROM d) WHERE rn <= 10
 """)
 def cosine_topk(spark, sf):
-    """Ten nearest vectors (a top-k report) of a stated, bounded query set against all rows."""
-    rows = table(spark, sf, "embeddings")
-    unit = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"), F.sqrt)
-    queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), unit.alias("qn"))
-    dot = F.aggregate(F.zip_with("qe", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = rows.withColumn("n", unit).join(F.broadcast(queries), F.col("vec_id") != F.col("q")).select("q", "vec_id", (dot / F.col("qn") / F.col("n")).alias("s"))
-    return windows.ranked(scored, ["q"], [F.col("s").desc(), F.col("vec_id")]).where("rn <= 10").select("q", "vec_id", "rn")
+    """Ten nearest vectors of every row whose id is divisible by 20, against all rows, in bounded blocks."""
+    near = joins.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 10, F.col("vec_id") % 20 == 0)
+    return near.select(F.col("vec_id").alias("q"), F.col("near_id").alias("vec_id"), "rn")
 
 
 @query("""

@@ -30,11 +30,14 @@ def label_matcher(spark, sf):
 
 
 @query("""
-SELECT c_nationkey, kept, count(*) AS n FROM (SELECT c_nationkey, first_value(seg) OVER (PARTITION BY c_nationkey, lower(seg) ORDER BY c_custkey) AS kept, lower(seg) AS l, seg FROM (SELECT c_nationkey, c_custkey, CASE WHEN c_acctbal > 5000 THEN lower(c_mktsegment) ELSE c_mktsegment END AS seg FROM customer WHERE c_nationkey = 3))
-WHERE l IN (SELECT lower(s) FROM (SELECT CASE WHEN c_acctbal > 5000 THEN lower(c_mktsegment) ELSE c_mktsegment END AS s FROM customer WHERE c_nationkey = 3) GROUP BY 1 HAVING count(DISTINCT s) > 1) GROUP BY 1, 2
+WITH c AS (SELECT c_nationkey, c_custkey, c_nationkey || ':' || CASE WHEN c_acctbal > 5000 THEN lower(c_mktsegment) ELSE c_mktsegment END AS seg FROM customer)
+SELECT c_nationkey, kept, count(*) AS n FROM (SELECT c_nationkey, first_value(seg) OVER (PARTITION BY lower(seg) ORDER BY c_custkey) AS kept, lower(seg) AS l FROM c)
+WHERE l IN (SELECT lower(seg) FROM c GROUP BY 1 HAVING count(DISTINCT seg) > 1) GROUP BY 1, 2
 """)
 def case_variants(spark, sf):
-    rows = table(spark, sf, "customer").where("c_nationkey = 3").withColumn("seg", F.when(F.col("c_acctbal") > 5000, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
+    """Case variants of the segments of each nation."""
+    seg = F.when(F.col("c_acctbal") > 5000, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    rows = table(spark, sf, "customer").withColumn("seg", F.concat_ws(":", "c_nationkey", seg))
     return entities.case_variants(rows, "seg", [F.col("c_custkey")]).groupBy("c_nationkey", "kept").agg(F.count("*").alias("n"))
 
 
@@ -78,13 +81,32 @@ def official_codes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", enrich.by_prefix(F.col("o_orderpriority"), {"1": "top", "2-": "second"}).alias("grade"))
 
 
-@query("SELECT event_id, CASE WHEN k BETWEEN 1 AND 31 THEN strftime(make_date(2024, 1, k), '%Y-%m-%d') END AS day FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k > 12")
+@query("""
+SELECT event_id, CASE WHEN m THEN CASE WHEN k BETWEEN 13 AND 31 OR k = 1 THEN strftime(make_date(2024, 1, k), '%Y-%m-%d') END ELSE CASE WHEN k BETWEEN 1 AND 12 THEN strftime(make_date(2024, k, 25), '%Y-%m-%d') END END AS day
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 35 AS k, event_id % 2 = 0 AS m FROM events)
+""")
 def ambiguous_dates(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("int")
-    rows = table(spark, sf, "events").where(k > 12).select("event_id", F.concat(k.cast("string"), F.lit("/01/2024")).alias("t"))
-    return rows.select("event_id", F.date_format(enrich.unsure_date(F.col("t")), "yyyy-MM-dd").alias("day"))
+    """Days of January and 25ths of months, in both orders, with numbers that are no day or month among them."""
+    k, other = (F.get_json_object("props", "$.k").cast("long") % 35).cast("string"), F.col("event_id") % 2 == 0
+    text = F.when(other, F.concat(k, F.lit("/01/2024"))).otherwise(F.concat(k, F.lit("-25-2024")))
+    return table(spark, sf, "events").select("event_id", F.date_format(enrich.unsure_date(text), "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM customer")
 def registry_keys(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", enrich.registry_key(F.concat("c_name", F.lit(" GmbH"))).alias("key"))
+    """A name keeps its key whatever legal form it is written with."""
+    forms = F.array(*map(F.lit, (" GmbH", " S.p.A.", ", Inc.", " Ltd", "", " s.r.l.", " & Co. KG", " B.V.")))
+    return table(spark, sf, "customer").select("c_custkey", enrich.registry_key(F.concat("c_name", F.get(forms, (F.col("c_custkey") % 8).cast("int")))).alias("key"))
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN 'd' || c_custkey % 40 END AS d, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || c_nationkey END AS n FROM customer),
+v AS (SELECT id, 'dom:' || d AS key, min(id) OVER (PARTITION BY d) AS head FROM k WHERE d IS NOT NULL UNION ALL SELECT id, 'nom:' || n, min(id) OVER (PARTITION BY n) FROM k WHERE n IS NOT NULL),
+p AS (SELECT id AS node, arg_min(head, key) AS target FROM v WHERE head <> id GROUP BY 1),
+c AS (SELECT id AS node, id AS target, 0 AS hop FROM k UNION ALL SELECT c.node, p.target, hop + 1 FROM c JOIN p ON p.node = c.target)
+SELECT node AS c_custkey, arg_max(target, hop) AS canonical FROM c GROUP BY 1
+""")
+def canonical_companies(spark, sf):
+    """Customers that share a domain or a name elect the smallest key; chains of both are followed."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("d"), (F.col("c_custkey") % 40).cast("string"))).alias("d"), F.when(F.col("c_custkey") % 5 != 0, F.concat("c_mktsegment", "c_nationkey")).alias("n"))
+    return entities.canonical_companies(rows, "c_custkey", "d", "n", [F.col("c_custkey")]).select("c_custkey", "canonical")

@@ -128,13 +128,14 @@ def busy_overlap_anti(spark, sf):
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT n_nationkey AS node, CAST(floor(n_nationkey / 2) AS INTEGER) AS target FROM nation WHERE n_nationkey % 5 <> 0),
-c AS (SELECT node, target FROM p UNION ALL SELECT c.node, p.target FROM c JOIN p ON c.target = p.node)
-SELECT node, target FROM c WHERE target NOT IN (SELECT node FROM p)
+WITH RECURSIVE p AS (SELECT o_orderkey AS node, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM orders),
+c AS (SELECT node, target FROM p WHERE target IS NOT NULL UNION ALL SELECT c.node, p.target FROM c JOIN p ON c.target = p.node WHERE p.target IS NOT NULL)
+SELECT node, min(target) AS target FROM c GROUP BY 1
 """)
 def canonical_chase(spark, sf):
-    rows = table(spark, sf, "nation").where("n_nationkey % 5 <> 0")
-    return joins.chase(rows.select(F.col("n_nationkey").alias("node"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("target")), "node", "target")
+    """Each order to the first of its customer, along pointers to the order before it."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return joins.chase(table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), before.alias("target")), "node", "target")
 
 
 @query("""

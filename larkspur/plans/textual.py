@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import CONTRACTS
 from ..operators import curation, filters
 from .common import table
 from .registry import query
@@ -84,7 +85,19 @@ def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(T.html_links(F.col("html"))).alias("at", "link")).select("page_id", F.col("at").cast("long").alias("at"), "link")
 
 
-@query()
+def html_sql() -> str:
+    """Tags, entities and blanks of ``pages`` by chained replacements."""
+    t = "html"
+    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    gone = "|".join(f"<{x}\\b.*?</{x}\\s*>" for x in ("script", "style", "noscript"))
+    blocks = "p|div|br|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|blockquote|pre"
+    for pattern, into in ((f"(?is)<!--.*?-->|{gone}", " "), (r"(?i)<\s*li\b[^>]*>", "\n- "), (r"(?i)<\s*/\s*li\b[^>]*>", ""), (rf"(?i)<\s*/?\s*(?:{blocks})\b[^>]*>", "\n"), ("<[^>]+>", " "), ("[ \\t\\r\\f\\x0b]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n")):
+        t = f"regexp_replace({t}, '{pattern}', '{into}', 'g')"
+    return f"SELECT page_id, trim({t}, ' ' || chr(10)) AS text FROM pages"
+
+
+@query(html_sql())
 def html_to_text(spark, sf):
     from ..functions.udfs import unescape
 
@@ -92,7 +105,7 @@ def html_to_text(spark, sf):
 
 
 def votes_sql() -> str:
-    size = lambda bag: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(b) for b in bag.split())})))"
+    size = lambda bag: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(b) for b in bag)})))"
     structs = ", ".join(f"{{'v': {size(bag)}, 'i': {-i}, 'c': '{code}'}}" for i, (code, bag) in enumerate(T.FUNCTION_WORDS.items()))
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[a-zà-ÿåäöøœæčřšž]+') AS w FROM documents),
@@ -108,22 +121,29 @@ def language_vote(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
 
 
-@query(r"""
-SELECT doc_id, length(a) AS n_chars, (length(a) - length(replace(a, '[EMAIL]', ''))) // 7 AS emails, (length(a) - length(replace(a, '[LINK]', ''))) // 6 AS links FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(https?://|www\.)\S+', '[LINK]', 'g'), '\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]{2,}\b', '[EMAIL]', 'g') AS a FROM documents)
-""")
-def pii_redact(spark, sf):
-    t = F.col("text")
+#: Personal data of every kind, set into each document, so that all patterns have work.
+PLANTED = "born 12.03.1984 RSSMRA85T10A562S vat: IT 123456789 IBAN IT60X0542811101000000123456 via Roma 12 and 221B Baker Street, Gartenstrasse 7 10115 Berlin www.example.org/cv x.y@example.org +39 333 1234567 or 030 1234567."
+
+
+def redact_sql() -> str:
+    t = f"text || ' {PLANTED}'"
     for mark, pattern in T.REDACTIONS:
-        if mark in ("[LINK]", "[EMAIL]"):
-            t = F.regexp_replace(t, pattern, mark.replace("[", r"\[").replace("]", r"\]"))
+        body = ("(^|[^\\p{L}\\p{N}])(?:" + pattern + ")").replace("'", "''")
+        t = f"regexp_replace({t}, '{body}', '\\1[{mark}]', 'g')"
+    return t
+
+
+@query(f"SELECT doc_id, length(a) AS n_chars, (length(a) - length(replace(a, '[EMAIL]', ''))) // 7 AS emails, (length(a) - length(replace(a, '[LINK]', ''))) // 6 AS links, (length(a) - length(replace(a, '[ID]', ''))) // 4 AS ids, (length(a) - length(replace(a, '[ADDRESS]', ''))) // 9 AS addresses, (length(a) - length(replace(a, '[PHONE]', ''))) // 7 AS phones, (length(a) - length(replace(a, '[BIRTH]', ''))) // 7 AS births FROM (SELECT doc_id, {redact_sql()} AS a FROM documents)")
+def pii_redact(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", T.redact(F.concat("text", F.lit(" " + PLANTED))).alias("a"))
     count = lambda mark: F.regexp_count("a", F.lit("\\[" + mark + "\\]")).cast("long")
-    return table(spark, sf, "documents").select("doc_id", t.alias("a")).select("doc_id", F.length("a").cast("long").alias("n_chars"), count("EMAIL").alias("emails"), count("LINK").alias("links"))
+    marks = {"emails": "EMAIL", "links": "LINK", "ids": "ID", "addresses": "ADDRESS", "phones": "PHONE", "births": "BIRTH"}
+    return rows.select("doc_id", F.length("a").cast("long").alias("n_chars"), *(count(mark).alias(name) for name, mark in marks.items()))
 
 
-@query()
+@query(f"SELECT doc_id, {redact_sql()} AS text FROM documents")
 def pii_redact_all(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", T.redact(F.concat("text", F.lit(" " + PLANTED))).alias("text"))
 
 
 @query(f"""
@@ -135,11 +155,18 @@ def text_windows(spark, sf):
     return rows.select("doc_id", F.posexplode(curation.windows_of(F.col("w"), 256, 64)).alias("i", "part")).select("doc_id", F.col("i").cast("long").alias("window"), F.array_join("part", " ").alias("words"))
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN regexp_matches(p, 'urgent') THEN 'full_time' WHEN regexp_matches(p, 'specified') THEN NULL ELSE 'part_time' END AS contract FROM (SELECT o_orderkey, lower(o_orderpriority) AS p FROM orders)
+#: Every word of the contract vocabulary, and values that tell none.
+CONTRACT_VALUES = [p for _, parts in CONTRACTS for p in parts] + ["Permanent", "Regular", "", "FULL_TIME", "Freelance Full-Time"]
+CONTRACT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(v, '{p}')" for p in parts) + f" THEN '{kind}'" for kind, parts in CONTRACTS) + " END"
+
+
+@query(f"""
+WITH w AS (SELECT {CONTRACT_VALUES!r} AS w), o AS (SELECT o_orderkey, lower(translate('X-' || upper(w[CAST(o_orderkey % len(w) AS INTEGER) + 1]), '_-', '  ')) || ' ' AS v FROM orders, w)
+SELECT o_orderkey, {CONTRACT_SQL} AS contract FROM o
 """)
 def contract_normaliser(spark, sf):
-    raw = F.when(F.col("o_orderpriority") == "1-URGENT", "Vollzeit").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "Permanent").otherwise("Part-Time")
+    words = F.array(*map(F.lit, CONTRACT_VALUES))
+    raw = F.concat(F.lit("X-"), F.upper(F.get(words, (F.col("o_orderkey") % len(CONTRACT_VALUES)).cast("int"))))
     return table(spark, sf, "orders").select("o_orderkey", T.contract(raw).alias("contract"))
 
 
@@ -148,13 +175,30 @@ def skill_lexicon(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(T.skills_in(F.col("p_name"), ["gear", "ring", "red", "small"]), ",").alias("skills"))
 
 
-@query()
+@query("""
+WITH b AS (SELECT c_custkey, c_custkey % 7 AS k, 20000 + 500 * (c_custkey % 90) AS a FROM customer)
+SELECT c_custkey, CAST(CASE k WHEN 0 THEN a WHEN 1 THEN a WHEN 2 THEN floor(a / 12) WHEN 3 THEN 12.5 WHEN 4 THEN a END AS DOUBLE) AS low,
+  CAST(CASE k WHEN 0 THEN a + 4000 WHEN 1 THEN a WHEN 2 THEN floor(a / 12) WHEN 3 THEN 14.75 WHEN 4 THEN a + 9000 END AS DOUBLE) AS high,
+  CASE k WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' WHEN 2 THEN 'EUR' WHEN 3 THEN 'USD' WHEN 4 THEN 'CAD' END AS currency,
+  CASE k WHEN 0 THEN 'year' WHEN 1 THEN 'year' WHEN 2 THEN 'month' WHEN 3 THEN 'hour' WHEN 4 THEN 'year' END AS period FROM b
+""")
 def salary_from_text(spark, sf):
     from ..functions.udfs import text_salary
 
-    text = F.concat(F.lit("Salary from "), F.format_number("s_acctbal", 2), F.lit(" EUR per month"))
-    rows = table(spark, sf, "supplier").select("s_suppkey", text.alias("text"), F.lit("IT").alias("country"))
-    return rows.select("s_suppkey", text_salary("text", "country").alias("s")).select("s_suppkey", "s.low", "s.high", "s.currency", "s.period")
+    k, a = F.col("c_custkey") % 7, F.col("c_custkey") % 90 * 500 + 20000
+    grouped = lambda n, sign: F.regexp_replace(n.cast("string"), r"(\d)(\d{3})$", rf"$1{sign}$2")
+    month = F.floor(a / 12)
+    text = (
+        F.when(k == 0, F.concat(F.lit("The salary for this role is £"), grouped(a, ","), F.lit(" - £"), grouped(a + 4000, ","), F.lit(" per annum.")))
+        .when(k == 1, F.concat(F.lit("Das Gehalt beträgt "), grouped(a, "."), F.lit(" € brutto pro Jahr, dazu kommt Urlaub.")))
+        .when(k == 2, F.concat(F.lit("Stipendio: "), grouped(month, "."), F.lit(" € lordi al mese per 14 mensilità")))
+        .when(k == 3, F.lit("Pay from $12.50 to $14.75 / hour"))
+        .when(k == 4, F.concat(F.lit("Compensation of CAD "), grouped(a, ","), F.lit(" to CAD "), grouped(a + 9000, ","), F.lit(" per year")))
+        .when(k == 5, F.concat(F.lit("Our revenue of $"), grouped(a, ","), F.lit(" per year pays good salaries")))
+        .otherwise(F.lit("A fair salary and 30 days off"))
+    )
+    rows = table(spark, sf, "customer").select("c_custkey", text.alias("text"), F.lit("US").alias("country"))
+    return rows.select("c_custkey", text_salary("text", "country").alias("s")).select("c_custkey", "s.low", "s.high", "s.currency", "s.period")
 
 
 @query("SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS md5, substr(sha1(event_type || '|' || user_id), 1, 16) AS key16, sha256(props) AS sha FROM events")
