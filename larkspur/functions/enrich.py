@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import bind, first_match, normalize_org, squeeze
-from .vocabulary import EXPECTED, NAMED
+from .vocabulary import ASKED, EXPECTED, NAMED, NAMED_ELSEWHERE, NOT_ASKED, PAY_WORDS
 
 
 def moment(text: Column, now: Column, ahead: str = "2 DAYS") -> Column:
@@ -68,11 +68,12 @@ def declared_pay(json: Column, country: Column) -> Column:
 
 
 def languages_required(text: Column, most: int = 5) -> Column:
-    """Language codes that the clauses of a text require; clauses that call them optional or not needed do not count."""
+    """Language codes that the clauses of a text require, in its own tongue; clauses that call them optional do not count."""
+    names = NAMED | NAMED_ELSEWHERE
     clauses = F.split(F.lower(text), r"[.;\n•]|, (?=but|and a)")
-    asked = F.filter(clauses, lambda c: c.rlike(r"fluent|native|proficien|required|must|mandatory|essential|excellent|good command|speak") & ~c.rlike(r"not required|is a plus|nice to have|an advantage|optional|desirable"))
-    found = F.flatten(F.transform(asked, lambda c: F.regexp_extract_all(c, F.lit(r"\b(english|" + "|".join(NAMED) + r")\b"), F.lit(1))))
-    return F.slice(F.array_distinct(F.transform(found, lambda n: look_up(NAMED | {"english": "en"}, n))), 1, most)
+    asked = F.filter(clauses, lambda c: c.rlike("|".join(ASKED)) & ~c.rlike("|".join(NOT_ASKED)))
+    found = F.flatten(F.transform(asked, lambda c: F.regexp_extract_all(c, F.lit(r"(?<!\p{L})(" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")(?!\p{L})"), F.lit(1))))
+    return F.slice(F.array_distinct(F.transform(found, lambda n: look_up(names, n))), 1, most)
 
 
 # Tags of a listing's detail card.
@@ -92,9 +93,25 @@ def detail_card(title: Column, text: Column) -> Column:
         low.rlike(r"\b(urgent|immediately|asap|ab sofort|urgente|immédiat)\b").alias("urgent"),
         tags.alias("benefits"),
         F.regexp_extract(low, r"(?:apply by|deadline|valid through|entro il)\D{0,12}(\d{4}-\d\d-\d\d)", 1).try_cast("date").alias("valid_through"),
+        salary_sentence(text).alias("salary_text"),
+        contact_email(text).alias("contact"),
     )
 
 
+def salary_sentence(text: Column, longest: int = 400) -> Column:
+    """The first sentence that has a pay word and an amount of three figures or more beside a currency; null if none."""
+    money = r"(?i)(?:[$€£¥]|\b(?:usd|eur|gbp|chf|sek|nok|dkk|pln|czk|huf|cad|aud|inr|brl)\b)[^.\n]{0,40}?[0-9][0-9.,\s]{2,}|[0-9][0-9.,\s]{2,}(?:[$€£]|\b(?:usd|eur|gbp|chf|sek|nok|dkk|pln|czk|k)\b)"
+    sentences = F.split(squeeze(text), r"(?<=[.!?])\s+(?=\p{Lu})")
+    return F.substring(F.try_element_at(F.filter(sentences, lambda s: s.rlike(money) & s.rlike(rf"(?i)\b(?:{PAY_WORDS})\b")), F.lit(1)), 1, longest)
+
+
+def microdata(html: Column) -> Column:
+    """struct(title, description, company, posted): a page's schema.org JobPosting written as itemprop attributes."""
+    prop = lambda name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]*itemprop="{name}"[^>]*content="([^"]*)"', 1), F.lit("")), squeeze(F.regexp_replace(F.regexp_extract(html, rf'(?is)<(\w+)[^>]*itemprop="{name}"[^>]*>(.*?)</\1\s*>', 2), "<[^>]+>", " "))), F.lit(""))
+    whole = F.struct(prop("title").alias("title"), prop("description").alias("description"), prop("hiringOrganization").alias("company"), prop("datePosted").alias("posted"))
+    return F.when(html.rlike(r'(?i)itemtype="https?://schema\.org/JobPosting"'), whole)
+
+
 def dense_paragraphs(html: Column, least: int = 80) -> Column:
     """Paragraphs of a page with at least ``least`` characters of text."""
     blocks = F.split(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " "), r"(?i)</?(?:p|div|li|td|section|article|br)\b[^>]*>")

@@ -74,7 +74,7 @@ def canonical_url(url: Column) -> Column:
 def link_kind(url: Column, agencies: Sequence[str] = AGENCIES, boards: Sequence[str] = BOARDS) -> Column:
     host = domain(url)
     within = lambda names: F.exists(F.array(*map(F.lit, names)), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
-    return F.when(host == "", None).when(within(agencies), "national_agency").when(within(boards), "job_board").otherwise("career_site")
+    return F.when(F.coalesce(host, F.lit("")) == "", None).when(within(agencies), "national_agency").when(within(boards), "job_board").otherwise("career_site")
 
 
 def language_votes(text: Column) -> Column:
@@ -140,15 +140,14 @@ def contract(value: Column) -> Column:
     """The kind of contract whose words a value holds, the earlier kind of the table on several; null if none."""
     said = F.concat(F.lower(F.translate(value, "_-", "  ")), F.lit(" "))
     table = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind")) for kind, parts in CONTRACTS for part in parts))
-    return F.try_element_at(F.filter(table, lambda r: F.contains(said, r["part"])), F.lit(1))["kind"]
+    return bind(said, lambda v: F.try_element_at(F.filter(table, lambda r: F.contains(v, r["part"])), F.lit(1))["kind"])
 
 
 def contract_of(json: Column) -> Column:
     """The contract of a listing's JSON: of all known keys that tell one, a stronger kind wins, else the first key."""
-    told = [F.coalesce(contract(F.get_json_object(json, f"$.{k}.label")), contract(F.get_json_object(json, f"$.{k}"))) for k in CONTRACT_KEYS]
-    found = F.array_compact(F.array(*told))
-    strong = [F.when(F.array_contains(found, kind), kind) for kind in STRONGER]
-    return F.coalesce(*strong, F.try_element_at(found, F.lit(1)))
+    values = F.array(*(F.coalesce(F.get_json_object(json, f"$.{k}.label"), F.get_json_object(json, f"$.{k}")) for k in CONTRACT_KEYS))
+    found = F.array_compact(F.transform(F.filter(values, lambda v: v.isNotNull()), contract))
+    return bind(found, lambda kinds: F.coalesce(*(F.when(F.array_contains(kinds, kind), kind) for kind in STRONGER), F.try_element_at(kinds, F.lit(1))))
 
 
 def level(title: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .windows import hash_share, top_per_group
+from .windows import hash_share, running_total, top_per_group
 
 
 def squeezed(text: Column) -> Column:
@@ -80,6 +80,18 @@ def chat_audit(turns: DataFrame, conversation: str, turn: str, role: str, text:
     return grouped.withColumn("valid", (F.col("roles") == ",".join(wanted)) & (F.col("empty") == 0))
 
 
+def audit(df: DataFrame, group: str, text: Column, words: Column, most_words: int, least_words: int, known: Sequence[str]) -> DataFrame:
+    """Per group: rows, exact copies, rows over and under a length, with long numbers, with two capitalised words in a row, of
+    an unknown group, and the median length (the lower one)."""
+    rows = df.select(F.col(group), F.sha1(text).alias("__h"), words.alias("__w"), text.rlike("[0-9]{3,}").alias("__n"), text.rlike("(^|[^A-Za-z])[A-Z][a-z]+ [A-Z][a-z]+").alias("__c"))
+    copies = rows.groupBy("__h").agg(F.count("*").alias("__copies")).where("__copies > 1")
+    flagged = rows.join(copies, "__h", "left")
+    return flagged.groupBy(group).agg(
+        F.count("*").alias("n"), F.count("__copies").alias("copies"), F.count_if(F.col("__w") > most_words).alias("cut"), F.count_if(F.col("__w") < least_words).alias("short"), F.count_if("__n").alias("numbers"), F.count_if("__c").alias("names"),
+        F.count_if(~F.col(group).isin(*known)).alias("odd_language"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __w)").cast("long").alias("median_words"),
+    )
+
+
 def repeated_ngrams(words: Column, n: int) -> Column:
     """How many n-grams of ``words`` are not the first of their kind."""
     def count(w: Column) -> Column:
@@ -118,11 +130,28 @@ def precision_recall(df: DataFrame, truth: Column, guess: Column, by: Sequence[s
 
 
 def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the average rank of tied values, from counts per distinct value: values are ranked, not rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    below = counts.withColumn("__below", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
-    ranks = below.select(value, (F.coalesce("__below", F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
-    return df.join(ranks, value)
+    """Adds the average rank of tied values, from counts per distinct value: values are ranked, not rows.
+
+    Values are dealt out by ranges; each range sums up on its own, and the driver sees one count a range.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    below = running_total(counts, value, "__n", "__below")
+    return df.join(below.select(value, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name)), value)
+
+
+def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Linear correlation of two columns."""
+    return df.agg(F.round(F.corr(a, b), 6).alias("pearson"))
+
+
+def best_threshold(df: DataFrame, truth: Column, score: str) -> DataFrame:
+    """(threshold, f1): the score from which on rows are taken for true with the best f1; ties: the highest threshold."""
+    counts = df.select(truth.alias("__t"), (-F.col(score)).alias("__s")).where(F.col("__s").isNotNull()).groupBy("__s").agg(F.count("*").alias("__n"), F.count_if("__t").alias("__p"))
+    taken = running_total(running_total(counts, "__s", "__n", "__taken"), "__s", "__p", "__right")
+    positives = counts.agg(F.sum("__p")).first()[0] or 0
+    f1 = 2 * (F.col("__right") + F.col("__p")) / F.nullif(F.col("__taken") + F.col("__n") + F.lit(positives), F.lit(0))
+    best = taken.agg(F.max(F.struct(f1.alias("f1"), (-F.col("__s")).alias("threshold"))).alias("b"))
+    return best.select(F.col("b.threshold").alias("threshold"), F.round("b.f1", 6).alias("f1"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

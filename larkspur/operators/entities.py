@@ -11,27 +11,32 @@ from .joins import chase
 from .lifecycle import update_from
 from .windows import top_per_group
 
-MOST_WORDS = 4
+def words_of(text: Column) -> Column:
+    """Words (letters, digits, + and #) in lower case, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
 
 
-def ngrams(text: Column, most: int = MOST_WORDS) -> Column:
-    """Distinct runs of one to ``most`` words (letters, digits, + and #), in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
+def ngrams(text: Column, lengths: Sequence[int]) -> Column:
+    """Distinct runs of words of the given lengths, joined by blanks."""
 
-    def runs(ws: Column) -> Column:
-        return F.array_distinct(F.array_compact(F.flatten(F.array(*(_runs(ws, n) for n in range(1, most + 1))))))
+    def runs(ws: Column, n: int) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size(ws))
+        return F.transform(places, lambda i: F.array_join(F.slice(ws, i, n), " "))
 
-    return F.transform(F.array(words), runs)[0]
+    return F.transform(F.array(words_of(text)), lambda ws: F.array_distinct(F.flatten(F.array(*(runs(ws, n) for n in lengths)))))[0]
 
 
-def _runs(ws: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.when(i + (n - 1) <= F.size(ws), F.array_join(F.slice(ws, i, n), " ")))
+def matched(df: DataFrame, id_column: str, text: str, terms: DataFrame, term: str, language: tuple[str, str] | None = None) -> DataFrame:
+    """(id, all columns of the term's row) for each term that occurs in the text as whole words: an equi-join on n-grams.
 
-
-def matched(df: DataFrame, id_column: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """(id, all columns of the term's row) for each term that occurs in the text as whole words: an equi-join on n-grams."""
-    grams = df.select(id_column, F.explode(ngrams(F.col(text))).alias("__gram"))
-    return grams.join(terms.withColumn("__gram", F.lower(F.col(term))), "__gram").drop("__gram")
+    Runs are as long as the terms are (the lengths that occur are counted first). ``language`` names a column of the
+    texts and one of the terms: a term with a language is only looked for in texts of that language.
+    """
+    spelled = terms.withColumn("__words", words_of(F.col(term))).where(F.size("__words") > 0).withColumn("__gram", F.array_join("__words", " "))
+    lengths = sorted(r[0] for r in spelled.select(F.size("__words")).distinct().collect())
+    grams = df.select(id_column, *([F.col(language[0]).alias("__lang")] if language else []), F.explode(ngrams(F.col(text), lengths or [1])).alias("__gram"))
+    found = grams.join(spelled.drop("__words"), "__gram").drop("__gram")
+    return found.where(F.col(language[1]).isNull() | (F.col(language[1]) == F.col("__lang"))).drop("__lang") if language else found
 
 
 def classify(df: DataFrame, id_column: str, title: str, dictionary: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,9 @@ def json_has_any(column: str, keys: Sequence[str]) -> Column:
 def row_before(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Row-value comparison (a, b, ...) < (c, d, ...)."""
     return F.struct(*left) < F.struct(*right)
+
+
+def register_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> None:
+    """DataFrames under names that the session's SQL can read."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)

@@ -52,11 +52,24 @@ def latest_per_key(df: DataFrame, key: str, time: str, tie: str, columns: Sequen
     return best.select(key, *(F.col("b")[c].alias(c) for c in columns))
 
 
-def other_members(df: DataFrame, key: str, id_column: str, value: str, separator: str = ",") -> DataFrame:
-    """Each row with the sorted values of the other rows of its key: one aggregate a key and one join back."""
-    members = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(id_column).alias("i"))).alias("m"), F.count("*").alias("c")).where("c > 1").select(key, "m")
-    others = F.array_join(F.transform(F.array_sort(F.filter("m", lambda x: x["i"] != F.col(id_column))), lambda x: x["v"].cast("string")), separator)
-    return df.join(members, key, "left").withColumn("others", F.coalesce(others, F.lit(""))).drop("m")
+def other_members(df: DataFrame, key: str, id_column: str, value: str, separator: str = ",", most: int = 1000) -> DataFrame:
+    """Each row with ``others``, the sorted values of the other rows of its key, and ``n_others``, their number.
+
+    One aggregate a key and one join back. A row's list grows with its group, and all lists with the group's square: in
+    groups of more than ``most`` rows ``others`` is null; ``other_pairs`` gives them row by row, whatever the size.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c"))
+    counted = df.join(counts, key, "left")
+    members = counted.where(F.col("__c").between(2, most)).groupBy(key).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(id_column).alias("i"))).alias("__m"))
+    others = F.array_join(F.transform(F.array_sort(F.filter("__m", lambda x: x["i"] != F.col(id_column))), lambda x: x["v"].cast("string")), separator)
+    shown = F.when(F.coalesce("__c", F.lit(1)) <= most, F.coalesce(others, F.lit("")))
+    return counted.join(members, key, "left").withColumn("others", shown).withColumn("n_others", F.coalesce("__c", F.lit(1)) - 1).drop("__m", "__c")
+
+
+def other_pairs(df: DataFrame, key: str, id_column: str, value: str) -> DataFrame:
+    """(id, other_id, other): each row with each other row of its key, as an equi-join that splits hot keys."""
+    left, right = df.select(key, id_column), df.select(key, F.col(id_column).alias("other_id"), F.col(value).alias("other"))
+    return left.join(right, key).where(F.col(id_column) != F.col("other_id")).select(id_column, "other_id", "other")
 
 
 def after_gap(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:

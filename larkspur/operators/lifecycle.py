@@ -55,7 +55,7 @@ def expire_absent(listings: DataFrame, tenant: str, group: str, seen: str, expir
     candidate = F.col(expired).isNull() & F.coalesce(F.col("__ok") > F.col(seen), F.lit(False))
     marked = joined.withColumn("__candidate", candidate)
     refused = breaker(marked.where(F.col(expired).isNull()), group, F.col("__candidate"), least, share).where("refused").select(group, F.lit(True).alias("__refused"))
-    done = marked.join(F.broadcast(refused), group, "left")
+    done = marked.join(refused, group, "left")
     go = F.col("__candidate") & F.col("__refused").isNull()
     return done.withColumn(expired, F.when(go, now).otherwise(F.col(expired))).select(*listings.columns)
 

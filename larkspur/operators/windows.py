@@ -46,6 +46,13 @@ def stratified_sample(df: DataFrame, stratum: str, id_column: str, n: int) -> Da
     return top_per_group(df, [stratum], [F.md5(F.col(id_column).cast("string")), F.col(id_column)], n)
 
 
+def sample(df: DataFrame, fraction: float, seed: int, *keys: str) -> DataFrame:
+    """About ``fraction`` of the rows, by a hash of ``keys`` (all columns if none) and ``seed``: the same rows on every run
+    and on every partitioning, others for another seed."""
+    space = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *(keys or df.columns)), F.lit(space)) < int(fraction * space))
+
+
 def hash_share(column: Column) -> Column:
     """A number in [0, 1) that depends on the value only (the first 32 bits of its sha1)."""
     return F.conv(F.substring(F.sha1(column.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
@@ -76,3 +83,18 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "rn", partition
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start long"))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranged.withColumn("__local", local).join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__local")).drop("__part", "__local", "__start")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int = 64) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one in the order of a column of different values.
+
+    No task holds all rows: ranges of the column, sums within each, and offsets, of which the driver sees one a range.
+    """
+    ranged = cut(df.repartitionByRange(partitions, order).withColumn("__part", F.spark_partition_id()))
+    starts, at = [], 0
+    for r in sorted(ranged.groupBy("__part").agg(F.sum(value).alias("n")).collect()):
+        starts.append((r["__part"], at))
+        at += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __start long"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("__within", F.coalesce(within, F.lit(0))).join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__within")).drop("__part", "__within", "__start")

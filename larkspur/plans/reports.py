@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import curation, filters, windows
 from .common import table
 from .registry import query
@@ -114,11 +113,3 @@ def json_list_membership(spark, sf):
 def code_lookup(spark, sf):
     codes = F.create_map(F.lit("en"), F.lit("GB"), F.lit("de"), F.lit("DE"))
     return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), codes[F.col("lang")].alias("country"))
-
-
-@query()
-def detail_cards(spark, sf):
-    from ..functions.enrich import detail_card
-
-    card = detail_card(F.substring("text", 1, 40), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", card.alias("c"), F.size(T.headcounts(F.col("text"))).alias("stated")).select("doc_id", "c.management", "c.shifts", "c.hours", "c.urgent", F.array_join("c.benefits", ",").alias("benefits"), "stated")

@@ -1,10 +1,16 @@
-"""Connector contract: a source adapter as a Spark data source that replays saved pages, a partition a file."""
+"""Connector contract: a source adapter as a Spark data source that replays saved pages, a partition a file.
+
+Files are opened through ``pyarrow.fs``, so that they may lie in any store that all executors reach.
+"""
 
 from __future__ import annotations
 
+import io
 import json
+import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -26,7 +32,8 @@ class ReplayReader(DataSourceReader):
     def read(self, partition: Page) -> Iterator[tuple]:
         if partition is None or not getattr(partition, "path", None):
             return
-        with open(partition.path, encoding="utf-8") as f:
+        system, place = fs.FileSystem.from_uri(partition.path if "://" in partition.path else os.path.abspath(partition.path))
+        with system.open_input_stream(place) as raw, io.TextIOWrapper(raw, encoding="utf-8") as f:
             for line in f:
                 try:
                     entry = json.loads(line)

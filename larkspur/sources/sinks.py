@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,10 @@ def archive_months(parents: DataFrame, children: Mapping[str, DataFrame], key: s
     tables = {"parents": done} | {n: c.join(months, key) for n, c in children.items()}
     counts = {}
     for name, rows in tables.items():
-        path = f"{folder}/{name}"
-        write_parquet(rows, path, ["month"])
+        path, written = f"{folder}/{name}", Observation(f"archive-{name}")
+        write_parquet(rows.observe(written, F.count(F.lit(1)).alias("n")), path, ["month"])
         counts[name] = spark.read.schema(rows.schema).parquet(path).count()
-        if counts[name] != rows.count():
+        if counts[name] != written.get["n"]:
             raise RuntimeError(f"{name}: {counts[name]} rows in the archive, not as many as were to be written")
     return counts
 

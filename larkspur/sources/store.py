@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
@@ -35,14 +36,17 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under a temporary name and move it into place."""
-    part, fs = _path(spark, path + ".part")
+    """Write a small file under a temporary name and move it over the old one: readers find the old or the new."""
+    part, fs = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    target = _path(spark, path)[0]
-    fs.delete(target, False)
-    fs.rename(part, target)
+    sc = spark.sparkContext
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(part), fs.makeQualified(_path(spark, path)[0]), how)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..sources import store
+
 
 def read(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the Parquet files of a folder (or one file), with the schema of those that are there.
@@ -43,23 +43,47 @@ def sessions(events: DataFrame, time: str, delay: str, gap: str, by: Sequence[st
 
 
 def remember(events: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    """First and last sighting and mentions of each key, kept as state; each batch emits the keys that it touched."""
-    kinds = [events.schema[k].dataType.simpleString() for k in keys]
-    out = ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", first_seen timestamp, last_seen timestamp, mentions long"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (None, None, 0)
-        for batch in batches:
-            times = batch[time].dropna()
-            n += len(batch)
-            if len(times):
-                low, high = times.min(), times.max()
-                first = low if first is None or low < first else first
-                last = high if last is None or high > last else last
-        state.update((first, last, n))
-        yield pd.DataFrame([(*key, first, last, n)], columns=[*keys, "first_seen", "last_seen", "mentions"])
-
-    return events.select(*keys, time).groupBy(*keys).applyInPandasWithState(update, out, "first_seen timestamp, last_seen timestamp, mentions long", "update", GroupStateTimeout.NoTimeout)
+    """First and last sighting and mentions of each key over all batches, as one streaming aggregate.
+
+    In update mode each batch gives the keys that it touched. A memory forgets nothing: its state is one row a key.
+    """
+    return events.groupBy(*keys).agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("mentions"))
+
+
+def with_late_rows(events: DataFrame, time: str, delay: str, on_time: Callable[[DataFrame], DataFrame], folder: str, late_folder: str) -> dict[str, int]:
+    """Run a stream over all there is now; rows older than ``delay`` before the latest seen go to ``late_folder``.
+
+    Spark drops late rows silently, so the mark is kept here: the newest time of all batches before, written beside each
+    batch's output. A batch that is run again reads the mark it had, and writes the same files.
+    """
+    spark, marks = events.sparkSession, f"{folder}/marks"
+    totals = {"late": 0, "kept": 0}
+
+    def mark_before(number: int):
+        if not number or not store.exists(spark, marks):
+            return None
+        seen = spark.read.parquet(marks).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        return None if seen is None else F.lit(seen) - F.expr(f"INTERVAL {delay}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        mark = mark_before(number)
+        late = F.lit(False) if mark is None else F.coalesce(F.col(time) < mark, F.lit(False))
+        old, good = batch.where(late), batch.where(~late)
+        old.write.mode("overwrite").parquet(f"{late_folder}/batch={number}")
+        on_time(good).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        newest = batch.agg(F.max(time).alias("newest"), F.lit(number).cast("long").alias("batch"))
+        newest.write.mode("overwrite").parquet(f"{marks}/at={number}")
+        totals["late"] += spark.read.schema(batch.schema).parquet(f"{late_folder}/batch={number}").count()
+        totals["kept"] += spark.read.schema(on_time(good).schema).parquet(f"{folder}/out/batch={number}").count()
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return totals
+
+
+def look_back(events: DataFrame, time: str, now: Column, since: Column | None = None, default: str = "1 DAY", horizon: str = "7 DAYS") -> DataFrame:
+    """Events from ``since`` on, or from ``default`` before ``now`` where it is not given; never from before ``horizon``."""
+    first = now - F.expr(f"INTERVAL {default}") if since is None else F.coalesce(since, now - F.expr(f"INTERVAL {default}"))
+    return events.where(F.col(time) >= F.greatest(first, now - F.expr(f"INTERVAL {horizon}")))
 
 
 def run_to_folder(stream: DataFrame, folder: str) -> DataFrame:
