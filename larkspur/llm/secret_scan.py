@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import with_python_columns
+from .runtime import forget, stored, with_python_columns
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -197,15 +197,30 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least_classes: int = LEAST_CLASSES) -> dict[str, int]:
-    """{word: rank} of the ``most`` most frequent words (3 to 32 letters, lower case) of all texts, ties by the word.
+    """{word: rank} of the most frequent words (3 to 32 letters, lower case) of all texts, ties by the word.
 
-    Only words that texts of at least ``least_classes`` of 64 hash classes hold; the driver gets ``most`` rows at most.
+    Only words that texts of at least ``least_classes`` of 64 hash classes hold, and only those more frequent than the
+    one after the first ``most``: the driver gets ``most`` rows at most, wherever they lie, and one for each power of two
+    and for each number of occurrences between two of them.
     """
-    text = F.col(text_col)
-    words = docs.select(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{text_col}`), 64) as int))").alias("class"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    words = docs.select(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{text_col}`), 64) as int))").alias("class"), F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word"))
     words = words.where(F.length("word").between(LEAST_SPAN, 32))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("class").alias("classes")).where(F.bit_count("classes") >= least_classes)
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.bit_or("class").alias("classes")).where(F.bit_count("classes") >= least_classes).select("word", "n")
+    counts = stored(counts, "word-counts")
+    size = F.floor(F.log2("n"))
+    floor, taken = 0, 0  # words that occur more than ``floor`` times are at most ``most``
+    for power, k in sorted(((r[0], r[1]) for r in counts.groupBy(size).count().collect()), reverse=True):
+        if taken + k <= most:
+            taken += k
+            continue
+        for n, same in sorted(((r[0], r[1]) for r in counts.where(size == power).groupBy("n").count().collect()), reverse=True):
+            if taken + same > most:
+                floor = n
+                break
+            taken += same
+        break
+    top = counts.where(F.col("n") > floor).collect()
+    forget(counts)
     return {r.word: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)))}
 
 

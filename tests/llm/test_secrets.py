@@ -134,5 +134,8 @@ def test_planted_values_of_each_kind_and_no_ordinary_words(spark):
 
 def test_common_words_are_held_by_many_texts(spark):
     texts = ["common words stand here"] * 500 + [f"words of text {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} stand" for i in range(200)]
-    found = s.common_words(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"), most=3)
-    assert found == {"stand": 1, "words": 2, "text": 3}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    assert s.common_words(df, most=3) == {"stand": 1, "words": 2, "text": 3}
+    # the second and the third are equal in number: two places hold neither, or only what is before them
+    assert s.common_words(df, most=1) == {} and s.common_words(df, most=2) == {"stand": 1, "words": 2}
+    assert s.common_words(df.limit(0)) == {}
