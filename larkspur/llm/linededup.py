@@ -20,8 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .runtime import small_batches, stored, with_python_columns
+from .runtime import forget, small_batches, stored, with_python_columns
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -30,6 +31,8 @@ PROBES = 3
 BYTES_PER_BIT = 8  # of text: a line of 100 bytes gets about 12 bits
 MIN_SEGMENTS = 64
 MAX_SEGMENTS = 8192  # 2**29 bits, 64 MB: the most that is ever broadcast
+#: Confirmed keys up to this number (24 MB) are sent to all workers.
+MAX_KEYS = 1_000_000
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -150,50 +153,94 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def confirmed_drops(rows: DataFrame, min_docs: int) -> DataFrame:
-    """doc_id and drop, the digests of the keys whose lines it loses; ``rows`` has doc_id and text."""
-    spark = rows.sparkSession
-    texts = rows.select("text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = int(min(MAX_SEGMENTS, max(MIN_SEGMENTS, size // BYTES_PER_BIT // SEGMENT_BITS)))
-    shared = spark.sparkContext.broadcast(build_filter(texts, segments))
+class Suspicion:
+    """The twice-seen filter of a corpus, shared with all workers: which keys of a text may repeat elsewhere."""
+
+    def __init__(self, texts: DataFrame):
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.segments = int(min(MAX_SEGMENTS, max(MIN_SEGMENTS, size // BYTES_PER_BIT // SEGMENT_BITS)))
+        self.shared = texts.sparkSession.sparkContext.broadcast(build_filter(texts, self.segments))
+
+    def suspected(self, keys: list[bytes]) -> list[bytes]:
+        return [k for k, h in zip(keys, held(self.shared.value, places(hashes(keys), self.segments)), strict=True) if h] if keys else []
+
+
+class Confirmed:
+    """Confirmed keys and the ids that keep them, as sorted arrays: 24 bytes a key, looked up for many keys at once."""
+
+    def __init__(self, digests: list[bytes], homes: list[int]):
+        parts = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        order = np.argsort(parts[:, 0], kind="stable")
+        self.first, self.second, self.home = parts[order, 0], parts[order, 1], np.array(homes, np.int64)[order]
+
+    def lost(self, digests: list[bytes], doc_id: int | None) -> list[bytes]:
+        """Those of ``digests`` that are confirmed and kept by another document."""
+        out = []
+        parts = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        for d, at, end, second in zip(digests, np.searchsorted(self.first, parts[:, 0]), np.searchsorted(self.first, parts[:, 0], "right"), parts[:, 1], strict=True):
+            if any(self.second[i] == second and self.home[i] != doc_id for i in range(at, end)):
+                out.append(d)
+        return out
+
+
+def suspected_lines(rows: DataFrame, suspicion: Suspicion) -> DataFrame:
+    """(doc_id, key): the digests of all suspected lines, once a row of ``rows`` (doc_id, text)."""
 
     def suspects(texts):
-        twice = shared.value
         for text in texts:
-            keys = list({k for k in keys_of(text or "") if k})
-            hit = held(twice, places(hashes(keys), segments)) if keys else ()
-            yield ([digest(k) for k, h in zip(keys, hit, strict=True) if h],)
+            yield ([digest(k) for k in suspicion.suspected(list({k for k in keys_of(text or "") if k}))],)
 
     found = with_python_columns(rows, ["text"], {"keys": "array<binary>"}, suspects, drop=("text",))
-    pairs = stored(found.select("doc_id", F.explode("keys").alias("key")), "line-suspects")
-    # stored, so that the join below has nothing but an exchange under either side and Spark can split a hot key
-    repeated = stored(pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("home")).where(F.col("n") >= min_docs).select("key", "home"), "repeated-lines")
-    lost = pairs.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("home")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    return found.select("doc_id", F.explode("keys").alias("key"))
+
+
+def without_lines(text: str, gone: set[bytes]) -> tuple[str, int, int]:
+    """(kept text, lines before, lines dropped)."""
+    lines = text.split("\n")
+    stay = [x for x, k in zip(lines, keys_of(text), strict=True) if k is None or digest(k) not in gone]
+    return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` but the text as the struct ``row``, with kept (the new text), n_lines and n_dropped.
 
-    Null or empty text is one empty line and stays empty. Documents are told apart by id: repeated rows of an id count
-    once and lose the same lines; rows without an id never count and lose every confirmed line. A line that repeats
-    within one document only stays. An empty table gives no rows; other columns pass through under any name.
+    Null or empty text is one empty line and stays empty; texts and lines of any length are read whole. Documents are told
+    apart by id: repeated rows of an id count once and lose the same lines; rows without an id never count and lose every
+    confirmed line. A line that repeats within one document only stays. An empty table gives no rows; other columns pass
+    through under any name.
+
+    Up to ``MAX_KEYS`` confirmed keys are sent to all workers, so that no text is moved; more of them (or ids that are no
+    integers) are brought to their documents by a join on the id.
     """
     rows = docs.select(F.struct(*(c for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drops = confirmed_drops(rows.select("doc_id", "text"), min_docs).select(F.col("doc_id").alias("drop_id"), "drop")
+    suspicion = Suspicion(rows.select("text"))
+    pairs = stored(suspected_lines(rows.select("doc_id", "text"), suspicion), "line-suspects")
+    # stored, so that the join below has nothing but an exchange under either side and Spark can split a hot key
+    repeated = stored(pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("home")).where(F.col("n") >= min_docs).select("key", "home"), "repeated-lines")
+    outputs = {"kept": "string", "n_lines": "long", "n_dropped": "long"}
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType) and repeated.count() <= MAX_KEYS:
+        table = repeated.toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(Confirmed(table["key"].to_pylist(), table["home"].to_pylist()))
+        forget(pairs)
+        forget(repeated)
+
+        def cut(texts, ids):
+            for text, doc_id in zip(texts, ids, strict=True):
+                maybe = [digest(k) for k in suspicion.suspected(list({k for k in keys_of(text) if k}))]
+                gone = known.value.lost(maybe, doc_id) if maybe else []
+                yield without_lines(text, set(gone)) if gone else (text, text.count("\n") + 1, 0)
+
+        return with_python_columns(rows, ["text", "doc_id"], outputs, cut, drop=("text", "doc_id"))
+
+    lost = pairs.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("home")))
+    drops = lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")).select(F.col("doc_id").alias("drop_id"), "drop")
     joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("row", "text", "drop")
 
-    def cut(texts, drops):
+    def cut_joined(texts, drops):
         for text, drop in zip(texts, drops, strict=True):
-            if not drop:
-                yield text, text.count("\n") + 1, 0
-                continue
-            gone, lines = set(drop), text.split("\n")
-            stay = [x for x, k in zip(lines, keys_of(text), strict=True) if k is None or digest(k) not in gone]
-            yield "\n".join(stay), len(lines), len(lines) - len(stay)
-
-    return with_python_columns(joined, ["text", "drop"], {"kept": "string", "n_lines": "long", "n_dropped": "long"}, cut, drop=("text", "drop"))
+            yield without_lines(text, set(drop)) if drop else (text, text.count("\n") + 1, 0)
+
+    return with_python_columns(joined, ["text", "drop"], outputs, cut_joined, drop=("text", "drop"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:

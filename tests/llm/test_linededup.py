@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from larkspur.llm import linededup
 
@@ -26,7 +27,9 @@ def brute(rows, min_docs=3):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most_keys", [linededup.MAX_KEYS, -1])
+def test_against_brute_force(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(linededup, "MAX_KEYS", most_keys)
     for given in (rows(), [(i, t, *r[2:]) for i, r in enumerate(rows()) for t in [r[1]]] + [(90 + i, "The very same line of text, repeated.\n" + str(i) * i, "", "", 1, "", 1, "", 1) for i in range(9)]):
         df = spark.createDataFrame(given, SCHEMA).repartition(4)
         got = sorted((r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in linededup.dedup_lines(df).collect())
@@ -35,6 +38,15 @@ def test_against_brute_force(spark):
     assert linededup.dedup_lines(none(spark)).count() == 0
 
 
+def test_ids_of_any_kind_and_rows_without_one(spark):
+    line = "a line that many documents hold"
+    given = [(i, f"{line}\nown {i}") for i in ("a", "b", "c", None, None)]
+    for kind, name in (("string", str), ("long", {"a": 1, "b": 2, "c": 3}.get)):
+        df = spark.createDataFrame([(None if i is None else name(i), t) for i, t in given], f"doc_id {kind}, text string")
+        got = sorted(((r.row.doc_id, r.n_dropped) for r in linededup.dedup_lines(df).collect()), key=str)
+        assert got == sorted([(name("a"), 1), (name("b"), 1), (name("c"), 0), (None, 1), (None, 1)], key=str)
+
+
 def test_stage_keeps_rows_and_columns(spark):
     out = linededup.without_repeated_lines(docs(spark))
     assert out.columns == docs(spark).columns
