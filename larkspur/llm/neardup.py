@@ -157,12 +157,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, hashes): the sorted shingle hashes of the documents of ``ids`` (one row an id), as bytes."""
+    """(doc_id, signature, hashes): the sorted shingle hashes, as bytes, of the documents of ``ids`` (doc_id, signature)."""
     def hashes(texts):
         return ((shingles(words_of(t)).astype("<u8").tobytes(),) for t in texts)
 
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return with_python_columns(docs.join(few, "doc_id", "left_semi"), ["text"], {"hashes": "binary"}, hashes, drop=("text",))
+    few = F.broadcast(ids.select("doc_id")) if ids.count() <= BROADCAST_IDS else ids.select("doc_id")
+    found = with_python_columns(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), ["text"], {"hashes": "binary"}, hashes, drop=("text",))
+    return found.join(ids, "doc_id")
 
 
 def similar(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
@@ -178,12 +179,15 @@ def similar(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets are linked, as a stored table src, dst."""
-    def confirm(ha, hb):
-        return ((linked(x, y, percent),) for x, y in zip(ha, hb, strict=True))
+    """The (a, b) of ``pairs`` whose signatures allow a link and whose full shingle sets have it, as a stored table src, dst."""
+    def confirm(sa, sb, ha, hb):
+        return ((similar_signatures(s, t, percent) and linked(x, y, percent),) for s, t, x, y in zip(sa, sb, ha, hb, strict=True))
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h_b")), "b")
-    return stored(with_python_columns(both, ["h_a", "h_b"], {"ok": "boolean"}, confirm, drop=("h_a", "h_b")).where("ok").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct(), "links")
+    def side(name):
+        return sets.select(F.col("doc_id").alias(name), F.col("signature").alias("s_" + name), F.col("hashes").alias("h_" + name))
+
+    both, read = pairs.join(side("a"), "a").join(side("b"), "b"), ("s_a", "s_b", "h_a", "h_b")
+    return stored(with_python_columns(both, list(read), {"ok": "boolean"}, confirm, drop=read).where("ok").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct(), "links")
 
 
 def placed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -228,14 +232,22 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
 
-    Documents without a word are linked with nothing. Rows repeated with one id and text are one node and each keep a
-    row. Rows without an id are linked with nothing: null component, kept. An empty table gives no rows; other columns
-    are ignored.
+    Documents without a word are linked with nothing. Rows repeated with one id are one document and each keep a row; of
+    different texts under one id that with the least digest stands for it. Rows without an id are linked with nothing:
+    null component, kept. Texts of any length are read whole. Pairs at the threshold are linked; of documents that tie
+    in a choice the smallest id is taken. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     every = stored(fingerprints(docs, percent), "fingerprints")
     prints = every.where(F.col("seq").isNotNull() & F.col("doc_id").isNotNull())
 
+    # one text an id
+    texts = prints.groupBy("doc_id").agg(F.min("seq").alias("own"), F.max("seq").alias("last")).where("own < last").select("doc_id", "own")
+    texts = stored(texts, "ids-of-several-texts")
+    if not texts.isEmpty():
+        prints = stored(prints.join(texts, "doc_id", "left").where("own IS NULL OR own = seq").drop("own"), "one-text-an-id")
+        docs = docs.join(prints.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+
     # classes of equal word sequences
     classes = stored(prints.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("seq", "rep"), "classes")
     copies = stored(prints.select("doc_id", "seq").join(classes, "seq").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
@@ -249,7 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # first round: every member with its bucket's smallest id
     tried = stored(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    sets = stored(shingle_sets(docs, stored(buckets.select("doc_id").distinct(), "bucket-members")), "shingle-sets")
+    wanted = stored(buckets.select("doc_id").distinct().join(prints.select("doc_id", "signature").distinct(), "doc_id"), "bucket-members")
+    sets = stored(shingle_sets(docs, wanted), "shingle-sets")
     links = verified(similar(tried, prints, percent), sets, percent)
     roots = components(links)
 
@@ -274,8 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = ((F.col("y_root") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))) & (F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("x.bucket"))
     crossed = left.alias("x").join(right.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_root") != F.col("y_root")) & possible & once)
     pairs = crossed.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    # the bound has sorted these out better than signatures could (what is left is about as like as the threshold), so
-    # they go to the exact check at once
+    # signatures and sets in one pass: the bound has left few of these
     more = verified(stored(pairs, "crossed-pairs"), sets, percent)
     if not more.isEmpty():
         roots = components(roots.union(more))

@@ -98,3 +98,17 @@ def test_the_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     pairs = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op5_neardup(spark, sf).collect())) == brute(pairs, 85)
+
+
+def test_of_several_texts_under_one_id_one_stands_for_it(spark):
+    base = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(base[:-1] + [f"end{n}"])
+    other = " ".join(f"other{k}" for k in range(40))
+    given = [(1, text(1)), (2, text(2)), (2, other), (2, other), (3, other), (4, None), (4, text(4)), (5, "alone in the world"), (None, text(1))]
+    got = neardup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(given)
+    seq = {t: neardup.hashlib.blake2b(b" ".join(neardup.words_of(t)), digest_size=16).digest() for t in (text(2), other)}
+    alike = seq[text(2)] < seq[other]  # else the other text stands for 2
+    home = {1: 1, 2: 1 if alike else 2, 3: 3 if alike else 2, 4: 1, 5: 5, None: None}
+    assert sorted({(r.doc_id, r.component_id) for r in got}, key=str) == sorted(home.items(), key=str)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
