@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
-from .runtime import stored
+from .runtime import Scratch, stored
 
 #: Fixed masks: the places that both pick, and the place that each adds.
 COMMON = (0, 1, 2, 4)
@@ -135,24 +135,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(doc_id, text_hash, item_id, overlap) of all verified overlaps; a document is its id and the hash of its text."""
     if percent < PERCENT:
         raise ValueError(f"the masks lose no overlap of {PERCENT} % or more; {percent} % is less")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct()
-    items = stored(items.withColumn("n", F.size("item")).withColumn("item_key", F.xxhash64(F.col("item_id").isNull(), "item_id", "item")), "items")
-    hits = seed_hits(texts.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), items)
-    # only small numbers are gathered, and of a long document no more than a block's; the words join them once
-    laid = hits.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / BLOCK).alias("block")).agg(F.collect_list(F.struct("item_key", "n", "shift")).alias("hits"))
-    laid = laid.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
-    ids = laid.select("hit_id", "hit_hash").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    hit_texts = texts.distinct().join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
-    part = lambda w, h: F.slice(w, F.greatest(h["shift"], F.lit(0)) + 1, F.greatest(h["n"] - F.greatest(-h["shift"], F.lit(0)), F.lit(0)))
-    parts = hit_texts.select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), part(w, h).alias("part"))))).alias("h"))
-    known = bounded(items.select("item_key", "item_id", "item"), items.count())
-    scored = parts.select("doc_id", "text_hash", "h.*").join(known, "item_key")
-    scored = scored.select("doc_id", "text_hash", "item_id", F.size("item").alias("n"), overlap(F.col("part"), F.col("item"), F.col("shift"), percent).alias("overlap"))
-    enough = F.col("overlap") * 100 >= F.when(F.col("n") < SPAN, 100).otherwise(percent)
-    return scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max("overlap").alias("overlap"))
+    with Scratch() as scratch:
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        texts = texts.withColumn("text_hash", F.xxhash64("text"))
+        items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct()
+        items = stored(items.withColumn("n", F.size("item")).withColumn("item_key", F.xxhash64(F.col("item_id").isNull(), "item_id", "item")), "items")
+        hits = seed_hits(texts.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), items)
+        # only small numbers are gathered, and of a long document no more than a block's; the words join them once
+        laid = hits.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / BLOCK).alias("block")).agg(F.collect_list(F.struct("item_key", "n", "shift")).alias("hits"))
+        laid = laid.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
+        ids = laid.select("hit_id", "hit_hash").distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+        hit_texts = texts.distinct().join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
+        part = lambda w, h: F.slice(w, F.greatest(h["shift"], F.lit(0)) + 1, F.greatest(h["n"] - F.greatest(-h["shift"], F.lit(0)), F.lit(0)))
+        parts = hit_texts.select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), part(w, h).alias("part"))))).alias("h"))
+        known = bounded(items.select("item_key", "item_id", "item"), items.count())
+        scored = parts.select("doc_id", "text_hash", "h.*").join(known, "item_key")
+        scored = scored.select("doc_id", "text_hash", "item_id", F.size("item").alias("n"), overlap(F.col("part"), F.col("item"), F.col("shift"), percent).alias("overlap"))
+        enough = F.col("overlap") * 100 >= F.when(F.col("n") < SPAN, 100).otherwise(percent)
+        found = scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max("overlap").alias("overlap"))
+        return scratch.keep(stored(found, "overlaps"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

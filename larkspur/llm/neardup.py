@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import forget, stored, with_python_columns
+from .runtime import Scratch, forget, stored, with_python_columns
 
 WORDS = 5
 PERCENT = 80
@@ -223,21 +223,8 @@ def prune(members: DataFrame, shingle: DataFrame, percent: int) -> DataFrame:
     return several(bounded.join(least, "bucket").where(F.col("c") * (100 + percent) >= percent * (F.col("n") + F.col("least"))).drop("least"))
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each component the document with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
-
-    Documents without a word are linked with nothing. Rows repeated with one id are one document and each keep a row; of
-    different texts under one id that with the least digest stands for it. Rows without an id are linked with nothing:
-    null component, kept. Texts of any length are read whole. Pairs at the threshold are linked; of documents that tie
-    in a choice the smallest id is taken. An empty table gives no rows; other columns are ignored.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+def near_duplicate_roots(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: the fingerprints of all rows, (doc_id, rep) of copies, and (src, dst) of nodes under a smaller one."""
     every = stored(fingerprints(docs, percent), "fingerprints")
     prints = every.where(F.col("seq").isNotNull() & F.col("doc_id").isNotNull())
 
@@ -251,7 +238,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of equal word sequences
     classes = stored(prints.groupBy("seq").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("seq", "rep"), "classes")
     copies = stored(prints.select("doc_id", "seq").join(classes, "seq").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    own_copy = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     reps = prints.join(copies.select("doc_id"), "doc_id", "left_anti")
 
     # buckets with two representatives or more
@@ -291,6 +277,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(stored(pairs, "crossed-pairs"), sets, percent)
     if not more.isEmpty():
         roots = components(roots.union(more))
+    return every, copies, roots
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that are kept: of each component the document with the smallest id."""
+    gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
+
+    Documents without a word are linked with nothing. Rows repeated with one id are one document and each keep a row; of
+    different texts under one id that with the least digest stands for it. Rows without an id are linked with nothing:
+    null component, kept. Texts of any length are read whole. Pairs at the threshold are linked; of documents that tie
+    in a choice the smallest id is taken. An empty table gives no rows; other columns are ignored.
+    """
+    with Scratch() as scratch:
+        every, copies, roots = near_duplicate_roots(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), percent)
+        for table in (every, copies, roots):
+            scratch.keep(table)
+    own_copy = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     placed_copies = every.select("doc_id", "n_shingles").join(own_copy, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     return (
         placed_copies.join(roots.select(F.col("src").alias("rep"), F.col("dst").alias("root")), "rep", "left")

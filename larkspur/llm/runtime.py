@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,36 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables stored within a ``with`` block are deleted at its end, but for those that ``keep`` names.
+
+    What a block returns must read kept tables only, as results are computed later. A block within another hands on
+    what it keeps.
+    """
+
+    _open: ClassVar[list[Scratch]] = []
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._larkspur_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.pop()
+        for df in self.made:
+            if df._larkspur_path not in self.kept:
+                forget(df)
+            elif Scratch._open:
+                Scratch._open[-1].made.append(df)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (a reliable cut of the lineage)."""
     spark = df.sparkSession
@@ -24,6 +55,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._larkspur_path = path
+    if Scratch._open:
+        Scratch._open[-1].made.append(back)
     return back
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import new_folder, small_batches, stored
+from .runtime import forget, new_folder, small_batches, stored
 
 WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdxj"
@@ -242,11 +242,12 @@ def urn_page(urn: str | None) -> int | None:
     return None if text == "none" else int(text)
 
 
-def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id and refers_to of the rows whose payload (of ``min_bytes`` at least) a smaller page_id holds as well."""
+def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> tuple[DataFrame, DataFrame]:
+    """page_id, digest and refers_to of the rows whose payload (of ``min_bytes`` at least) a smaller page_id holds as well;
+    and the stored table that this reads."""
     narrow = stored(pages.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha2("html", 256).alias("digest")), "page-digests")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id")
-    return narrow.join(first, "digest").where("page_id <> first_id").groupBy("page_id", "digest").agg(F.min("first_id").alias("refers_to"))
+    return narrow.join(first, "digest").where("page_id <> first_id").groupBy("page_id", "digest").agg(F.min("first_id").alias("refers_to")), narrow
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,7 +256,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     A retried task writes new files under new names; only the committed attempt's paths are in the table.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    found = revisits(pages).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
+    again, digests = revisits(pages)
+    found = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
     digest = F.sha2("html", 256)
     rows = pages.withColumn("digest", digest).join(found, (F.col("page_id") == F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
@@ -276,7 +278,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
 
     small_batches(rows.sparkSession)
-    return stored(rows.mapInArrow(run, "path string"), "archives")
+    archives = stored(rows.mapInArrow(run, "path string"), "archives")
+    forget(digests)
+    return archives
 
 
 RECORDS = T.StructType().add("page_id", "long").add("record_type", "string").add("target", "string").add("payload_bytes", "long").add("payload_digest", "string").add("refers_to", "long").add("payload", "binary")
