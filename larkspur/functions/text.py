@@ -276,13 +276,15 @@ def job_posting(html: Column) -> Column:
     return F.try_element_at(F.filter(listed, lambda b: F.get_json_object(b, "$['@type']") == "JobPosting"), F.lit(1))
 
 
-def numbers_grounded(summary: Column, source: Column) -> Column:
-    """Sentences of ``summary`` whose numbers of three digits or more all occur in ``source``, joined."""
+def numbers_grounded(summary: Column, source: Column, least_words: int = 0) -> Column:
+    """Sentences of ``summary`` whose numbers of three digits or more all occur in ``source``, joined; null if fewer than
+    ``least_words`` words are left."""
     sentences = F.split(summary, r"(?<=[.!?])\s+")
     digits = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(\d[\d.,]*\d{2,}|\d{3,})"), F.lit(1)), lambda n: F.regexp_replace(n, "[.,]", ""))
     known = digits(source)
     good = F.filter(sentences, lambda s: F.size(F.array_except(digits(s), known)) == 0)
-    return F.array_join(good, " ")
+    kept = F.array_join(good, " ")
+    return bind(kept, lambda t: F.when(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= least_words, t)) if least_words else kept
 
 
 def internship_evidence(title: Column, text: Column, lang: Column | None = None) -> Column:

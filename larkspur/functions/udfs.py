@@ -200,3 +200,21 @@ def merged_sentences(text: str | None, overlap: float = 0.5) -> str | None:
 @F.pandas_udf(T.StringType())
 def without_similar_sentences(text: pd.Series) -> pd.Series:
     return text.map(merged_sentences)
+
+
+def json_union(a: str | None, b: str | None) -> str | None:
+    """Two JSON objects as one, keys of the second winning; what is no object counts as empty, two of those give null."""
+    def read(t):
+        try:
+            found = json.loads(t) if t else None
+        except json.JSONDecodeError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    one, two = read(a), read(b)
+    return None if one is None and two is None else json.dumps((one or {}) | (two or {}), ensure_ascii=False, sort_keys=True)
+
+
+@F.pandas_udf(T.StringType())
+def merged_json(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([json_union(x, y) for x, y in zip(a, b, strict=True)], dtype=object)

@@ -114,3 +114,18 @@ def recall_at(reference: DataFrame, other: DataFrame, query: str, item: str, sco
 
     joined = top(reference, k_reference).join(top(other, k_other).withColumn("__in", F.lit(1)), [query, item], "left")
     return joined.groupBy(query).agg(F.count("*").alias("n"), F.count("__in").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("n"), 4))
+
+
+def of_largest(df: DataFrame, by: Sequence[str], source: str, k: int, other: str = "other") -> DataFrame:
+    """Rows per ``by`` and source, for the ``k`` sources with most rows in all (ties: by name); the rest count as ``other``."""
+    counted = df.groupBy(*by, source).agg(F.count("*").alias("n"))
+    totals = counted.groupBy(source).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), source).limit(k).select(source, F.lit(True).alias("__top"))
+    named = counted.join(F.broadcast(totals), source, "left").withColumn(source, F.when(F.col("__top"), F.col(source)).otherwise(other))
+    return named.groupBy(*by, source).agg(F.sum("n").alias("n"))
+
+
+def alerts(df: DataFrame, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """(rule, value, fires) of each rule, a value over all rows and a test of it, in one pass over ``df``."""
+    values = df.agg(*(value.cast("double").alias(name) for name, (value, _) in rules.items()))
+    each = F.array(*(F.struct(F.lit(name).alias("rule"), F.round(F.col(name), 6).alias("value"), test.alias("fires")) for name, (_, test) in rules.items()))
+    return values.select(F.explode(each).alias("r")).select("r.*")

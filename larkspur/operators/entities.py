@@ -85,6 +85,18 @@ def case_variants(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame
     return members.join(heads, "__low").drop("__low")
 
 
+def variants_by_ids(df: DataFrame, key: str, id_column: str, least: float = 0.5) -> DataFrame:
+    """(key, kept): keys that differ by case only and share at least ``least`` of the smaller one's ids, with the one that has
+    most ids (ties: the least by spelling). Ids meet by an equi-join within one spelling, so no two keys are compared blindly."""
+    rows = df.select(F.col(key).alias("k"), F.lower(key).alias("l"), F.col(id_column).alias("i")).distinct()
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.l") == F.col("b.l")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.k") != F.col("b.k")))
+    shared = pairs.groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("o")).agg(F.count("*").alias("both"))
+    sized = shared.join(sizes, "k").join(sizes.select(F.col("k").alias("o"), F.col("n").alias("m")), "o")
+    better = sized.where((F.col("both") >= least * F.least("n", "m")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("o") < F.col("k")))))
+    return top_per_group(better, ["k"], [F.col("m").desc(), F.col("o")], 1).select(F.col("k").alias(key), F.col("o").alias("kept"))
+
+
 def shared_domains(df: DataFrame, domain: str, company: str, least: int = 10) -> DataFrame:
     """Domains that ``least`` companies or more claim (a vendor's, not theirs), with their number."""
     pairs = df.where(F.col(domain).isNotNull()).select(domain, company).distinct()

@@ -166,6 +166,12 @@ register("technology_anchors", "t string", {"found": lambda: joined(E.anchored(F
 register("grounded_numbers", "s string, t string", {"kept": lambda: T.numbers_grounded(c("s"), c("t"))}, [
     (("We were 1.200. Then 4500 came. Fine.", "We had 1200 in 2021"), ("We were 1.200. Fine.",)), (("All 350 agree!", "350"), ("All 350 agree!",)), (("Only 12.", "nothing"), ("Only 12.",)),
 ])
+register("grounded_summaries", "s string, t string", {"kept": lambda: T.numbers_grounded(c("s"), c("t"), 4)}, [
+    (("We grew a lot. Now 4500 people work here.", "we grew"), ("We grew a lot.",)), (("We grew. Now 4500 people work here.", "we grew"), (None,)), (("", ""), (None,)),
+])
+register("json_merged", "a string, b string", {"merged": lambda: U.merged_json(c("a"), c("b"))}, [
+    (('{"a": 1, "b": {"x": 1}}', '{"b": [2], "c": "é"}'), ('{"a": 1, "b": [2], "c": "é"}',)), (("{bad", '{"k": null}'), ('{"k": null}',)), (("[1]", None), (None,)),
+])
 register("sentences_merged", "t string", {"kept": lambda: U.without_similar_sentences(c("t"))}, [
     (("We build big boats. We build big fast boats. Join us!",), ("We build big boats. Join us!",)), (("One two three. Four five six.",), ("One two three. Four five six.",)), (("",), ("",)),
 ])
@@ -314,3 +320,66 @@ def views_by_sql(spark, sf):
     """A report written in the session's own SQL, over registered views and functions."""
     filters.register_views(spark, {"clicks_v": table(spark, sf, "events").where("event_type = 'click'")})
     return spark.sql("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM clicks_v) WHERE rn <= 3")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate - INTERVAL 2 HOURS >= TIMESTAMP '1998-03-01 22:00:00'")
+def filter_posted_after(spark, sf):
+    """A lower bound with an offset against times written with another one; both are compared in UTC."""
+    written = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    now = F.lit("2030-01-01").cast("timestamp")
+    bound = E.moment(F.lit("1998-03-02T01:00:00+03:00"), now)
+    return table(spark, sf, "orders").where(E.moment(written, now) >= bound).select("o_orderkey")
+
+
+@query("""
+WITH t AS (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 6)
+SELECT lang, CASE WHEN source IN (SELECT source FROM t) THEN source ELSE 'other' END AS source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1, 2
+""")
+def largest_sources(spark, sf):
+    """Rows a language of the six largest sources; the others as one."""
+    from ..operators import aggregates
+
+    return aggregates.of_largest(table(spark, sf, "documents"), ["lang"], "source", 6)
+
+
+@query("""
+SELECT 'errors' AS rule, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS value, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) > 0.05 AS fires FROM events
+UNION ALL SELECT 'silent users', CAST(count(DISTINCT user_id) AS DOUBLE), count(DISTINCT user_id) < 3 FROM events
+UNION ALL SELECT 'no value', CAST(count(*) FILTER (WHERE value IS NULL OR value = 0) AS DOUBLE), count(*) FILTER (WHERE value IS NULL OR value = 0) > 0 FROM events
+UNION ALL SELECT 'stale', round(date_diff('second', max(ts), TIMESTAMP '2024-03-01') / 86400.0, 6), date_diff('second', max(ts), TIMESTAMP '2024-03-01') / 86400.0 > 7 FROM events
+""")
+def anomaly_rules(spark, sf):
+    """Several rules over one pass: a share, a count of different values, a count, an age."""
+    from ..operators import aggregates
+
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    age = (F.unix_timestamp(F.lit("2024-03-01").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", F.max("ts")))) / 86400.0
+    return aggregates.alerts(events, {
+        "errors": (F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)), F.col("errors") > 0.05), "silent users": (F.count_distinct("user_id"), F.col("silent users") < 3),
+        "no value": (F.count_if(F.col("value").isNull() | (F.col("value") == 0)), F.col("no value") > 0), "stale": (age, F.col("stale") > 7),
+    })
+
+
+@query("""
+WITH s AS (SELECT quality = 1 AS t, n_chars AS s FROM labels JOIN documents USING (doc_id)), x AS (SELECT unnest([200, 800, 2000, 100000000]) AS threshold),
+c AS (SELECT threshold, count(*) FILTER (WHERE t AND s >= threshold) AS tp, count(*) FILTER (WHERE NOT t AND s >= threshold) AS fp, count(*) FILTER (WHERE t AND s < threshold) AS fn FROM s, x GROUP BY 1)
+SELECT threshold, tp, fp, fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1 FROM c
+""")
+def threshold_sweep(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return curation.threshold_sweep(rows, F.col("quality") == 1, "n_chars", [200, 800, 2000, 100_000_000])
+
+
+@query("""
+WITH r AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN upper('seg' || c_nationkey) WHEN o_orderkey % 3 = 1 THEN 'Seg' || c_nationkey ELSE 'seg' || c_nationkey END AS k, o_custkey AS i FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT k, count(*) AS n FROM r GROUP BY 1),
+p AS (SELECT a.k, b.k AS o, count(*) AS sh FROM r a JOIN r b ON lower(a.k) = lower(b.k) AND a.i = b.i AND a.k <> b.k GROUP BY 1, 2),
+g AS (SELECT p.k, p.o, m.n AS m FROM p JOIN n ON n.k = p.k JOIN n m ON m.k = p.o WHERE sh >= 0.5 * least(n.n, m.n) AND (m.n > n.n OR (m.n = n.n AND p.o < p.k)))
+SELECT k, o AS kept FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC, o) AS rn FROM g) WHERE rn = 1
+""")
+def variants_merged(spark, sf):
+    """Spellings that share most of their members become one."""
+    name = F.concat(F.lit("seg"), F.col("c_nationkey").cast("string"))
+    third = F.col("o_orderkey") % 3
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return entities.variants_by_ids(rows.select(F.when(third == 0, F.upper(name)).when(third == 1, F.initcap(name)).otherwise(name).alias("k"), "o_custkey"), "k", "o_custkey")
