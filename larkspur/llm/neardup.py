@@ -32,6 +32,7 @@ PERCENT = 80
 MISS = 1e-6
 MAX_MINIMA = 280
 SLACK = 0.12  # over five standard deviations of the signature's estimate
+SHORT, SHORT_SLACK = 64, 0.27  # minima of the signature kept beside full sets, and five standard deviations of its estimate
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 128
 #: Ids of documents in buckets are broadcast up to this number of rows (about 100 MB); more are joined by a shuffle.
@@ -81,12 +82,14 @@ class MinHash:
         self.a = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
 
-    def minima(self, shingle: np.ndarray) -> np.ndarray:
+    def minima(self, shingle: np.ndarray, first: int | None = None) -> np.ndarray:
+        """The least value of each hash, or of the ``first`` ones only."""
+        a, b = self.a[:first], self.b[:first]
         x = (shingle >> np.uint64(32)) ^ (shingle & np.uint64(0xFFFFFFFF))
-        least = np.full(len(self.a), np.uint64(2**64 - 1))
+        least = np.full(len(a), np.uint64(2**64 - 1))
         for at in range(0, len(x), BLOCK):
-            h = x[at : at + BLOCK, None] * self.a
-            h += self.b
+            h = x[at : at + BLOCK, None] * a
+            h += b
             np.minimum(least, h.min(axis=0), out=least)
         return least >> np.uint64(32)
 
@@ -101,9 +104,9 @@ class MinHash:
         return (minima & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def similar_signatures(a: bytes, b: bytes, percent: int) -> bool:
+def similar_signatures(a: bytes, b: bytes, percent: int, slack: float = SLACK) -> bool:
     same = float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
-    return (same - 1 / 256) / (1 - 1 / 256) >= percent / 100 - SLACK
+    return (same - 1 / 256) / (1 - 1 / 256) >= percent / 100 - slack
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -156,14 +159,18 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, signature, hashes): the sorted shingle hashes, as bytes, of the documents of ``ids`` (doc_id, signature)."""
-    def hashes(texts):
-        return ((shingles(words_of(t)).astype("<u8").tobytes(),) for t in texts)
+def shingle_sets(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, hashes, short): the sorted shingle hashes of the documents of ``ids`` (one row an id), as bytes, and a
+    signature of ``SHORT`` minima beside them."""
+    hasher = MinHash(percent)
+
+    def made(texts):
+        for t in texts:
+            own = shingles(words_of(t))
+            yield own.astype("<u8").tobytes(), hasher.signature(hasher.minima(own, SHORT))
 
-    few = F.broadcast(ids.select("doc_id")) if ids.count() <= BROADCAST_IDS else ids.select("doc_id")
-    found = with_python_columns(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), ["text"], {"hashes": "binary"}, hashes, drop=("text",))
-    return found.join(ids, "doc_id")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return with_python_columns(docs.select("doc_id", "text").join(few, "doc_id", "left_semi"), ["text"], {"hashes": "binary", "short": "binary"}, made, drop=("text",))
 
 
 def similar(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
@@ -181,10 +188,10 @@ def similar(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose signatures allow a link and whose full shingle sets have it, as a stored table src, dst."""
     def confirm(sa, sb, ha, hb):
-        return ((similar_signatures(s, t, percent) and linked(x, y, percent),) for s, t, x, y in zip(sa, sb, ha, hb, strict=True))
+        return ((similar_signatures(s, t, percent, SHORT_SLACK) and linked(x, y, percent),) for s, t, x, y in zip(sa, sb, ha, hb, strict=True))
 
     def side(name):
-        return sets.select(F.col("doc_id").alias(name), F.col("signature").alias("s_" + name), F.col("hashes").alias("h_" + name))
+        return sets.select(F.col("doc_id").alias(name), F.col("short").alias("s_" + name), F.col("hashes").alias("h_" + name))
 
     both, read = pairs.join(side("a"), "a").join(side("b"), "b"), ("s_a", "s_b", "h_a", "h_b")
     return stored(with_python_columns(both, list(read), {"ok": "boolean"}, confirm, drop=read).where("ok").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct(), "links")
@@ -206,7 +213,7 @@ def shingle_rows(sets: DataFrame, members: DataFrame) -> DataFrame:
     def unpacked(hashes):
         return ((np.frombuffer(h, "<i8").tolist(),) for h in hashes)
 
-    wanted = sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = sets.drop("short").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     return with_python_columns(wanted, ["hashes"], {"own": "array<long>"}, unpacked, drop=("hashes",)).select("doc_id", F.explode("own").alias("shingle")).distinct()
 
 
@@ -247,8 +254,7 @@ def near_duplicate_roots(docs: DataFrame, percent: int) -> tuple[DataFrame, Data
 
     # first round: every member with its bucket's smallest id
     tried = stored(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    wanted = stored(buckets.select("doc_id").distinct().join(prints.select("doc_id", "signature").distinct(), "doc_id"), "bucket-members")
-    sets = stored(shingle_sets(docs, wanted), "shingle-sets")
+    sets = stored(shingle_sets(docs, stored(buckets.select("doc_id").distinct(), "bucket-members"), percent), "shingle-sets")
     links = verified(similar(tried, prints, percent), sets, percent)
     roots = components(links)
 
