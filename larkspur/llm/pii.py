@@ -33,6 +33,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\t-\r]+")
 MAYBE = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[\d@]")
+DECIMAL = re.compile(r"\d")
 LINKS = frozenset("de la le du des van von der den di del da".split())
 EDGES = ".,;:!?\"'<>[]{}"
 
@@ -150,15 +151,25 @@ def shape(token: str) -> str:
 NO_DIGITS = str.maketrans("", "", "dD0123456789")
 
 
+def facts_of(token: str) -> tuple[str, str, str, str, str]:
+    """(shape, word, ending, shape without digits, digits and marks) of a token, as features name them."""
+    bare = token.strip(EDGES)
+    own, word = shape(bare), bare.lower()
+    letters = word.isalpha()
+    marks = "".join(c for c in "@+().-:/%" if c in token)
+    return own, word if letters else "", word[-5:] if letters else "", own.translate(NO_DIGITS), f"{min(sum(c.isdigit() for c in token), 20)}|{marks}"
+
+
+#: Facts of short tokens are kept, of a bounded number; long ones are made anew.
+CACHED_LENGTH = 48
+cached_facts = lru_cache(maxsize=1 << 16)(facts_of)
+
+
 def feature_names(tokens: list[str], i: int) -> tuple[str, ...]:
-    own = shape(tokens[i].strip(EDGES))
-    before = tokens[i - 1] if i else ""
-    after = tokens[i + 1] if i + 1 < len(tokens) else ""
-    sb, sa = shape(before.strip(EDGES)), shape(after.strip(EDGES))
-    digits = sum(c.isdigit() for c in tokens[i])
-    marks = "".join(c for c in "@+().-:/%" if c in tokens[i])
-    word, later, end = before.strip(EDGES).lower(), after.strip(EDGES).lower(), tokens[i].strip(EDGES).lower()
-    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", f"n={min(digits, 20)}|{marks}", "m=" + marks, "w=" + (word if word.isalpha() else ""), "x=" + own.translate(NO_DIGITS), "e=" + (end[-5:] if end.isalpha() else ""), "v=" + (later if later.isalpha() else ""))
+    near = (tokens[i - 1] if i else "", tokens[i], tokens[i + 1] if i + 1 < len(tokens) else "")
+    (sb, word, *_), (own, _, end, bare, counts), (sa, later, *_) = (cached_facts(t) if len(t) <= CACHED_LENGTH else facts_of(t) for t in near)
+    marks = counts[counts.index("|") + 1 :]
+    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", "n=" + counts, "m=" + marks, "w=" + word, "x=" + bare, "e=" + end, "v=" + later)
 
 
 def may_carry(token: str) -> bool:
@@ -296,7 +307,7 @@ def trained() -> Field:
 
 def plausible(kind: str, text: str) -> bool:
     """What a decoded span must hold besides its shape."""
-    digits = "".join(c for c in text if c.isdecimal())
+    digits = "".join(DECIMAL.findall(text))
     if kind == "crf_email":
         return 0 < text.find("@") < len(text) - 1
     if kind == "crf_ip":
