@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocabulary import AGENCIES, BIRTH_LABELS, BOARDS, CONTRACT_KEYS, CONTRACTS, FUNCTION_WORDS, HEADINGS, ID_LABELS, INTERN_CJK, INTERN_STEMS, INTERN_WORDS, LEVELS, MODES, NAMED, PARTICLES, SCRIPTS, STAGE_LANGUAGES, STAGE_WORDS, STREET_ENDINGS, STREETS_AFTER, STREETS_BEFORE, STRONGER, TRACKING
@@ -96,19 +96,42 @@ def language_votes(text: Column) -> Column:
     return F.transform(counted, votes)[0]
 
 
-def language(text: Column, least_words: int = 30, least_votes: int = 5, lead: float = 1.5) -> Column:
-    """Language by script, else by function words; null where the text is short or the lead is not clear."""
-    def decide(v: Column) -> Column:
-        clear = (v[0]["n"] >= least_words) & (-v[0]["v"] >= least_votes) & (-v[0]["v"] >= lead * -v[1]["v"])
-        return F.when(clear, v[0]["code"])
-
-    out = F.transform(F.array(language_votes(text)), decide)[0]
+def by_script(text: Column, otherwise: Column) -> Column:
+    """The language of the first letter of a script that only one language has, else ``otherwise``."""
+    out = otherwise
+    first = F.regexp_extract(F.substring(text, 1, 400), "([가-힯぀-ヿ一-鿿Ѐ-ӿ])", 1)
     for code, letters in reversed(SCRIPTS):
-        first = F.regexp_extract(F.substring(text, 1, 400), "([가-힯぀-ヿ一-鿿Ѐ-ӿ])", 1)
         out = F.when(first.rlike(f"[{letters}]"), code).otherwise(out)
     return out
 
 
+def clear_winner(votes: Column, n: Column, least_words: int, least_votes: int, lead: float) -> Column:
+    """The code with most votes in a sorted array of (-votes, place, code), if words, votes and the lead are enough."""
+    clear = (n >= least_words) & (-votes[0]["v"] >= least_votes) & (-votes[0]["v"] >= lead * -votes[1]["v"])
+    return F.when(clear, votes[0]["code"])
+
+
+def language(text: Column, least_words: int = 30, least_votes: int = 5, lead: float = 1.5) -> Column:
+    """Language by script, else by function words; null where the text is short or the lead is not clear."""
+    return by_script(text, bind(language_votes(text), lambda v: clear_winner(v, v[0]["n"], least_words, least_votes, lead)))
+
+
+def languages(df: DataFrame, id_column: str, text: str, least_words: int = 30, least_votes: int = 5, lead: float = 1.5) -> DataFrame:
+    """(id, language) as ``language`` gives it, for whole tables with one row an id: words are rows, looked up in the table
+    of function words by a broadcast join and counted in compiled code, a bit for each language."""
+    masks: dict[str, int] = {}
+    for i, bag in enumerate(FUNCTION_WORDS.values()):
+        for word in bag:
+            masks[word] = masks.get(word, 0) | 1 << i
+    table = F.broadcast(df.sparkSession.createDataFrame(sorted(masks.items()), "word string, mask int"))
+    plain = F.lower(F.regexp_replace(F.col(text), "<[^>]+>", " "))
+    words = df.select(F.col(id_column).alias("__id"), F.explode(F.split(plain, "[^a-zà-ÿåäöøœæčřšž]+")).alias("word")).where("word <> ''")
+    counted = words.join(table, "word", "left").groupBy("__id").agg(F.count("*").alias("n"), *(F.count_if(F.col("mask").bitwiseAND(1 << i) != 0).alias(code) for i, code in enumerate(FUNCTION_WORDS)))
+    votes = F.array_sort(F.array(*(F.struct((-F.col(code)).alias("v"), F.lit(i).alias("i"), F.lit(code).alias("code")) for i, code in enumerate(FUNCTION_WORDS))))
+    winners = counted.select("__id", bind(votes, lambda v: clear_winner(v, F.col("n"), least_words, least_votes, lead)).alias("__code"))
+    return df.select(id_column, text).join(winners, F.col(id_column) == F.col("__id"), "left").select(id_column, by_script(F.col(text), F.col("__code")).alias("language"))
+
+
 def required_language(text: Column) -> Column:
     """The language code an English text asks for, else null.
 

@@ -157,12 +157,12 @@ def bootstrap_interval(spark, sf):
 WITH w AS (SELECT p_partkey, title, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS t FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS title FROM part)),
 k AS (SELECT DISTINCT title AS known_title, t FROM w)
 SELECT p_partkey, known_title, round(len(list_intersect(w.t, k.t)) / len(list_distinct(list_concat(w.t, k.t))), 4) AS jaccard FROM w JOIN k ON len(w.t) > 0 AND len(k.t) > 0
-  AND 100 * len(list_intersect(w.t, k.t)) >= 75 * len(list_distinct(list_concat(w.t, k.t)))
+  AND 100 * len(list_intersect(w.t, k.t)) >= 85 * len(list_distinct(list_concat(w.t, k.t)))
 """)
 def fuzzy_title_match(spark, sf):
     """Every part's title against all titles."""
     parts = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
-    return curation.fuzzy_titles(parts, parts, "p_partkey", "title", 75)
+    return curation.fuzzy_titles(parts, parts, "p_partkey", "title", 85)
 
 
 @query("""

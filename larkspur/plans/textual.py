@@ -118,7 +118,7 @@ SELECT doc_id, CASE WHEN n >= 30 AND v1 >= 5 AND v1 >= 1.5 * v2 THEN c1 END AS l
 
 @query(votes_sql())
 def language_vote(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
+    return T.languages(table(spark, sf, "documents"), "doc_id", "text")
 
 
 #: Personal data of every kind, set into each document, so that all patterns have work.
