@@ -138,9 +138,50 @@ SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n
 """
 
 
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compaction import compaction_plan
+
+    return compaction_plan(table(spark, sf_dir, "documents"))
+
+
+# DuckDB has no crc32: it is folded bit by bit from the decimal id. The greedy chain is followed file by file.
+OP11_SQL = """
+WITH RECURSIVE c AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS h
+  FROM documents WHERE doc_id IS NOT NULL
+),
+r AS (SELECT *, CAST(floor(doc_id / 2000) AS BIGINT) AS block, least(h % 8, (h // 8) % 8) AS slot FROM c),
+m AS (SELECT *, (h // 64) % 100 < 9 * ((slot + block) % 8) AS deleted, octet_length(encode(text)) AS size FROM r),
+files AS (SELECT source, block, slot, count(*) AS n, sum(size) AS bytes, count(*) FILTER (WHERE NOT deleted) AS live_rows, coalesce(sum(size) FILTER (WHERE NOT deleted), 0) AS live_bytes,
+  100 * count(*) FILTER (WHERE deleted) >= 50 * count(*) AS dirty, 4 * sum(size) < 3 * 131072 AS small FROM m GROUP BY ALL),
+packed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY block, slot) AS i FROM files WHERE dirty OR small),
+chain AS (
+  SELECT source, i, live_bytes AS held, 1 AS grp FROM packed WHERE i = 1
+  UNION ALL
+  SELECT p.source, p.i, CASE WHEN c.held + p.live_bytes > 131072 THEN p.live_bytes ELSE c.held + p.live_bytes END, CASE WHEN c.held + p.live_bytes > 131072 THEN c.grp + 1 ELSE c.grp END
+  FROM chain c JOIN packed p ON p.source = c.source AND p.i = c.i + 1
+),
+groups AS (SELECT source, grp, count(*) AS n_files, sum(bytes) AS bytes, sum(live_bytes) AS live_bytes, sum(live_rows) AS live_rows, bool_or(dirty) AS dirty, arg_min(block, i) AS block, arg_min(slot, i) AS slot
+  FROM packed JOIN chain USING (source, i) GROUP BY ALL),
+queue AS (SELECT *, row_number() OVER w - 1 AS place, sum(bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(bytes) OVER () AS whole FROM groups WHERE n_files > 1 OR dirty WINDOW w AS (ORDER BY n_files DESC, bytes, source, block, slot)),
+rewritten AS (SELECT * FROM queue WHERE 100 * upto <= 30 * whole),
+homes AS (SELECT f.source, f.block, f.slot, coalesce(w.block, f.block) AS home_block, coalesce(w.slot, f.slot) AS home_slot, w.block IS NULL AS untouched
+  FROM files f LEFT JOIN (SELECT p.source, p.block AS b, p.slot AS s, rw.block, rw.slot FROM packed p JOIN chain ch USING (source, i) JOIN rewritten rw ON rw.source = p.source AND rw.grp = ch.grp) w ON w.source = f.source AND w.b = f.block AND w.s = f.slot),
+digests AS (SELECT h.source, home_block AS block, home_slot AS slot, sha256(string_agg(doc_id || ':' || text || chr(10), '' ORDER BY doc_id, text)) AS live_sha256
+  FROM m JOIN homes h USING (source, block, slot) WHERE NOT deleted GROUP BY ALL),
+units AS (SELECT source, block, slot, n_files, live_rows, bytes, bytes + live_bytes + 4096 * n_files AS cost, place // 4 AS wave, live_bytes FROM rewritten
+  UNION ALL SELECT f.source, f.block, f.slot, 1, f.live_rows, f.bytes, NULL, NULL, f.live_bytes FROM files f JOIN homes h USING (source, block, slot) WHERE h.untouched)
+SELECT u.source, CAST(u.block AS BIGINT) AS block, CAST(u.slot AS BIGINT) AS slot, CAST(n_files AS BIGINT) AS n_files, CAST(live_rows AS BIGINT) AS live_rows, CAST(bytes AS BIGINT) AS bytes,
+  CAST(cost AS BIGINT) AS cost, CAST(wave AS BIGINT) AS wave, coalesce(live_sha256, sha256('')) AS live_sha256, CAST(live_bytes AS BIGINT) AS live_bytes
+FROM units u LEFT JOIN digests d USING (source, block, slot)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_compaction": op11_compaction}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL, "op8_quality": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL, "op8_quality": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_compaction": OP11_SQL}
