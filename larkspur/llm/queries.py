@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,8 +180,14 @@ FROM units u LEFT JOIN digests d USING (source, block, slot)
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenalign import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), BPE_VOCABULARY, PIECE_MODEL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_compaction": op11_compaction}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_compaction": op11_compaction, "op12_alignment": op12_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
