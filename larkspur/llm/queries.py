@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .licenses import license_sql
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -186,9 +187,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"), BPE_VOCABULARY, PIECE_MODEL)
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_labels
+
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_compaction": op11_compaction, "op12_alignment": op12_alignment}
+    return {"op1_language": op1_language, "op2_lines": op2_lines, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_neardup": op5_neardup, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_decontamination": op10_decontamination, "op11_compaction": op11_compaction, "op12_alignment": op12_alignment, "op13_licenses": op13_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL, "op8_quality": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_compaction": OP11_SQL}
+    return {"op2_lines": OP2_SQL, "op4_warc": OP4_SQL, "op8_quality": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_compaction": OP11_SQL, "op13_licenses": license_sql()}

@@ -16,7 +16,6 @@ A task holds one matrix (its size is set by the vocabularies) and one batch, wha
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
 from collections.abc import Callable, Iterator
