@@ -28,12 +28,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-# a whole name, a sign of assignment and a value; or the password of an address with a user
-CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?ai:(?:bearer|basic)[\x20\t]++)?"""
-    r"""(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|["'`]?([^\s"'`<>,;]+))"""
-    r"""|://[^\s/:@]++:([^\s/@]++)@"""
-)
+# a whole name and a sign of assignment; or the password of an address with a user
+NAMED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?[\x20\t]*+(?::=|=>|[:=])|://[^\s/:@]++:([^\s/@]++)@""")
+# the value after a sign, looked for only behind the name of a credential, so that no text is read once for each name
+VALUE = re.compile(r"""[\x20\t]*+(?ai:(?:bearer|basic)[\x20\t]++)?(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|["'`]?([^\s"'`<>,;]+))""")
 # a name speaks of a credential if such a word stands in it, at its end or before another part of the name
 CREDENTIAL = re.compile(r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|login|bearer)(?:$|[_0-9-]|[A-Z][a-z])")
 MIN_GUESSES = 10.0
@@ -178,13 +176,20 @@ def guessed_spans(text: str, base: list[tuple[int, int, str]], min_guesses: floa
         else:
             apart.append([start, end])
     found, at = [], 0
-    while m := CONTEXT.search(text, at):
-        if m[1] is not None and not CREDENTIAL.search(m[1]):
-            at = m.end(1)
-            continue
+    while m := NAMED.search(text, at):
+        bare = True
+        if m[1] is not None:
+            if not CREDENTIAL.search(m[1]):
+                at = m.end(1)
+                continue
+            name, m = m, VALUE.match(text, m.end())
+            if m is None:
+                at = name.end()
+                continue
+            bare = m.lastindex == 4
         at = m.end()
         start, end = m.span(m.lastindex)
-        while m.lastindex > 4 and end > start and text[end - 1] in ".)]}!?":
+        while bare and end > start and text[end - 1] in ".)]}!?":
             end -= 1
         before = bisect.bisect_left(apart, [end]) - 1
         if (before < 0 or apart[before][1] <= start) and guess_cost(text[start:end], ranks, longest, min_guesses) >= min_guesses:
