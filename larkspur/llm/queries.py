@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .decontam import UNSPACED
 from .licenses import license_sql
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,10 +125,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# Every alignment of every document and item is counted; no seed takes part.
+# Every alignment of every document and item is counted; no seed takes part. Characters of unspaced scripts are tokens.
 OP10_SQL = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '(UNSPACED)', ' \\1 ', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '(UNSPACED)', ' \\1 ', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
 bt AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS p, len(w) AS n FROM b),
 hits AS (SELECT doc_id, item_id, dt.p - bt.p AS shift FROM dt JOIN bt ON dt.t = bt.t GROUP BY ALL HAVING count(*) * 100 >= 80 * least(any_value(n), 16)),
@@ -137,7 +138,7 @@ runs AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY
 best AS (SELECT doc_id, item_id, any_value(n) AS n, max(CAST(s AS DOUBLE) / least(n, 16)) AS overlap FROM runs WHERE k <= greatest(n - 15, 1) GROUP BY 1, 2),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(overlap) AS overlap FROM best WHERE overlap * 100 >= CASE WHEN n < 10 THEN 100 ELSE 80 END GROUP BY 1)
 SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(overlap, 0.0) AS overlap FROM d LEFT JOIN found f ON f.doc_id = d.doc_id
-"""
+""".replace("UNSPACED", UNSPACED)
 
 
 def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:

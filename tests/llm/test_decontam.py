@@ -116,3 +116,24 @@ def test_the_tables_whole_items(spark):
     held = {r.doc_id for r in queries.table(spark, sf, "documents").collect() for t in [" " + " ".join(words(r.text)) + " "] if any(" " + " ".join(x) + " " in t for x in items)}
     found = {r.doc_id for r in queries.op10_decontamination(spark, sf).where("contaminated").collect()}
     assert held <= found and held
+
+
+def test_unspaced_scripts_equal_the_sql(spark):
+    """Chinese, Japanese and Thai items inside longer texts, with and without replaced characters."""
+    import duckdb
+
+    from larkspur.llm.queries import OP10_SQL
+
+    items = ["今天天气很好我们一起去公园散步吧然后回家吃饭", "日本語のテストはひらがなとカタカナを含みます", "สวัสดีครับวันนี้อากาศดีมากไปเที่ยวกัน", "mixed 漢字 and words of latin text in one item here", "短い文"]
+    texts = [f"前言。{i}后记也在这里" for i in items] + [items[0].replace("公园", "学校"), items[1].replace("テスト", "試験紙"), "这是完全不同的一段文字没有任何重复", items[3].upper(), items[4], None]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", list(enumerate(rows)))
+    cursor = con.execute(OP10_SQL)
+    names = [d[0] for d in cursor.description]
+    want = {r["doc_id"]: r for r in (dict(zip(names, row, strict=True)) for row in cursor.fetchall())}
+    docs, bench = (spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string") for key, rows in (("doc_id", texts), ("item_id", items)))
+    got = {r.doc_id: r.asDict() for r in decontam.contamination(docs, bench).collect()}
+    assert got == want
+    assert [got[i]["contaminated"] for i in (0, 1, 2, 3, 4, 5, 7, 8)] == [True] * 6 + [False, True]
