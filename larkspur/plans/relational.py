@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import aggregates, joins, windows
+from ..operators import aggregates, joins, selection, windows
 from .common import day, money, table, total
 from .registry import query
 
@@ -178,8 +178,8 @@ def dedup_then_count(spark, sf):
 SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75 FROM lineitem GROUP BY ALL
 """)
 def percentiles_group(spark, sf):
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(p.alias("p")).select("l_returnflag", "l_linestatus", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))))
+    quartiles = selection.percentiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", (0.25, 0.5, 0.75))
+    return quartiles.select("l_returnflag", "l_linestatus", *(F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))))
 
 
 @query("""
