@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..streaming import feed
+from ..streaming import feed, stateful
 from .common import money, table
 from .registry import query
 
@@ -85,3 +86,72 @@ def incident_runs(spark, sf):
     runs = feed.incidents(table(spark, sf, "events"), ["user_id"], "ts", "event_id", F.col("event_type").isin("error", "view"), 3)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return runs.select("user_id", stamp("opened"), stamp("closed"), "checks", "escalated")
+
+
+def in_deliveries(spark, sf, parts: int, stream) -> tuple:
+    """What ``stream(events)`` gives, and its log, after ``parts`` runs on one checkpoint: each run finds the rows that
+    arrived since the last one. Rows arrive late by up to half a day (by a hash), so deliveries are out of order."""
+    place, inputs = folder(spark), f"{folder(spark)}-input"
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(12 * 3600)) * 1_000_000
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("__arrived", F.unix_micros("ts") + delay)
+    first, last = rows.agg(F.min("__arrived"), F.max("__arrived")).first()
+    part = F.least(F.floor((F.col("__arrived") - first) * parts / (last - first + 1)), F.lit(parts - 1))
+    for number in range(parts):
+        rows.where(part == number).drop("__arrived").write.mode("append").parquet(inputs)
+        with stateful.rocks_state(spark):
+            out = feed.run_to_folder(stream(feed.read(spark, inputs)), place)
+    return out, f"{place}/log"
+
+
+#: The time up to which a watermark of one day lets rows go.
+RELEASED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"
+STAMPS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def stamps(df, *columns):
+    return df.select(*(F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+INCIDENTS_SQL = f"""
+WITH e AS (SELECT user_id, ts, event_id, event_type IN ('error', 'view') AS f FROM events WHERE ts < {RELEASED}),
+m AS (SELECT *, count(*) FILTER (WHERE NOT f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM m WHERE f) WHERE n = 2),
+r AS (SELECT user_id, run, min(ts) AS resolved FROM m WHERE NOT f GROUP BY 1, 2),
+i AS (SELECT o.user_id, o.run, o.ts AS opened, r.resolved, o.ts + INTERVAL 6 HOURS AS due FROM o LEFT JOIN r ON r.user_id = o.user_id AND r.run = o.run + 1),
+c AS (SELECT i.user_id, i.run, count(*) AS whole, count(*) FILTER (WHERE m.ts <= i.due) AS soon FROM i JOIN m ON m.user_id = i.user_id AND m.run = i.run AND m.f GROUP BY 1, 2),
+x AS (SELECT user_id, 'opened' AS event, opened, opened AS at_time, 2 AS checks FROM i UNION ALL SELECT user_id, 'resolved', opened, resolved, whole FROM i JOIN c USING (user_id, run) WHERE resolved IS NOT NULL
+  UNION ALL SELECT user_id, 'escalated', opened, due, soon FROM i JOIN c USING (user_id, run) WHERE due < {RELEASED} AND (resolved IS NULL OR due < resolved))
+SELECT user_id, event, {STAMPS.format("opened")} AS opened, {STAMPS.format("at_time")} AS "at", checks FROM x
+"""
+
+
+def failing():
+    return F.col("event_type").isin("error", "view")
+
+
+@query(INCIDENTS_SQL)
+def stream_incidents(spark, sf):
+    """Incidents by a state machine a user, in four runs, over deliveries that are out of order by up to half a day."""
+    out, _ = in_deliveries(spark, sf, 4, lambda checks: stateful.incident_events(checks, ["user_id"], "ts", "event_id", failing(), "1 day", dt.timedelta(hours=6)))
+    return stamps(out, "opened", "at")
+
+
+@query(INCIDENTS_SQL)
+def incidents_batch_twin(spark, sf):
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    upto = F.lit(rows.agg(F.floor(F.unix_micros(F.max("ts")) / 1000) * 1000).first()[0] - 86_400_000_000)
+    return stamps(stateful.incident_events_batch(rows, ["user_id"], "ts", "event_id", failing(), upto, dt.timedelta(hours=6)), "opened", "at")
+
+
+@query(f"""
+WITH e AS (SELECT * FROM events WHERE ts < {RELEASED}),
+s AS (SELECT *, sum(g) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 2 DAYS THEN 0 ELSE 1 END AS g FROM e)),
+m AS (SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS mentions FROM s GROUP BY user_id, event_type, session)
+SELECT user_id, event_type, {STAMPS.format("first_seen")} AS first_seen, {STAMPS.format("last_seen")} AS last_seen, mentions, last_seen + INTERVAL 2 DAYS >= {RELEASED} AS alive FROM m
+""")
+def stream_memory_horizon(spark, sf):
+    """Memories that end after two silent days, and those alive, read back from the state of the last run."""
+    keys = ["user_id", "event_type"]
+    ended, log = in_deliveries(spark, sf, 3, lambda rows: stateful.remember_within(rows, keys, "ts", "event_id", "1 day", dt.timedelta(days=2)))
+    living = stateful.alive(spark, log, keys)
+    return stamps(ended.withColumn("alive", F.lit(False)).unionByName(living.withColumn("alive", F.lit(True))), "first_seen", "last_seen")
