@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import remote
+
 
 def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, raw: str = "raw", partitions: int | None = None) -> DataFrame:
     """Typed columns beside the verbatim line: one pass, keys that are missing become null, blank lines are dropped.
@@ -36,30 +34,15 @@ def delimited(spark: SparkSession, paths, schema: T.StructType | str, separator:
 
 
 def zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str, member: str = ".csv", separator: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """The CSV members (names that end in ``member``) of ZIP files; a file is one task, which reads it row by row.
+    """The CSV members (names that end in ``member``) of ZIP files; each member is a task, which reads its own range.
 
-    The first line of a member names its columns; those of ``schema`` are picked by name, the others left out, and missing
-    ones are null. Values that are not of their type become null.
+    ``path``: files (``;`` between them), folders or patterns of names. The first line of a member names its columns;
+    those of ``schema`` are picked by name, the others left out, and missing ones are null. Values that are not of their
+    type become null.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = wanted.names
-
-    def rows(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
-                    for name in sorted(n for n in archive.namelist() if n.endswith(member)):
-                        with archive.open(name) as f:
-                            reader, part = csv.DictReader(io.TextIOWrapper(f, encoding=encoding, newline=""), delimiter=separator), []
-                            for row in reader:
-                                part.append([row.get(n) for n in names])
-                                if len(part) == 10_000:
-                                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=names)
-                                    part = []
-                            if part:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=names)
-
-    texts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"`{n}` string" for n in names))
+    spark.dataSource.register(remote.ZipMembers)
+    texts = spark.read.format("zip_members").schema(T.StructType([T.StructField(n, T.StringType()) for n in wanted.names])).option("member", member).option("separator", separator).option("encoding", encoding).load(path)
     return texts.select(*(F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name) for f in wanted))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,3 +112,35 @@ def slim(df: DataFrame, raw: str, keep: Sequence[str], when) -> DataFrame:
     """``raw`` JSON cut down to the ``keep`` keys where ``when`` holds (null values left out)."""
     small = F.to_json(F.struct(*(F.get_json_object(raw, f"$.{k}").alias(k) for k in keep)))
     return df.withColumn(raw, F.when(when, small).otherwise(F.col(raw)))
+
+
+def zipped_members(df: DataFrame, folder: str, by: str) -> DataFrame:
+    """(path, member, rows): ``df`` as CSV members of ZIP files, a file a task and a member for each value of ``by``.
+
+    Rows are dealt out and ordered by ``by``, and stream into the archive. A file is written under a name of its own, so
+    a task that is tried again leaves the first try's file unnamed.
+    """
+    names = df.columns
+
+    def write(batches):
+        system, place = fs.FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        name, member, out, counts = f"{uuid.uuid4().hex}.zip", None, None, []
+        with system.open_output_stream(f"{place}/{name}") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row[by] != member or out is None:
+                        if out is not None:
+                            out.close()
+                        member = row[by]
+                        counts.append([f"{member}.csv", 0])
+                        out = io.TextIOWrapper(archive.open(counts[-1][0], "w", force_zip64=True), encoding="utf-8", newline="")
+                        csv.writer(out).writerow(names)
+                    csv.writer(out).writerow(["" if v is None else v for v in row.values()])
+                    counts[-1][1] += 1
+            if out is not None:
+                out.close()
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(counts)), pa.array([c[0] for c in counts]), pa.array([c[1] for c in counts], pa.int64())], names=["path", "member", "rows"])
+
+    return df.repartition(by).sortWithinPartitions(by).mapInArrow(write, "path string, member string, rows long")
