@@ -3,7 +3,9 @@
 The field is trained on the driver from a small labelled table (sentences made from the templates below by a fixed
 seed). Tokens are runs without white space. Tokens that hold a digit (of any script) or an ``@``, capitalised
 words, neighbours of digits and linking words between such tokens can carry a label other than ``O``; a text's label
-sequence falls apart exactly at all other tokens; the runs in between are decoded by Viterbi, many runs to a numpy batch. Decoded spans that overlap pattern spans are dropped.
+sequence falls apart exactly at all other tokens, and between capitalised words at the end of a sentence or line; the
+runs in between are decoded by Viterbi, many runs to a numpy batch. Names are known by the words before them and by what
+follows: two capitalised words alone are none. Decoded spans that overlap pattern spans are dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MAYBE = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[\d@]")
 DECIMAL = re.compile(r"\d")
 LINKS = frozenset("de la le du des van von der den di del da".split())
+# Words whose full stop ends no sentence.
+TITLES = frozenset("mr mrs ms dr prof st sr jr herr fr hr mme mlle sra".split())
 EDGES = ".,;:!?\"'<>[]{}"
 
 
@@ -86,6 +90,10 @@ TEMPLATES = (
     "the ####s and ####s", "room ### floor #", "score ##-##", "growth of #.# %", "#### #### ####", "section #.# and #.#.#", "see [##] and (##)", "follow @{name} here", "@{name}", "{name}@ home",
     "iban {id} please", "IBAN {id} please", "to account {id} today", "pay {id} now", "mr {person} said", "Mrs {person} wrote", "dear {person}, thank you", "my name is {person}", "my name is {person} and more", "name: {person}", "Name: {person} Phone: {phone}", "Herr {person} sagte", "Frau {person} schrieb", "Monsieur {person} est venu", "Dr. {person} called", "signed by {person}",
     "lives at {street}", "lives at {street} today", "address: {street}", "Address: {street}", "wohnt in der {street} seit", "deliver to {street} please", "habite au {street}", "{person}, {street}", "the {Cap} {Cap} was closed", "In {Cap} der {Cap} und {Cap}", "{Cap} {Cap} {Cap} read", "on {Cap} ## the {Cap} met", "{Cap} #### was a year", "die {Cap} hat ## {Cap} verkauft", "{Cap} and {Cap} went to {Cap}", "The {Cap} of {Cap}", "chapter # The {Cap} {Cap}", "{CAP} {CAP} {CAP}", "see {CAP} ####", "{CAP} {CAP} #### {Cap}",
+    "{name} mr {person} {name}", "{name} mrs {person} {name} {name}", "Frau {person} {name} {name}", "{name} Herr {person} {name}", "dear {person} {name}", "{name} is dr {person} {name}", "my name is {person} {name} {name}", "name is {person}, {name}",
+    # running prose: sentence starts, titles, products and licences
+    "{Cap} {name} {name} {name}. {Cap} {name} {name}", "{Cap} {Cap} {name} {name}.", "{Cap} {Cap}, {name} {Cap} {Cap}", "{Cap}, {Cap} {name} {name}", "{name} {name} {Cap} {Cap} {name}", "{name} {Cap} {Cap} {Cap} {name} {name}", "{Cap} de {Cap} {name}", "{Cap} la {name} de {Cap}", "{name} {Cap} van {Cap} {name}",
+    "licensed under the {Cap} License, Version #.#", "the {Cap} General Public License, version #", "{Cap} Public License", "the {Cap} {Cap} project", "{name} with {Cap} {Cap} and {Cap}", "by {Cap} {Cap} {name}", "is {Cap} {Cap} {name}", "{Cap} is {Cap} {Cap}", "{Cap} {name} in {Cap} {Cap}. {Cap} {Cap} {name}", "{name}: {Cap} {Cap}", "{Cap}: {Cap} {name}", "{name} {Cap} {Cap}", "{name} {Cap} {Cap}.",
 )
 FORMS = {
     "phone": ("(###) ###-####", "###-###-####", "###.###.####", "+# (###) ###-####", "+## ### ### ####", "+## ## ## ## ## ##", "0### #######", "(0##) ### ####", "1-800-###-####", "+###########"),
@@ -165,11 +173,31 @@ CACHED_LENGTH = 48
 cached_facts = lru_cache(maxsize=1 << 16)(facts_of)
 
 
-def feature_names(tokens: list[str], i: int) -> tuple[str, ...]:
+def ends_sentence(token: str) -> bool:
+    """Whether a full stop, question or exclamation mark ends the token, but for titles and initials."""
+    bare = token.rstrip("\"')]}")
+    return bare[-1:] in ("!", "?") or (bare[-1:] == "." and len(bare) > 2 and bare[:-1].lower() not in TITLES)
+
+
+def starts_of(tokens: list[str], lines: list[bool] | None = None) -> list[bool]:
+    """For each token whether a sentence or a line starts with it."""
+    return [i == 0 or (lines is not None and lines[i]) or ends_sentence(tokens[i - 1]) for i in range(len(tokens))]
+
+
+def word_before(tokens: list[str], i: int, starts: list[bool]) -> str:
+    if i <= 0 or starts[i]:
+        return ""
+    t = tokens[i - 1]
+    return (cached_facts(t) if len(t) <= CACHED_LENGTH else facts_of(t))[1]
+
+
+def feature_names(tokens: list[str], i: int, starts: list[bool]) -> tuple[str, ...]:
     near = (tokens[i - 1] if i else "", tokens[i], tokens[i + 1] if i + 1 < len(tokens) else "")
     (sb, word, *_), (own, _, end, bare, counts), (sa, later, *_) = (cached_facts(t) if len(t) <= CACHED_LENGTH else facts_of(t) for t in near)
     marks = counts[counts.index("|") + 1 :]
-    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", "n=" + counts, "m=" + marks, "w=" + word, "x=" + bare, "e=" + end, "v=" + later)
+    before = word_before(tokens, i, starts)
+    further = word_before(tokens, i - 1, starts) if before else ""
+    return ("bias", "s=" + own, "b=" + sb, "a=" + sa, f"bs={sb}|{own}", f"sa={own}|{sa}", "n=" + counts, "m=" + marks, "w=" + word, "x=" + bare, "e=" + end, "v=" + later, "u=" + before, f"t={further}|{before}", f"^={starts[i]}|{own}")
 
 
 def may_carry(token: str) -> bool:
@@ -177,8 +205,9 @@ def may_carry(token: str) -> bool:
     return DIGIT.search(token) is not None or token.lstrip(EDGES + "(")[:1].isupper()
 
 
-def runs_of(tokens: list[str]) -> Iterator[tuple[int, int]]:
-    """Maximal stretches of tokens that may carry a label."""
+def runs_of(tokens: list[str], starts: list[bool]) -> Iterator[tuple[int, int]]:
+    """Maximal stretches of tokens that may carry a label, cut where a sentence or line starts between words without
+    digits. One capitalised word by itself is no run, as nothing that it could be is plausible."""
     own = [may_carry(t) for t in tokens]
     on = own.copy()
     for i, t in enumerate(tokens):
@@ -187,15 +216,17 @@ def runs_of(tokens: list[str]) -> Iterator[tuple[int, int]]:
                 on[k] = True
         elif t in LINKS and i and on[i - 1]:
             on[i] = True
-    start = None
-    for i, carries in enumerate(on):
-        if carries:
-            start = i if start is None else start
-        elif start is not None:
-            yield start, i
+    digits = [DIGIT.search(t) is not None for t in tokens]
+    start, end = None, len(tokens)
+    for i in range(end + 1):
+        carries = i < end and on[i]
+        cut = carries and start is not None and starts[i] and not digits[i] and not digits[i - 1]
+        if start is not None and (cut or not carries):
+            if i - start > 1 or digits[start]:
+                yield start, i
             start = None
-    if start is not None:
-        yield start, len(tokens)
+        if carries and start is None:
+            start = i
 
 
 class Field:
@@ -205,10 +236,11 @@ class Field:
         number: dict[str, int] = {}
         data = []
         for tokens, labels in table:
-            for a, b in runs_of(tokens):
-                feats = [[number.setdefault(f, len(number)) for f in feature_names(tokens, i)] for i in range(a, b)]
+            starts = starts_of(tokens)
+            for a, b in runs_of(tokens, starts):
+                feats = [[number.setdefault(f, len(number)) for f in feature_names(tokens, i, starts)] for i in range(a, b)]
                 data.append((feats, [LABELS.index(x) for x in labels[a:b]]))
-        self.number, k, s = number, len(feature_names(["a"], 0)), len(LABELS)
+        self.number, k, s = number, len(feature_names(["a"], 0, [True])), len(LABELS)
         longest = max(len(y) for _, y in data)
         feats = np.full((len(data), longest, k), len(number))
         gold = np.zeros((len(data), longest), int)
@@ -293,11 +325,10 @@ class Field:
                 out[i] = path[row, : len(runs[i])]
         return out
 
-    def scores(self, tokens: list[str], a: int, b: int) -> np.ndarray:
+    def scores(self, tokens: list[str], a: int, b: int, starts: list[bool]) -> np.ndarray:
         """Emission scores of a run; of the text only the neighbouring tokens are looked at."""
-        near, get, none = tokens[max(0, a - 1) : b + 1], self.number.get, len(self.number)
-        off = a - max(0, a - 1)
-        return self.emit[[[get(f, none) for f in feature_names(near, i + off)] for i in range(b - a)]].sum(1)
+        get, none = self.number.get, len(self.number)
+        return self.emit[[[get(f, none) for f in feature_names(tokens, i, starts)] for i in range(a, b)]].sum(1)
 
 
 @lru_cache(maxsize=1)
@@ -318,7 +349,9 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "crf_phone":
         return 7 <= len(digits) <= 15
     if kind == "crf_name":
-        return not digits and len(text.split()) >= 2
+        words = text.split()
+        whole = [w[:1].isupper() and not (w.isupper() and len(w) > 2) for w in words]
+        return not digits and "\n" not in text and sum(whole) >= 2 and whole[0] and whole[-1] and all(a != b for a, b in zip(words, words[1:], strict=False)) and not any(c in ",;:!?" for c in text)
     if kind == "crf_street":
         return bool(digits) and any(c.isalpha() for c in text) and len(text.split()) >= 2
     return 9 <= len(digits) <= 30
@@ -341,8 +374,9 @@ def field_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
         if DIGIT.search(text) or not text.islower():
             places = [m.span() for m in TOKEN.finditer(text)]
             tokens = [text[a:b] for a, b in places]
-            for a, b in runs_of(tokens):
-                runs.append(field.scores(tokens, a, b))
+            starts = starts_of(tokens, [i > 0 and "\n" in text[places[i - 1][1] : p[0]] for i, p in enumerate(places)])
+            for a, b in runs_of(tokens, starts):
+                runs.append(field.scores(tokens, a, b, starts))
                 where.append((n, places[a:b]))
     for (n, places), path in zip(where, field.decode(runs), strict=True):
         i = 0
