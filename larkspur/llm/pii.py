@@ -92,7 +92,7 @@ TEMPLATES = (
     "lives at {street}", "lives at {street} today", "address: {street}", "Address: {street}", "wohnt in der {street} seit", "deliver to {street} please", "habite au {street}", "{person}, {street}", "the {Cap} {Cap} was closed", "In {Cap} der {Cap} und {Cap}", "{Cap} {Cap} {Cap} read", "on {Cap} ## the {Cap} met", "{Cap} #### was a year", "die {Cap} hat ## {Cap} verkauft", "{Cap} and {Cap} went to {Cap}", "The {Cap} of {Cap}", "chapter # The {Cap} {Cap}", "{CAP} {CAP} {CAP}", "see {CAP} ####", "{CAP} {CAP} #### {Cap}",
     "{name} mr {person} {name}", "{name} mrs {person} {name} {name}", "Frau {person} {name} {name}", "{name} Herr {person} {name}", "dear {person} {name}", "{name} is dr {person} {name}", "my name is {person} {name} {name}", "name is {person}, {name}",
     # running prose: sentence starts, titles, products and licences
-    "{Cap} {name} {name} {name}. {Cap} {name} {name}", "{Cap} {Cap} {name} {name}.", "{Cap} {Cap}, {name} {Cap} {Cap}", "{Cap}, {Cap} {name} {name}", "{name} {name} {Cap} {Cap} {name}", "{name} {Cap} {Cap} {Cap} {name} {name}", "{Cap} de {Cap} {name}", "{Cap} la {name} de {Cap}", "{name} {Cap} van {Cap} {name}",
+    "{Cap} {name} {name} {name}. {Cap} {name} {name}", "{Cap} {Cap} {name} {name}.", "{Cap} {Cap}, {name} {Cap} {Cap}", "{Cap}, {Cap} {name} {name}", "{name} {name} {Cap} {Cap} {name}", "{name} {Cap} {Cap} {Cap} {name} {name}", "{Cap} de {Cap} {name}", "{Cap} la {name} de {Cap}", "{name} {Cap} van {Cap} {name}", "{Cap} {name}. {Cap} {Cap} de la {Cap}", "{Cap} {Cap} de la {Cap} {name}", "{Cap} {Cap} de {Cap}", "{Cap} de la {Cap}", "{name} {Cap} de la {Cap}",
     "licensed under the {Cap} License, Version #.#", "the {Cap} General Public License, version #", "{Cap} Public License", "the {Cap} {Cap} project", "{name} with {Cap} {Cap} and {Cap}", "by {Cap} {Cap} {name}", "is {Cap} {Cap} {name}", "{Cap} is {Cap} {Cap}", "{Cap} {name} in {Cap} {Cap}. {Cap} {Cap} {name}", "{name}: {Cap} {Cap}", "{Cap}: {Cap} {name}", "{name} {Cap} {Cap}", "{name} {Cap} {Cap}.",
 )
 FORMS = {
