@@ -190,25 +190,31 @@ def bootstrap(df: DataFrame, value: Column, rounds: int, seed: int) -> DataFrame
 def fuzzy_titles(df: DataFrame, known: DataFrame, id_column: str, title: str, percent: int = 85) -> DataFrame:
     """(id, known_title, jaccard) of titles whose token sets are similar to a known one.
 
-    Exact prefix filter: two sets of a Jaccard of at least t share one of their first n - ceil(t * n) + 1 tokens in any
-    fixed order, so only these are joined, rarest tokens first.
+    Titles of one token set are a class; classes are compared, and members follow by membership. Exact prefix filter:
+    two sets of a Jaccard of at least t share one of their first n - ceil(t * n) + 1 tokens in any fixed order, so only
+    these are joined (by their hashes), rarest first, with the sizes and the places of a shared token as bounds.
     """
-    def tokens(c):
-        return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-    left = df.select(F.col(id_column), tokens(F.col(title)).alias("t")).where(F.size("t") > 0)
-    right = known.select(F.col(title).alias("known_title"), tokens(F.col(title)).alias("t")).where(F.size("t") > 0).distinct()
-    order = right.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-    def prefixes(rows, key):
-        ordered = rows.select(key, F.size("t").alias("n"), F.explode("t").alias("w")).join(order, "w", "left")
-        grouped = ordered.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
-        keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-        return grouped.select(key, F.explode(F.transform(F.slice("o", 1, keep), lambda x: x["w"])).alias("w"))
-
-    pairs = prefixes(left, id_column).join(prefixes(right, "known_title"), "w").select(id_column, "known_title").distinct()
-    scored = pairs.join(left.withColumnRenamed("t", "a"), id_column).join(right.withColumnRenamed("t", "b"), "known_title")
-    return scored.withColumn("jaccard", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 4)).where(F.col("jaccard") * 100 >= percent).select(id_column, "known_title", "jaccard")
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    named = lambda rows, *columns: rows.select(*columns, tokens.alias("t")).where(F.size("t") > 0).withColumn("set", F.unhex(F.md5(F.array_join("t", " "))))
+    left = cut(named(df, F.col(id_column)))
+    right = cut(named(known.select(title).distinct(), F.col(title).alias("known_title")))
+    sides = left.select("set", "t", F.lit(True).alias("asks"), F.lit(False).alias("known")).unionByName(right.select("set", "t", F.lit(False).alias("asks"), F.lit(True).alias("known")))
+    classes = cut(sides.groupBy("set").agg(F.any_value("t").alias("t"), F.bool_or("asks").alias("asks"), F.bool_or("known").alias("known")))
+    words = classes.select("set", "asks", "known", F.size("t").alias("n"), F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("w"))
+    order = words.groupBy("w").agg(F.count("*").alias("df"))
+    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    ranked = words.join(order, "w").groupBy("set", "asks", "known", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    prefixes = cut(ranked.select("set", "asks", "known", "n", F.posexplode(F.slice(F.col("o")["w"], 1, keep)).alias("i", "w")))
+    a, b = (prefixes.where(side).select("w", F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x, side in (("a", "asks"), ("b", "known")))
+    shared = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    likely = (F.col("a") != F.col("b")) & ((100 + percent) * shared >= percent * (F.col("na") + F.col("nb")))
+    pairs = a.join(b, "w").where(likely).select("a", "b").distinct()
+    x, y = (classes.select(F.col("set").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("union", F.size("ta") + F.size("tb") - F.col("common"))
+    alike = both.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b", F.round(F.col("common") / F.col("union"), 4).alias("jaccard"))
+    same = classes.where("asks AND known").select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("jaccard"))
+    found = left.select(id_column, F.col("set").alias("a")).join(cut(alike.unionByName(same)), "a")
+    return found.join(right.select("known_title", F.col("set").alias("b")), "b").select(id_column, "known_title", "jaccard")
 
 
 def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-SMALL = 50_000
+SMALL = 250_000
 BINS = 4096
 LARGEST = sys.float_info.max
 

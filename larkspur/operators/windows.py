@@ -70,11 +70,17 @@ def dominant(df: DataFrame, by: Sequence[str], value: str, least_share: float, l
     return top_per_group(good, by, [F.col("n").desc(), F.col(value).asc_nulls_last()], 1)
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str = "rn", partitions: int = 64) -> DataFrame:
+def ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rn", partitions: int | None = None) -> DataFrame:
     """Adds the place in a global order without one task that holds all rows: ranges, numbers within them, offsets.
 
-    ``order`` must be total. What the driver sees is one count a range.
+    ``order`` must be total. What the driver sees is one count a range; there are as many ranges as the session has
+    shuffle partitions, unless ``partitions`` says otherwise.
     """
+    partitions = partitions or ranges(df)
     ranged = cut(df.repartitionByRange(partitions, *order).withColumn("__part", F.spark_partition_id()))
     starts, at = [], 0
     for r in sorted(ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()):
@@ -85,11 +91,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "rn", partition
     return ranged.withColumn("__local", local).join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__local")).drop("__part", "__local", "__start")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before each one in the order of a column of different values.
 
     No task holds all rows: ranges of the column, sums within each, and offsets, of which the driver sees one a range.
     """
+    partitions = partitions or ranges(df)
     ranged = cut(df.repartitionByRange(partitions, order).withColumn("__part", F.spark_partition_id()))
     starts, at = [], 0
     for r in sorted(ranged.groupBy("__part").agg(F.sum(value).alias("n")).collect()):
