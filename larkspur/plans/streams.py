@@ -155,3 +155,21 @@ def stream_memory_horizon(spark, sf):
     ended, log = in_deliveries(spark, sf, 3, lambda rows: stateful.remember_within(rows, keys, "ts", "event_id", "1 day", dt.timedelta(days=2)))
     living = stateful.alive(spark, log, keys)
     return stamps(ended.withColumn("alive", F.lit(False)).unionByName(living.withColumn("alive", F.lit(True))), "first_seen", "last_seen")
+
+
+@query("""
+WITH d AS (SELECT *, ts < TIMESTAMP '2024-01-15' AND event_id % 10 <> 0 AS first FROM events),
+m AS (SELECT max(ts) - INTERVAL 2 DAYS AS mark FROM d WHERE first)
+SELECT event_id, event_type, NOT first AND ts < mark AS late FROM d, m
+""")
+def stream_late_rows(spark, sf):
+    """Two deliveries; the second holds rows of long ago beside the new ones, which go to a table of their own."""
+    place, inputs = folder(spark), f"{folder(spark)}-input"
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = (F.col("ts") < F.lit("2024-01-15").cast("timestamp")) & (F.col("event_id") % 10 != 0)
+    for delivery in (first, ~first):
+        rows.where(delivery).write.mode("append").parquet(inputs)
+        feed.with_late_rows(feed.read(spark, inputs), "ts", "2 DAYS", lambda batch: batch.select("event_id", "event_type"), place, f"{place}/late")
+    good = spark.read.schema("event_id long, event_type string").parquet(f"{place}/out").select("event_id", "event_type", F.lit(False).alias("late"))
+    late = spark.read.schema(rows.schema).parquet(f"{place}/late").select("event_id", "event_type", F.lit(True).alias("late"))
+    return good.unionByName(late)
