@@ -2,8 +2,8 @@
 
 import pytest
 
-from larkspur.llm import bpe, decontam, langid, linededup, neardup, pii, quality, secret_scan, sharding, warczip
-from larkspur.llm.queries import BPE_VOCABULARY
+from larkspur.llm import bpe, decontam, langid, licenses, linededup, neardup, pii, quality, secret_scan, sharding, tokenalign, warczip
+from larkspur.llm.queries import BPE_VOCABULARY, PIECE_MODEL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, score string, lang_pred string, overlap string, hits string, root string"
 LONG = "a" * 300_000
@@ -41,6 +41,8 @@ ONE_ROW_EACH = {
     "quality": lambda s, d: quality.quality_rules(d),
     "sharding": lambda s, d: sharding.shard_documents(d),
     "decontam": lambda s, d: decontam.contamination(d, bench(s)),
+    "alignment": lambda s, d: tokenalign.aligned(d, BPE_VOCABULARY, PIECE_MODEL),
+    "licenses": lambda s, d: licenses.license_labels(d),
     "warc": lambda s, d: warczip.archived_pages(d.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "row", "kept")),
 }
 
