@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,10 +53,14 @@ class ByteLevel:
         # merged ids are numbered in the order of their merges, so ranks and ids sort alike
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in v.bytes.items() if i not in v.special.values()}, special_tokens={})
         self.bytes = [v.bytes.get(i, b"") for i in range(max(v.bytes) + 1)]
-        self.words, self.long = regex.compile(public_tokenizers.PATTERN), regex.compile(rf"\p{{L}}{{{LONG_WORD}}}|\p{{N}}{{{LONG_WORD}}}|\s{{{LONG_WORD}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_WORD}}}")
+        self.words, self.blanks = regex.compile(public_tokenizers.PATTERN), re.compile(rf"\s{{{LONG_WORD}}}")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.by_words(t) if self.long.search(t) else self.encoding.encode_ordinary(t) for t in (" " + t for t in texts)]
+        return [self.by_words(t) if self.may_be_long(t) else self.encoding.encode_ordinary(t) for t in (" " + t for t in texts)]
+
+    def may_be_long(self, text: str) -> bool:
+        """Whether a word may have over ``LONG_WORD`` characters; the ids are the same either way."""
+        return len(text) > LONG_WORD and (max(map(len, text.split()), default=0) >= LONG_WORD or self.blanks.search(text) is not None)
 
     def by_words(self, text: str) -> list[int]:
         out = []
@@ -90,8 +95,8 @@ class Aligner:
         """Ids by A and B of each text; none for null and empty texts and where either side's bytes are not the text's."""
         whole = [t or "" for t in texts]
         for text, a, b in zip(whole, self.a.encode(whole), self.b.encode(whole), strict=True):
-            raw = b" " + text.encode()
-            same = text and b"".join(map(self.a.bytes.__getitem__, a)) == raw and b"".join(map(self.b.bytes.__getitem__, b)) == raw
+            # A's tokens are cut from the bytes of the text themselves, so only B's can differ from them
+            same = text and b"".join(map(self.b.bytes.__getitem__, b)) == b" " + text.encode()
             yield (a, b) if same else ([], [])
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
