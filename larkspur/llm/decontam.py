@@ -2,7 +2,8 @@
 
 Each fixed mask picks some neighbouring tokens and ignores others, so a window with replaced words at ignored places
 still gives the same hash. The hashes of all windows of all documents are joined with those of the benchmark; each hit
-fixes an alignment (document position minus item position). Along the whole alignment the tokens are compared place by
+fixes an alignment (document position minus item position). Items that share a seed at one place are one class, so a
+document has one hit for all items that begin alike; only the comparison goes through the members of the class. Along the whole alignment the tokens are compared place by
 place; an item is found when, in some stretch of ``WINDOW`` of its tokens (all of them if it has fewer), at least
 ``PERCENT`` of the places agree. Items under ``SPAN`` tokens are found where all their tokens stand word for word.
 
@@ -35,8 +36,8 @@ PERCENT = 80
 UNSPACED = r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{323AF}]"
 #: Hits of a document are held in one row for each stretch of so many positions.
 BLOCK = 1 << 16
-#: Benchmark hashes (items) up to this number of rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of up to this number of bytes, as counted over all their rows, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -78,16 +79,16 @@ def short_marks(items: DataFrame) -> DataFrame:
     return short.select("item_key", "item", "n", run.alias("run"), F.explode(places).alias("item_at"))
 
 
-def short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(doc_id, text_hash, item_key, n, shift) of the runs of short items in ``docs``; none if no item is short."""
+def short_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The runs of short items in ``docs``, as ``seed_hits`` gives them; none if no item is short."""
     marks = short_marks(items)
     lengths = sorted(r[0] for r in marks.select("run").distinct().collect())  # at most SPAN - 1
     if not lengths:
         return None
-    seeds = stored(marks.select("item_key", "n", "run", "item_at", run_seed(lengths).alias("seed")).distinct(), "short-seeds")
+    seeds, members = classes(marks.select("item_key", "n", "item_at", run_seed(lengths).alias("seed")), ["seed", "item_at"])
     runs = F.flatten(F.array(*(F.transform(run_hashes(F.col("words"), n), lambda h, i: F.struct(h.alias("seed"), i.alias("at"))) for n in lengths)))
     rows = docs.select("doc_id", "text_hash", F.explode(runs).alias("r")).select("doc_id", "text_hash", "r.seed", "r.at")
-    return rows.join(bounded(seeds, seeds.count()), "seed").select("doc_id", "text_hash", "item_key", "n", (F.col("at") - F.col("item_at")).alias("shift"))
+    return rows.join(bounded(seeds), "seed").select("doc_id", "text_hash", "class", "n", (F.col("at") - F.col("item_at")).alias("shift")), members
 
 
 def run_seed(lengths: list[int]) -> Column:
@@ -99,10 +100,11 @@ def run_seed(lengths: list[int]) -> Column:
 def overlap(part: Column, item: Column, shift: Column, percent: int) -> Column:
     """Largest share of agreeing places in a stretch of ``WINDOW`` tokens of ``item``, laid on a document at ``shift``.
 
-    ``part`` is the stretch of the document under the item. Null where too few places agree in all.
+    ``part`` is the stretch of the document under the item, or longer. Null where too few places agree in all.
     """
     skip = F.greatest(-shift, F.lit(0))
-    same = F.transform(F.arrays_zip(F.slice(item, skip + 1, F.greatest(F.size(item) - skip, F.lit(0))), part.alias("1")), lambda z: F.when(z["0"] == z["1"], 1).otherwise(0))
+    n = F.greatest(F.size(item) - skip, F.lit(0))
+    same = F.transform(F.arrays_zip(F.slice(item, skip + 1, n), F.slice(part, F.lit(1), n).alias("1")), lambda z: F.when(z["0"] == z["1"], 1).otherwise(0))
     wide = F.least(F.size(item), F.lit(WINDOW))
 
     def best(s: Column) -> Column:
@@ -113,22 +115,58 @@ def overlap(part: Column, item: Column, shift: Column, percent: int) -> Column:
     return let(same, best)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def held_bytes(df: DataFrame) -> int:
+    """About the bytes that all rows of ``df`` take in memory: numbers, strings and arrays of strings are counted whole."""
+    def of(field) -> Column:
+        c, kind = F.col(field.name), field.dataType.simpleString()
+        each = F.octet_length(F.array_join(c, "")) + 32 * F.size(c) if kind == "array<string>" else F.octet_length(c) if kind in ("string", "binary") else F.lit(0)
+        return F.coalesce(each, F.lit(0)) + 16
 
+    whole = F.lit(16).cast("long")
+    for field in df.schema:
+        whole = whole + of(field)
+    return df.agg(F.sum(whole)).first()[0] or 0
 
-def seed_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_key, n, shift): the alignments of all documents and items that share a seed."""
-    own = [f"added_{k}" for k in ADDED]
-    marks = windows(items, ["item_key", "n"], F.col("item")).distinct()
-    marks = stored(marks.select("seed", F.col("at").alias("item_at"), "item_key", "n", *(F.col(c).alias("item_" + c) for c in own)), "benchmark-seeds")
-    agree = F.lit(False)
-    for c in own:
-        agree = agree | F.coalesce(F.col(c) == F.col("item_" + c), F.lit(False))
-    hits = windows(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks, marks.count()), "seed").where(agree)
-    hits = hits.select("doc_id", "text_hash", "item_key", "n", (F.col("at") - F.col("item_at")).alias("shift"))
+
+def bounded(df: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """``df`` to be broadcast if it, or ``measured`` that holds all its rows, is small enough."""
+    return F.broadcast(df) if held_bytes(df if measured is None else measured) <= BROADCAST_BYTES else df
+
+
+def classes(marks: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(place, class, n) of all places of ``marks`` and (class, item_key) of the classes: a class is a set of items that
+    have a place in common, named by a hash of the set, and ``n`` the tokens of its longest item.
+
+    Sets are never gathered: their hash is folded, and their members are those of one of their places.
+    """
+    marks = stored(marks.select(*place, "item_key", "n").distinct().withColumn("mark", F.xxhash64(*place)), "benchmark-marks")
+    name = F.xxhash64(F.count("*"), F.bit_xor("item_key"), F.bit_xor(F.xxhash64("item_key")))
+    seeds = stored(marks.groupBy(*place).agg(name.alias("class"), F.max("n").alias("n"), F.first("mark").alias("mark")), "benchmark-seeds")
+    one = seeds.groupBy("class").agg(F.min("mark").alias("mark"))
+    return seeds.drop("mark"), marks.select("mark", "item_key").join(one, "mark").select("class", "item_key").distinct()
+
+
+def masked(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``windows`` with a row for each mask that fits: the hash of its places as ``mask``."""
+    each = F.array(*(F.when(F.col(f"added_{k}").isNotNull(), F.xxhash64("seed", F.lit(k), f"added_{k}")) for k in ADDED))
+    return rows.select(*columns, F.explode(F.array_compact(each)).alias("mask"))
+
+
+def seed_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, class, n, shift): the alignments of all documents and classes of items that share a seed, and
+    (class, item_key), the members of the classes.
+
+    Windows are looked up by the places that both masks pick; only those that are known are looked up by each mask.
+    """
+    marks = stored(windows(items, ["item_key", "n"], F.col("item")).withColumnRenamed("at", "item_at"), "benchmark-windows")
+    seeds, members = classes(masked(marks, "item_key", "n", "item_at"), ["mask", "item_at"])
+    known = windows(docs, ["doc_id", "text_hash"], F.col("words")).join(bounded(marks.select("seed").distinct(), marks.select("seed")), "seed", "left_semi")
+    hits = masked(known, "doc_id", "text_hash", "at").join(bounded(seeds), "mask")
+    hits = hits.select("doc_id", "text_hash", "class", "n", (F.col("at") - F.col("item_at")).alias("shift"))
     short = short_hits(docs, items)
-    return stored((hits if short is None else hits.unionByName(short)).distinct(), "seed-hits")
+    if short is not None:
+        hits, members = hits.unionByName(short[0]), members.unionByName(short[1]).distinct()
+    return stored(hits.distinct(), "seed-hits"), members
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -140,17 +178,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         texts = texts.withColumn("text_hash", F.xxhash64("text"))
         items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.coalesce(F.col(item_text_col), F.lit(""))).alias("item")).where(F.size("item") > 0).distinct()
         items = stored(items.withColumn("n", F.size("item")).withColumn("item_key", F.xxhash64(F.col("item_id").isNull(), "item_id", "item")), "items")
-        hits = seed_hits(texts.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), items)
+        hits, members = seed_hits(texts.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), items)
+        known = stored(members.join(items.select("item_key", "item_id", "item"), "item_key").select("class", "item_id", "item"), "members")
         # only small numbers are gathered, and of a long document no more than a block's; the words join them once
-        laid = hits.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / BLOCK).alias("block")).agg(F.collect_list(F.struct("item_key", "n", "shift")).alias("hits"))
+        laid = hits.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / BLOCK).alias("block")).agg(F.collect_list(F.struct("class", "n", "shift")).alias("hits"))
         laid = laid.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits")
         ids = laid.select("hit_id", "hit_hash").distinct()
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-        hit_texts = texts.distinct().join(bounded(ids, hits.count()), same, "left_semi").join(laid, same)
+        hit_texts = texts.distinct().join(bounded(ids, hits.select("doc_id", "text_hash")), same, "left_semi").join(laid, same)
         part = lambda w, h: F.slice(w, F.greatest(h["shift"], F.lit(0)) + 1, F.greatest(h["n"] - F.greatest(-h["shift"], F.lit(0)), F.lit(0)))
-        parts = hit_texts.select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["item_key"].alias("item_key"), h["shift"].alias("shift"), part(w, h).alias("part"))))).alias("h"))
-        known = bounded(items.select("item_key", "item_id", "item"), items.count())
-        scored = parts.select("doc_id", "text_hash", "h.*").join(known, "item_key")
+        parts = hit_texts.select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: F.transform("hits", lambda h: F.struct(h["class"].alias("class"), h["shift"].alias("shift"), part(w, h).alias("part"))))).alias("h"))
+        # a pair is compared where it is made: it is written nowhere before
+        scored = parts.select("doc_id", "text_hash", "h.*").join(bounded(known), "class")
         scored = scored.select("doc_id", "text_hash", "item_id", F.size("item").alias("n"), overlap(F.col("part"), F.col("item"), F.col("shift"), percent).alias("overlap"))
         enough = F.col("overlap") * 100 >= F.when(F.col("n") < SPAN, 100).otherwise(percent)
         found = scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max("overlap").alias("overlap"))
@@ -176,6 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with their own columns."""
-    found = overlaps(docs, benchmark, id_col, text_col, percent=percent).select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hit_hash"))
+    hit_id, hit_hash = ("_" * max(map(len, docs.columns)) + name for name in ("hit_id", "hit_hash"))  # longer than any column's name
+    found = overlaps(docs, benchmark, id_col, text_col, percent=percent).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(hit_hash))
     return docs.join(found, same, "left_anti")

@@ -66,7 +66,7 @@ def test_replaced_words_against_brute_force(spark):
 def test_both_joins_give_the_same(spark, monkeypatch):
     items, texts, _ = made(replaced=0.05)
     one = run(spark, items, texts)
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     assert run(spark, items, texts) == one
 
 
