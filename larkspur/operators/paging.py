@@ -33,6 +33,18 @@ def read_cursor(cursor: str | None, size: int) -> list | None:
     return values
 
 
+def row_cursor(*keys: str) -> Column:
+    """Each row's own cursor, its key values as strings; ``read_cursor`` reads it."""
+    values = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
+    return F.translate(F.base64(F.encode(values, "UTF-8")), "+/", "-_")
+
+
+def row_values(cursor: Column) -> Column:
+    """The key values of a column of cursors, as an array of strings; null where one is damaged."""
+    decoded = F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64"))
+    return F.from_json(F.decode(decoded, "UTF-8"), "array<string>")
+
+
 def order(keys: Sequence[tuple[str, bool]]) -> list[Column]:
     """Sort columns of (column, descending) keys, nulls last either way."""
     return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]

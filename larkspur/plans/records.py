@@ -1,4 +1,4 @@
-"""Record functions, each over a whole table whose rows are dealt out to written cases; the SQL states what each case gives."""
+"""Record functions: queries over whole tables, and written cases of functions whose queries are in ``columns`` and ``contents``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..functions import declared as D
 from ..functions import enrich as E
 from ..functions import text as T
 from ..functions import udfs as U
-from ..operators import curation, digest, entities, filters, places, windows
+from ..operators import curation, digest, entities, filters, windows
 from ..streaming import feed
 from .common import table
 from .registry import query
@@ -34,9 +34,11 @@ def dealt(spark, sf, inputs: str, cases: Sequence[tuple]) -> DataFrame:
     return keys.join(F.broadcast(rows), "i").drop("i")
 
 
-#: Cases of functions whose queries read whole columns (``plans.columns``); tests run them.
+#: Cases of functions whose queries read whole columns (``plans.columns``, ``plans.contents``); tests run them.
 CASES: dict[str, tuple] = {}
-WHOLE = {"accents_folded", "link_kinds", "domain_countries", "contact_address", "nul_removed", "skills_cleaned", "deep_values", "json_merged", "ld_posting", "page_microdata", "technology_anchors"}
+WHOLE = {"accents_folded", "link_kinds", "domain_countries", "contact_address", "nul_removed", "skills_cleaned", "deep_values", "json_merged", "ld_posting", "page_microdata", "technology_anchors"} | {
+    "stated_headcount", "language_required", "languages_listed", "intern_evidence", "detail_cards", "grounded_numbers", "grounded_summaries", "company_sentence", "page_paragraphs", "moments", "next_slots", "names_redacted", "structured_salary", "raw_contract",
+}
 
 
 def register(name: str, inputs: str, outputs: dict[str, Callable[[], Column]], cases: Sequence[tuple]) -> None:
@@ -123,14 +125,7 @@ PAY_CASES = [
 ]
 
 
-@query("SELECT o_orderkey, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, currency, period FROM (" + cases_sql(["low", "high", "currency", "period"], PAY_CASES) + ")")
-def structured_salary(spark, sf):
-    """The levels of structured pay, the first that speaks."""
-    rows = dealt(spark, sf, "j string, country string", PAY_CASES).withColumn("parsed", U.field_salary(D.pay_string(F.col("j"))))
-    return rows.select("o_orderkey", D.structured_pay(F.col("j"), F.col("country"), F.col("parsed")).alias("s")).select("o_orderkey", "s.low", "s.high", "s.currency", "s.period")
-
-
-STRING_CASES = [(("$18.25 per hour",), (18.25, 18.25, "USD", "hour")), (("2.800 € - 3.100 € monatlich",), (2800, 3100, "EUR", "month")), (("NOK 610 000",), (610000, 610000, "NOK", None)), (("competitive",), (None, None, None, None)), (("12 - 15",), (None, None, None, None)), (("C$ 70k a year",), (70000, 70000, "CAD", "year")), (("$2 - $900000",), (None, None, None, None)), ((None,), (None, None, None, None))]
+register("structured_salary", "j string, country string", {part: lambda part=part: D.structured_pay(c("j"), c("country"), U.field_salary(D.pay_string(c("j"))))[part] for part in ("low", "high", "currency", "period")}, PAY_CASES)
 
 
 register("language_required", "t string", {"code": lambda: T.required_language(c("t"))}, [
@@ -216,22 +211,6 @@ PLACE_CASES = [
 ]
 
 
-@query(cases_sql(["country"], PLACE_CASES))
-def place_countries(spark, sf):
-    countries = spark.createDataFrame([("Germany", "DE"), ("India", "IN"), ("France", "FR"), ("Georgia", "GE"), ("Canada", "CA"), ("United States", "US")], "name string, code string")
-    towns = spark.createDataFrame([("Berlin", "DE", 3_500_000), ("Bengaluru", "IN", 8_400_000), ("Toronto", "CA", 2_700_000), ("Paris", "FR", 2_100_000), ("Paris", "US", 25_000), ("Springfield", "US", 150_000), ("Köln", "DE", 1_000_000), ("Aix-en-Provence", "FR", 140_000), ("Gary", "US", 69_000)], "name string, country string, population long")
-    rows = dealt(spark, sf, "place string", PLACE_CASES)
-    return rows.select("o_orderkey").join(places.countries_of(rows, "o_orderkey", "place", countries, towns), "o_orderkey", "left")
-
-
-@query("SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 48.85 WHEN 1 THEN 33.66 END AS lat, CASE c_nationkey % 4 WHEN 0 THEN 2.35 WHEN 1 THEN -95.55 END AS lon FROM customer")
-def town_coordinates(spark, sf):
-    towns = spark.createDataFrame([("Paris", "FR", 48.85, 2.35, 2_100_000), ("Paris", "FR", 0.0, 0.0, 10), ("Paris", "US", 33.66, -95.55, 25_000)], "name string, country string, lat double, lon double, population long")
-    k = F.col("c_nationkey") % 4
-    rows = table(spark, sf, "customer").select("c_custkey", F.when(k == 3, "Atlantis").otherwise("PARIS, centre").alias("city"), F.when(k == 0, "fr").when(k == 1, "US").when(k == 3, "GR").alias("country"))
-    return places.coordinates(rows, "city", "country", towns).select("c_custkey", "lat", "lon")
-
-
 @query("""
 WITH m AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 11 END AS cluster, (o_totalprice / 5000) AS score FROM orders),
 s AS (SELECT * FROM m WHERE o_orderkey % 7 = 0),

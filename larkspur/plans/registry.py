@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-MODULES = ("search", "relational", "business", "textual", "curating", "changing", "matching", "reports", "records", "stores", "streams", "matchers", "remotes", "kept", "columns")
+MODULES = ("search", "relational", "business", "textual", "curating", "changing", "matching", "reports", "records", "stores", "streams", "matchers", "remotes", "kept", "columns", "contents")
 
 
 def load() -> None:

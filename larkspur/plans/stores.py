@@ -159,19 +159,3 @@ def store_archive_survivors(spark, sf):
     place, rows = folder(spark), table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     sinks.write_parquet(rows.where("s_nationkey >= 12"), place)
     return sinks.survivors(rows, spark.read.parquet(place), "s_suppkey").select("s_suppkey", "s_name")
-
-
-@query("SELECT region AS column_name FROM (VALUES ('r_name'), ('r_regionkey')) t(region)")
-def store_catalog(spark, sf):
-    """Columns of a catalogued view."""
-    table(spark, sf, "region").createOrReplaceTempView("regions_v")
-    return spark.createDataFrame([(n,) for n, _ in readers.table_facts(spark, "regions_v")], "column_name string")
-
-
-@query("SELECT s_suppkey, true AS same FROM supplier")
-def cursor_round_trip(spark, sf):
-    """A page's cursor comes back as the values it was made of."""
-    rows = table(spark, sf, "supplier").orderBy("s_suppkey").limit(1).collect()
-    token = paging.write_cursor([rows[0]["s_name"], rows[0]["s_suppkey"]])
-    back = paging.read_cursor(token, 2) == [rows[0]["s_name"], rows[0]["s_suppkey"]]
-    return table(spark, sf, "supplier").select("s_suppkey", F.lit(back).alias("same"))

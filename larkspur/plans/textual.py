@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocabulary import CONTRACTS
 from ..operators import curation, filters
 from .common import table
 from .registry import query
@@ -155,21 +154,6 @@ def text_windows(spark, sf):
     return rows.select("doc_id", F.posexplode(curation.windows_of(F.col("w"), 256, 64)).alias("i", "part")).select("doc_id", F.col("i").cast("long").alias("window"), F.array_join("part", " ").alias("words"))
 
 
-#: Every word of the contract vocabulary, and values that tell none.
-CONTRACT_VALUES = [p for _, parts in CONTRACTS for p in parts] + ["Permanent", "Regular", "", "FULL_TIME", "Freelance Full-Time"]
-CONTRACT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(v, '{p}')" for p in parts) + f" THEN '{kind}'" for kind, parts in CONTRACTS) + " END"
-
-
-@query(f"""
-WITH w AS (SELECT {CONTRACT_VALUES!r} AS w), o AS (SELECT o_orderkey, lower(translate('X-' || upper(w[CAST(o_orderkey % len(w) AS INTEGER) + 1]), '_-', '  ')) || ' ' AS v FROM orders, w)
-SELECT o_orderkey, {CONTRACT_SQL} AS contract FROM o
-""")
-def contract_normaliser(spark, sf):
-    words = F.array(*map(F.lit, CONTRACT_VALUES))
-    raw = F.concat(F.lit("X-"), F.upper(F.get(words, (F.col("o_orderkey") % len(CONTRACT_VALUES)).cast("int"))))
-    return table(spark, sf, "orders").select("o_orderkey", T.contract(raw).alias("contract"))
-
-
 @query("SELECT p_partkey, array_to_string(list_filter(['gear', 'ring', 'red', 'small'], lambda s: list_contains(string_split(p_name, ' '), s)), ',') AS skills FROM part")
 def skill_lexicon(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(T.skills_in(F.col("p_name"), ["gear", "ring", "red", "small"]), ",").alias("skills"))
