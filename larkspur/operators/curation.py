@@ -172,21 +172,45 @@ def auc(df: DataFrame, truth: Column, score: str) -> DataFrame:
     return sums.select(F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 
 
+# Cumulative probabilities of Poisson(1).
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917)
+
+
+def poisson(at: Column) -> Column:
+    """The Poisson(1) quantile of a number in [0, 1)."""
+    weight = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        weight = F.when(at < POISSON[k], k).otherwise(weight)
+    return weight
+
+
 def bootstrap(df: DataFrame, value: Column, rounds: int, seed: int) -> DataFrame:
     """Mean of ``value`` and its 5 and 95 percent points over ``rounds`` Poisson resamples, in one pass over the rows.
 
     Each row's weight in round r is the Poisson(1) quantile of a hash of (seed, r, row), so rows need not be gathered.
     """
     at = F.pmod(F.xxhash64(F.lit(seed), F.col("__round"), *df.columns), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    # fixed values: cumulative probabilities of Poisson(1)
-    steps, weight = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917), F.lit(7)
-    for k in reversed(range(len(steps))):
-        weight = F.when(at < steps[k], k).otherwise(weight)
-    rows = df.withColumn("__v", value).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("__w", weight)
+    rows = df.withColumn("__v", value).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("__w", poisson(at))
     means = rows.groupBy("__round").agg((F.sum(F.col("__v") * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0))).alias("m"))
     return means.agg(F.round(F.percentile("m", F.lit(0.05)), 4).alias("low"), F.round(F.avg("m"), 4).alias("mean"), F.round(F.percentile("m", F.lit(0.95)), 4).alias("high"))
 
 
+def paired_bootstrap(df: DataFrame, key: str, first: Column, second: Column, rounds: int, seed: int) -> DataFrame:
+    """(difference, low, high, differs): the mean of ``first`` less ``second`` over the same rows, its 5 and 95 percent
+    points over ``rounds`` Poisson resamples, and whether they lie on one side of zero.
+
+    A resample weighs a row's two values alike, by a hash of (seed, round, ``key``); rows with a null value do not count.
+    """
+    rows = df.select(F.col(key).cast("string").alias("k"), (first - second).alias("d")).where("d IS NOT NULL")
+    # rows of one key weigh alike, so they are added up before the rounds multiply them
+    sums = rows.groupBy("k").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
+    each = sums.select("d", "n", "k", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    each = each.withColumn("w", poisson(hash_share(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), "k"))))
+    means = each.groupBy("round").agg((F.sum(F.col("d") * F.col("w")) / F.nullif(F.sum(F.col("n") * F.col("w")), F.lit(0))).alias("m"), (F.sum("d") / F.sum("n")).alias("whole"))
+    ends = means.agg(F.round(F.max("whole"), 4).alias("difference"), F.round(F.percentile("m", F.lit(0.05)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.95)), 4).alias("high"))
+    return ends.withColumn("differs", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 def fuzzy_titles(df: DataFrame, known: DataFrame, id_column: str, title: str, percent: int = 85) -> DataFrame:
     """(id, known_title, jaccard) of titles whose token sets are similar to a known one.
 

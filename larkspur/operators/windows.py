@@ -21,12 +21,15 @@ def top_per_group(df: DataFrame, by: Sequence[str | Column], order: Sequence[Col
 
 
 def elect(df: DataFrame, by: Sequence[str], order: Sequence[Column], original: str, key: str) -> DataFrame:
-    """Each row with the ``key`` of its group's first row as ``original`` (rows of a null group elect themselves)."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    lone = F.lit(False)
-    for c in by:
-        lone = lone | F.col(c).isNull()
-    return df.withColumn(original, F.when(lone, F.col(key)).otherwise(F.first(key).over(window)))
+    """Each row with the ``key`` of its group's first row as ``original`` (rows of a null group elect themselves).
+
+    Heads are found with each task's own first row of a group, then joined back: no group is sorted or held in one task.
+    """
+    lone, same = F.lit(False), F.lit(True)
+    for i, c in enumerate(by):
+        lone, same = lone | F.col(c).isNull(), same & (F.col(c) == F.col(f"__head_{i}"))
+    heads = top_per_group(df.where(~lone), by, order, 1).select(*(F.col(c).alias(f"__head_{i}") for i, c in enumerate(by)), F.col(key).alias("__first"))
+    return df.join(heads, same, "left").select(*df.columns, F.when(lone, F.col(key)).otherwise(F.col("__first")).alias(original))
 
 
 def oldest_of_group(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

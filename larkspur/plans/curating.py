@@ -153,6 +153,20 @@ def bootstrap_interval(spark, sf):
     return curation.bootstrap(rows, F.col("right"), 200, 7)
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, CAST((quality = 1) = guess AS INTEGER) - CAST((quality = 1) = (n_chars > 400) AS INTEGER) AS d FROM {SCORED_SQL}),
+u AS (SELECT r, d, CAST('0x' || substr(sha1('7|' || r || '|' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM s, range(1, 201) t(r)),
+w AS (SELECT r, d, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.996340 THEN 4 WHEN u < 0.999406 THEN 5 WHEN u < 0.999917 THEN 6 ELSE 7 END AS w FROM u),
+m AS (SELECT r, sum(d * w) / nullif(sum(w), 0) AS m FROM w GROUP BY 1),
+e AS (SELECT round(quantile_cont(m, 0.05), 4) AS low, round(quantile_cont(m, 0.95), 4) AS high FROM m)
+SELECT (SELECT round(avg(d), 4) FROM s) AS difference, low, high, low > 0 OR high < 0 AS differs FROM e
+""")
+def paired_bootstrap(spark, sf):
+    """Whether one guess of quality is better than another on the same documents, and by how much."""
+    right = lambda least: ((F.col("quality") == 1) == (F.col("n_chars") > least)).cast("int")
+    return curation.paired_bootstrap(scored(spark, sf), "doc_id", right(800), right(400), 200, 7)
+
+
 @query("""
 WITH w AS (SELECT p_partkey, title, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS t FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS title FROM part)),
 k AS (SELECT DISTINCT title AS known_title, t FROM w)

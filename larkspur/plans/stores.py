@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import paging
 from ..session import shared_dir
 from ..sources import readers, sinks, store
 from .common import day, table
