@@ -1,14 +1,16 @@
 """Stateful operators over keyed streams: rows are put in the order of their times, then drive a small state machine.
 
-Rows may arrive out of order by up to the watermark's delay. Each key buffers them in list state and lets them go once
+Rows may arrive out of order by up to the watermark's delay. Each key buffers them in the state and lets them go once
 the watermark has passed their time, so the result does not depend on batches or on the order of files. Timers wake keys
-without new rows. State is in RocksDB; it grows with the keys that are alive and the rows of one delay.
+without new rows. Keys share buckets, whose state is read and written once a batch. State is in RocksDB; it grows with
+the keys that are alive and the rows of one delay.
 """
 
 from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -31,110 +33,139 @@ def rocks_state(spark: SparkSession):
         spark.conf.set(PROVIDER, own) if own else spark.conf.unset(PROVIDER)
 
 
+#: Keys are dealt out to so many buckets, and each is one entry of the state: a batch costs a few calls of the state store
+#: a bucket, not a few a row. A task holds the keys and waiting rows of one bucket. Fixed for the life of a checkpoint.
+BUCKETS = 1024
+
+
 class InOrder(StatefulProcessor):
-    """Feeds ``step`` with the rows of a key by (time, tie). Times are microseconds since the epoch.
+    """Feeds ``step`` with the rows of each key of a bucket by (time, tie). Times are microseconds since the epoch.
 
-    ``step(key, at, mark)`` takes one row; ``wake(key, upto)`` does what is due before the time ``upto``, and returns
-    with its rows the next time at which something is due (or None).
+    ``step(key, state, at, mark)`` takes one row; ``wake(key, state, upto)`` does what is due before the time ``upto``, and
+    returns also the next time at which something is due (or None). Both give the key's new state (None: it has none) and
+    rows. The state is kept under ``name`` as a list of the keys' columns and ``fields``.
     """
 
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
+    name: str
+    fields: str
+
+    def __init__(self, keys: Sequence[str], types: str):
+        self.keys, self.types = list(keys), types
 
     def made(self, key: tuple, **values) -> Row:
         return Row(**dict(zip(self.keys, key, strict=True)), **values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie long, mark int")
-        self.open(handle)
+        # the waiting rows of all keys as one pickled dict, and the time of the bucket's timer
+        self.waiting = handle.getValueState("waiting", "rows binary, timer long")
+        self.known = handle.getListState(self.name, f"{self.types}, {self.fields}")
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def step(self, key: tuple, state: tuple | None, at: int, mark: int) -> tuple[tuple | None, list[Row]]:
         raise NotImplementedError
 
-    def step(self, key: tuple, at: int, mark: int) -> Iterator[Row]:
-        raise NotImplementedError
-
-    def wake(self, key: tuple, upto: int) -> tuple[list[Row], int | None]:
+    def wake(self, key: tuple, state: tuple | None, upto: int) -> tuple[tuple | None, list[Row], int | None]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r["__at"], r["__tie"], r["__mark"]) for r in rows])
-        yield from self.release(key, timerValues)
+        fresh: dict[tuple, list[tuple]] = {}
+        for r in rows:
+            fresh.setdefault(tuple(r[c] for c in self.keys), []).append((r["__at"], r["__tie"], r["__mark"]))
+        yield from self.release(fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.release(key, timerValues)
-
-    def release(self, key, timers) -> Iterator[Row]:
-        mark = max(timers.getCurrentWatermarkInMs(), 0) * 1000
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = sorted(r for r in held if r[0] < mark), [r for r in held if r[0] >= mark]
-        for at, _, kind in ready:
-            yield from self.wake(key, at)[0]
-            yield from self.step(key, at, kind)
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        rows, due = self.wake(key, mark)
-        yield from rows
-        for when in self.handle.listTimers():
-            self.handle.deleteTimer(when)
-        times = [min(r[0] for r in rest)] if rest else []
-        if (after := min([*times, *([due] if due is not None else [])], default=None)) is not None:
-            self.handle.registerTimer(after // 1000 + 1)
+        yield from self.release({}, timerValues)
+
+    def release(self, fresh: dict[tuple, list[tuple]], timers) -> Iterator[Row]:
+        mark, n = max(timers.getCurrentWatermarkInMs(), 0) * 1000, len(self.keys)
+        packed, timer = self.waiting.get() or (None, None)
+        held = pickle.loads(packed) if packed is not None else {}
+        for key, rows in fresh.items():
+            held.setdefault(key, []).extend(rows)
+        before = {tuple(r[:n]): tuple(r[n:]) for r in self.known.get()} if self.known.exists() else {}
+        after, rest, times = {}, {}, []
+        for key in {**before, **held}:
+            state, rows = before.get(key), held.get(key, ())
+            for at, _, kind in sorted(r for r in rows if r[0] < mark):
+                state, out, _ = self.wake(key, state, at)
+                yield from out
+                state, out = self.step(key, state, at, kind)
+                yield from out
+            state, out, due = self.wake(key, state, mark)
+            yield from out
+            if state is not None:
+                after[key] = state
+            if due is not None:
+                times.append(due)
+            if late := [r for r in rows if r[0] >= mark]:
+                rest[key] = late
+                times.append(min(late)[0])
+        if after != before:
+            self.known.put([(*key, *state) for key, state in after.items()]) if after else self.known.clear()
+        soon = min(times) // 1000 + 1 if times else None
+        if soon != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if soon is not None:
+                self.handle.registerTimer(soon)
+        if soon is None:
+            self.waiting.clear()
+        elif fresh or soon != timer or len(rest) != len(held):
+            self.waiting.update((pickle.dumps(rest), soon))
 
     def close(self) -> None:
         pass
 
 
-def ordered(events: DataFrame, keys: Sequence[str], time: str, tie: str, mark: Column, delay: str, processor: InOrder, schema: str, initial=None) -> DataFrame:
+def ordered(events: DataFrame, keys: Sequence[str], time: str, tie: str, mark: Column, delay: str, processor: InOrder, schema: str, initial: DataFrame | None = None) -> DataFrame:
+    bucketed = lambda df: df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
     rows = events.withWatermark(time, delay).select(*keys, time, F.unix_micros(F.col(time)).alias("__at"), F.col(tie).cast("long").alias("__tie"), mark.cast("int").alias("__mark"))
-    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "EventTime", initialState=initial)
+    known = bucketed(initial).groupBy("__bucket") if initial is not None else None
+    return bucketed(rows).groupBy("__bucket").transformWithState(processor, schema, "append", "EventTime", initialState=known)
+
+
+def types_of(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 class Incidents(InOrder):
     """Opens an incident at the second failed check in a row, escalates it after a time, resolves it at the next good one."""
 
-    def __init__(self, keys: Sequence[str], escalate_micros: int):
-        super().__init__(keys)
-        self.limit = escalate_micros
+    # failed checks in a row, when the incident was opened (0: not), whether it has escalated
+    name, fields = "incident", "failed long, opened long, escalated boolean"
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        # failed checks in a row, when the incident was opened (0: not), whether it has escalated
-        self.state = handle.getValueState("incident", "failed long, opened long, escalated boolean")
+    def __init__(self, keys: Sequence[str], types: str, escalate_micros: int):
+        super().__init__(keys, types)
+        self.limit = escalate_micros
 
     def row(self, key: tuple, event: str, opened: int, at: int, checks: int) -> Row:
         return self.made(key, event=event, opened=opened, at=at, checks=checks)
 
-    def step(self, key, at, mark):
-        failed, opened, escalated = self.state.get() if self.state.exists() else (0, 0, False)
+    def step(self, key, state, at, mark):
+        failed, opened, escalated = state or (0, 0, False)
         if not mark:
-            if opened:
-                yield self.row(key, "resolved", opened, at, failed)
-            self.state.clear()
-            return
+            return None, [self.row(key, "resolved", opened, at, failed)] if opened else []
         failed += 1
         if failed == 2:
-            opened = at
-            yield self.row(key, "opened", opened, at, failed)
-        self.state.update((failed, opened, escalated))
-
-    def wake(self, key, upto):
-        if not self.state.exists():
-            return [], None
-        failed, opened, escalated = self.state.get()
+            return (failed, at, escalated), [self.row(key, "opened", at, at, failed)]
+        return (failed, opened, escalated), []
+
+    def wake(self, key, state, upto):
+        if state is None:
+            return None, [], None
+        failed, opened, escalated = state
         due = opened + self.limit
         if not opened or escalated:
-            return [], None
+            return state, [], None
         if due >= upto:
-            return [], due
-        self.state.update((failed, opened, True))
-        return [self.row(key, "escalated", opened, due, failed)], None
+            return state, [], due
+        return (failed, opened, True), [self.row(key, "escalated", opened, due, failed)], None
 
 
 def incident_events(checks: DataFrame, by: Sequence[str], time: str, tie: str, failed: Column, delay: str, escalate_after: dt.timedelta) -> DataFrame:
     """Stream of (by, event, opened, at, checks): incidents opened, escalated and resolved, times in microseconds."""
-    types = ", ".join(f"{c} {checks.schema[c].dataType.simpleString()}" for c in by)
-    return ordered(checks, by, time, tie, failed, delay, Incidents(by, escalate_after // MICRO), f"{types}, event string, opened long, at long, checks long")
+    types = types_of(checks, by)
+    return ordered(checks, by, time, tie, failed, delay, Incidents(by, types, escalate_after // MICRO), f"{types}, event string, opened long, at long, checks long")
 
 
 def incident_events_batch(checks: DataFrame, by: Sequence[str], time: str, tie: str, failed: Column, upto: Column, escalate_after: dt.timedelta) -> DataFrame:
@@ -158,41 +189,37 @@ def incident_events_batch(checks: DataFrame, by: Sequence[str], time: str, tie:
 class Memory(InOrder):
     """First and last sighting and mentions of a key; a key silent for longer than the horizon leaves the state."""
 
-    def __init__(self, keys: Sequence[str], horizon_micros: int):
-        super().__init__(keys)
-        self.horizon = horizon_micros
+    name, fields = "memory", "first_seen long, last_seen long, mentions long"
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("memory", "first_seen long, last_seen long, mentions long")
+    def __init__(self, keys: Sequence[str], types: str, horizon_micros: int):
+        super().__init__(keys, types)
+        self.horizon = horizon_micros
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update((initialState["first_seen"], initialState["last_seen"], initialState["mentions"]))
+        self.known.appendValue((*(initialState[c] for c in self.keys), initialState["first_seen"], initialState["last_seen"], initialState["mentions"]))
         self.handle.registerTimer((initialState["last_seen"] + self.horizon) // 1000 + 1)
 
-    def step(self, key, at, mark):
-        first, _, mentions = self.state.get() if self.state.exists() else (at, at, 0)
-        self.state.update((first, at, mentions + 1))
-        yield from ()
+    def step(self, key, state, at, mark):
+        first, _, mentions = state or (at, at, 0)
+        return (first, at, mentions + 1), []
 
-    def wake(self, key, upto):
-        if not self.state.exists():
-            return [], None
-        first, last, mentions = self.state.get()
+    def wake(self, key, state, upto):
+        if state is None:
+            return None, [], None
+        first, last, mentions = state
         if last + self.horizon >= upto:
-            return [], last + self.horizon
-        self.state.clear()
-        return [self.made(key, first_seen=first, last_seen=last, mentions=mentions)], None
+            return state, [], last + self.horizon
+        return None, [self.made(key, first_seen=first, last_seen=last, mentions=mentions)], None
 
 
 def remember_within(events: DataFrame, keys: Sequence[str], time: str, tie: str, delay: str, horizon: dt.timedelta, snapshot: DataFrame | None = None) -> DataFrame:
     """Stream of the memories (keys, first_seen, last_seen, mentions; microseconds) that end: their keys were silent for
     ``horizon``. Those alive are in the state (``alive``). ``snapshot``, of the same columns, is what was known before."""
-    types = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in keys)
-    known = snapshot.groupBy(*keys) if snapshot is not None else None
-    return ordered(events, keys, time, tie, F.lit(1), delay, Memory(keys, horizon // MICRO), f"{types}, first_seen long, last_seen long, mentions long", known)
+    types = types_of(events, keys)
+    return ordered(events, keys, time, tie, F.lit(1), delay, Memory(keys, types, horizon // MICRO), f"{types}, {Memory.fields}", snapshot)
 
 
 def alive(spark: SparkSession, checkpoint: str, keys: Sequence[str]) -> DataFrame:
     """The memories in the state of a stream, read through the state data source: the next run's snapshot."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "memory").load()
-    return state.select(*(F.col(f"key.{c}") for c in keys), "value.first_seen", "value.last_seen", "value.mentions")
+    return state.select(*(F.col(f"list_element.{c}") for c in (*keys, "first_seen", "last_seen", "mentions")))
