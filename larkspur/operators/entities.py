@@ -11,6 +11,10 @@ from .joins import chase
 from .lifecycle import update_from
 from .windows import top_per_group
 
+#: Terms that are sent to all workers; more are joined by shuffles.
+BROADCAST_TERMS = 100_000
+
+
 def words_of(text: Column) -> Column:
     """Words (letters, digits, + and #) in lower case, in order."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}+#]+"), lambda w: w != "")
@@ -33,9 +37,12 @@ def matched(df: DataFrame, id_column: str, text: str, terms: DataFrame, term: st
     texts and one of the terms: a term with a language is only looked for in texts of that language.
     """
     spelled = terms.withColumn("__words", words_of(F.col(term))).where(F.size("__words") > 0).withColumn("__gram", F.array_join("__words", " "))
-    lengths = sorted(r[0] for r in spelled.select(F.size("__words")).distinct().collect())
+    counts = dict(spelled.groupBy(F.size("__words")).count().collect())
+    lengths = sorted(counts)
     grams = df.select(id_column, *([F.col(language[0]).alias("__lang")] if language else []), F.explode(ngrams(F.col(text), lengths or [1])).alias("__gram"))
-    found = grams.join(spelled.drop("__words"), "__gram").drop("__gram")
+    # Spark takes the exploded runs for as small as their table, so it must be told which side is the small one
+    spelled = spelled.drop("__words")
+    found = (grams.join(F.broadcast(spelled), "__gram") if sum(counts.values()) <= BROADCAST_TERMS else grams.hint("merge").join(spelled, "__gram")).drop("__gram")
     return found.where(F.col(language[1]).isNull() | (F.col(language[1]) == F.col("__lang"))).drop("__lang") if language else found
 
 
