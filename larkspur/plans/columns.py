@@ -98,13 +98,27 @@ def technology_anchors(spark, sf):
 
 
 @query("""
-SELECT p_partkey, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, currency, period FROM (
-  SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) + 500 AS low, CAST(floor(p_retailprice) AS BIGINT) + 500 + p_size AS high, ['USD', 'EUR', 'GBP'][p_partkey % 3 + 1] AS currency, ['month', 'year'][p_partkey % 2 + 1] AS period FROM part)
+SELECT o_orderkey, CAST(CASE k WHEN 0 THEN a + 0.25 WHEN 5 THEN 1000 * (a // 1000 + 1) WHEN 1 THEN a WHEN 2 THEN a WHEN 8 THEN a WHEN 9 THEN a END AS DOUBLE) AS low,
+  CAST(CASE k WHEN 0 THEN a + 0.25 WHEN 1 THEN a + 300 WHEN 2 THEN a WHEN 5 THEN 1000 * (a // 1000 + 1) WHEN 8 THEN a + o_custkey % 50 WHEN 9 THEN a + o_custkey % 50 END AS DOUBLE) AS high,
+  CASE k WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'NOK' WHEN 5 THEN 'CAD' WHEN 8 THEN 'GBP' WHEN 9 THEN 'EUR' END AS currency,
+  CASE k WHEN 0 THEN 'hour' WHEN 1 THEN 'month' WHEN 5 THEN 'year' WHEN 8 THEN 'month' WHEN 9 THEN 'year' END AS period
+FROM (SELECT o_orderkey, o_custkey, o_orderkey % 10 AS k, CAST(floor(o_totalprice) AS BIGINT) AS a FROM orders)
 """)
 def salary_field(spark, sf):
-    """Pay strings written from the parts' prices, in three currencies and two periods."""
-    low = F.floor("p_retailprice").cast("long") + 500
-    sign, period = F.get(F.array(*map(F.lit, ("$", "EUR ", "£"))), (F.col("p_partkey") % 3).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "per month").otherwise("a year")
-    text = F.concat(sign, low.cast("string"), F.lit(" - "), sign, (low + F.col("p_size")).cast("string"), F.lit(" "), period)
-    rows = table(spark, sf, "part").select("p_partkey", text.alias("t"))
-    return rows.select("p_partkey", U.field_salary("t").alias("s")).select("p_partkey", "s.low", "s.high", "s.currency", "s.period")
+    """Pay strings written from every order's price in ten forms, four of which state no pay."""
+    k, a = F.col("o_orderkey") % 10, F.floor("o_totalprice").cast("long")
+    high = a + F.col("o_custkey") % 50
+    grouped = lambda n, mark: F.regexp_replace(n.cast("string"), r"(\d)(\d{3})$", rf"$1{mark}$2")
+    text = (
+        F.when(k == 0, F.concat(F.lit("$"), a.cast("string"), F.lit(".25 per hour")))
+        .when(k == 1, F.concat(grouped(a, "."), F.lit(" € - "), grouped(a + 300, "."), F.lit(" € monatlich")))
+        .when(k == 2, F.concat(F.lit("NOK "), grouped(a, " ")))
+        .when(k == 3, F.concat(F.lit("competitive "), "o_orderpriority"))
+        .when(k == 4, F.concat(a.cast("string"), F.lit(" - "), (a + 3).cast("string")))
+        .when(k == 5, F.concat(F.lit("C$ "), (F.floor(a / 1000) + 1).cast("string"), F.lit("k a year")))
+        .when(k == 6, F.concat(F.lit("$2 - $"), (a + 1000).cast("string")))
+        .when(k == 8, F.concat(F.lit("£"), a.cast("string"), F.lit(" - £"), high.cast("string"), F.lit(" per month")))
+        .when(k == 9, F.concat(F.lit("EUR "), a.cast("string"), F.lit(" - EUR "), high.cast("string"), F.lit(" a year")))
+    )
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", U.field_salary("t").alias("s")).select("o_orderkey", "s.low", "s.high", "s.currency", "s.period")
