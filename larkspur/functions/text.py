@@ -310,16 +310,19 @@ def numbers_grounded(summary: Column, source: Column, least_words: int = 0) -> C
     return bind(kept, lambda t: F.when(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= least_words, t)) if least_words else kept
 
 
-def internship_evidence(title: Column, text: Column, lang: Column | None = None) -> Column:
-    """One word for an internship in the title, or two in the text. Some words say it in some languages only."""
-    apart = lambda body: rf"(?i)(?<![a-zÀ-ɏ])(?:{body})(?![a-zÀ-ɏ])"
-    said = "|".join([any_of(INTERN_WORDS), *(stem + r"\w*" for stem in INTERN_STEMS)])
+INTERN_SAID = "|".join([any_of(INTERN_WORDS), *(stem + r"\w*" for stem in INTERN_STEMS)])
+
+
+def internship_evidence(title: Column, text: Column, lang: Column | None = None, said: str = INTERN_SAID, cjk: Sequence[str] = INTERN_CJK, stage: Sequence[str] = STAGE_WORDS, apart: str = r"(?i)(?<![a-zÀ-ɏ])(?:{})(?![a-zÀ-ɏ])") -> Column:
+    """One word for an internship in the title, or two in the text. ``stage`` are words that say it in some languages only;
+    ``apart`` is how ``said`` and they must stand."""
     local = F.coalesce(lang.isin(*STAGE_LANGUAGES), F.lit(False)) if lang is not None else F.lit(False)
 
     def times(part: Column) -> Column:
         part = F.coalesce(part, F.lit(""))
-        n = F.regexp_count(part, F.lit(apart(said))) + F.regexp_count(part, F.lit("|".join(INTERN_CJK)))
-        return n + F.when(local, F.regexp_count(part, F.lit(apart(any_of(STAGE_WORDS))))).otherwise(0)
+        n = F.regexp_count(part, F.lit(apart.format(said)))
+        n = n + F.regexp_count(part, F.lit("|".join(cjk))) if cjk else n
+        return n + F.when(local, F.regexp_count(part, F.lit(apart.format(any_of(stage))))).otherwise(0)
 
     return (times(title) >= 1) | (times(text) >= 2)
 
