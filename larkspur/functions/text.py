@@ -168,8 +168,9 @@ def contract(value: Column) -> Column:
 
 def contract_of(json: Column) -> Column:
     """The contract of a listing's JSON: of all known keys that tell one, a stronger kind wins, else the first key."""
-    values = F.array(*(F.coalesce(F.get_json_object(json, f"$.{k}.label"), F.get_json_object(json, f"$.{k}")) for k in CONTRACT_KEYS))
-    found = F.array_compact(F.transform(F.filter(values, lambda v: v.isNotNull()), contract))
+    values = lambda j: F.array(*(F.coalesce(F.get_json_object(j, f"$.{k}.label"), F.get_json_object(j, f"$.{k}")) for k in CONTRACT_KEYS))
+    # the JSON is made once, not again for each key
+    found = F.array_compact(F.transform(F.filter(bind(json, values), lambda v: v.isNotNull()), contract))
     return bind(found, lambda kinds: F.coalesce(*(F.when(F.array_contains(kinds, kind), kind) for kind in STRONGER), F.try_element_at(kinds, F.lit(1))))
 
 
