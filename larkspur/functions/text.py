@@ -225,18 +225,27 @@ REDACTIONS = (
     ("PHONE", r"(?:\+|00)[0-9]{1,3}(?:[ \t./()-]{0,3}[0-9]){6,12}"),
     ("PHONE", r"0[0-9]{1,3}(?:[ \t./-]?[0-9]){6,11}"),
 )
-#: A character without which no pattern of the kind can match: texts without it are not searched.
-NEEDED = {"BIRTH": "[0-9]", "ID": "[0-9]", "ADDRESS": "[0-9]", "LINK": "[.:]", "EMAIL": "@", "PHONE": "[0-9]"}
+#: What no pattern of the kind can match without: lines without it are not searched. An ID behind a label may be all letters.
+NEEDED = {"BIRTH": "[0-9]", "ID": r"[A-Z0-9](?:[ \t./-]?[A-Z0-9]){5}", "ADDRESS": "[0-9]", "LINK": "[.:]", "EMAIL": "@", "PHONE": "[0-9]"}
+#: What no pattern at all can match without.
+REDACTABLE = r"[0-9@/]|(?i:www\.)|[A-Z][ \t./-]?[A-Z]"
 
 
 def redact(text: Column) -> Column:
-    """``text`` with personal data replaced by typed marks such as [EMAIL]."""
+    """``text`` with personal data replaced by typed marks such as [EMAIL].
+
+    No pattern goes across a line's end, so lines are searched one by one, and most have nothing to look for.
+    """
     def step(mark: str, pattern: str):
         return lambda t: F.when(t.rlike(NEEDED[mark]), F.regexp_replace(t, r"(^|[^\p{L}\p{N}])(?:" + pattern + ")", rf"$1[{mark}]")).otherwise(t)
 
-    for mark, pattern in REDACTIONS:
-        text = bind(text, step(mark, pattern))
-    return text
+    def line(t: Column) -> Column:
+        found = t
+        for mark, pattern in REDACTIONS:
+            found = bind(found, step(mark, pattern))
+        return F.when(t.rlike(REDACTABLE), found).otherwise(t)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 
 
 def head_name(text: Column) -> Column:
