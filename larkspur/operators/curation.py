@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -245,7 +246,8 @@ def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) ->
     """(id, known_id, jaccard) of whole texts alike in their token sets, each to the representatives of all classes.
 
     Texts of one token set are a class, represented by the smallest id; only classes are compared, then members follow
-    by membership. Exact prefix filter as in ``fuzzy_titles``, with the sizes and the places of a shared token as bounds.
+    by membership. Exact prefix filter as in ``fuzzy_titles``, with the sizes and the places of a shared token as bounds;
+    pairs are compared in full only if what they share of their prefixes and all that follows would be enough.
     """
     tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
     rows = cut(df.select(F.col(id_column).alias("id"), tokens.alias("t")).where(F.size("t") > 0).withColumn("set", F.sha2(F.array_join("t", " "), 256)))
@@ -255,10 +257,16 @@ def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) ->
     keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     sorted_words = words.join(order, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     prefixes = cut(sorted_words.select("rep", "n", F.posexplode(F.slice(F.col("o")["w"], 1, keep)).alias("i", "w")))
-    a, b = (prefixes.select("w", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
-    shared = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    likely = (F.col("a") < F.col("b")) & ((100 + percent) * shared >= percent * (F.col("na") + F.col("nb")))
-    pairs = a.join(b, "w").where(likely).select("a", "b").distinct()
+    # sizes that can be alike lie in one band or in two neighbouring ones, so the smaller set asks two bands of a token
+    width = max(math.log(100 / percent), 1e-6) * 1.000001
+    side = lambda x: prefixes.select("w", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.floor(F.log(F.col("n")) / width).alias("band"))
+    a, b = side("a").withColumn("band", F.explode(F.array("band", F.col("band") + 1))), side("b")
+    both_least = lambda x, y: (100 + percent) * F.least(x, y) >= percent * (F.col("na") + F.col("nb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    likely = smaller & both_least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    # all tokens shared up to the last likely one are among the likely ones, and those after it stand after it on both sides
+    shared = a.join(b, ["w", "band"]).where(likely).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    pairs = shared.where(both_least(F.col("c") + F.col("na") - F.col("ia") - 1, F.col("c") + F.col("nb") - F.col("ib") - 1)).select("a", "b")
     x, y = (classes.select(F.col("rep").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("union", F.size("ta") + F.size("tb") - F.col("common"))
     alike = both.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b", F.round(F.col("common") / F.col("union"), 4).alias("jaccard"))
