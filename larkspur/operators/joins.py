@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .windows import ranked
+from . import vectors
+from .windows import ranked, top_per_group
 
 #: Pattern tables up to this size are folded into one regular expression; larger ones are matched by their first word.
 MAX_PATTERNS = 2000
-#: Rows of a block of vectors; two blocks and their products are held at once.
-VECTOR_BLOCK = 2048
+#: Most rows and most numbers of a block of vectors, which a task holds; a block is not made smaller than this for the sake of more tasks.
+VECTOR_BLOCK, BLOCK_NUMBERS, VECTOR_LEAST = 32_768, 1 << 22, 4096
 
 
 def pattern_test(column: Column, patterns: Sequence[str]) -> Column:
@@ -122,44 +121,37 @@ def chase(pointers: DataFrame, node: str, target: str, most_rounds: int = 40) ->
     raise ValueError("a chain of pointers does not end")
 
 
+def cells_of(asked: int, rows: int, tasks: int, block: int) -> tuple[int, int]:
+    """(blocks, stripes) for ``asked`` rows against ``rows``: blocks of at most ``block`` rows, and about ``tasks`` cells in all
+    where there are rows enough. Every row is copied to one task a block, and every asked row to one a stripe."""
+    least = min(block, VECTOR_LEAST)
+    blocks = max(-(-asked // block), min(tasks, -(-asked // least)), 1)
+    return blocks, max(1, min(-(-tasks // blocks), -(-rows // least)))
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int, wanted: Column | None = None, block: int = VECTOR_BLOCK) -> DataFrame:
     """(key, near_id, score, rn): the ``k`` rows of highest cosine for every row, or every ``wanted`` one, ties by id; a row
     is not its own neighbour.
 
-    Exact, each block of rows against each: the pairs are quadratic in the rows, but a task holds two blocks at a time
-    and hands on at most ``k`` neighbours of a row from each. ``key`` must be unique; null and zero vectors have no neighbours.
+    Exact: the pairs are quadratic in the rows. A task holds one block of rows, past which the others stream, and hands on
+    at most ``k`` neighbours of a row. Of equal vectors only the first ``k`` + 1 ids can be neighbours, so copies do not add to
+    the others. ``key`` must be unique; null and zero vectors have no neighbours.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), (F.lit(True) if wanted is None else wanted).alias("asked")).where(F.col("v").isNotNull())
-    blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
-    left = rows.where("asked").select("id", "v", F.col("own").alias("a"), every).withColumnRenamed("other", "b")
-    right = rows.select("id", "v", F.col("own").alias("b"), every).withColumnRenamed("other", "a")
-
-    def in_order(x, y):
-        """Products summed in the order of the places, so that equal vectors get equal scores in all blocks."""
-        out = np.zeros(len(x))
-        for place in range(x.shape[1]):
-            out += x[:, place] * y[:, place]
-        return out
-
-    def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "near_id": [], "score": []})
-        x, y = (np.stack(f["v"].to_numpy()).astype(np.float64) for f in (a, b))
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        own, norm = in_order(x, x), in_order(y, y)
-        with np.errstate(all="ignore"):
-            near = (x @ y.T) / np.sqrt(own)[:, None] / np.sqrt(norm)[None, :]
-        near[(ids[:, None] == others[None, :]) | np.isnan(near)] = -np.inf
-        least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(x), -2.0)
-        i, j = np.nonzero(near >= np.maximum(least, -2.0)[:, None] - 1e-9)
-        score = in_order(x[i], y[j]) / np.sqrt(own[i]) / np.sqrt(norm[j])
-        order = np.lexsort((others[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return pd.DataFrame({"id": ids[i][keep], "near_id": others[j][keep], "score": score[keep]})
-
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"), (F.lit(True) if wanted is None else wanted).alias("asked")).where(F.col("v").isNotNull())
+    facts = rows.agg(F.count("*").alias("rows"), F.count_if("asked").alias("asked"), F.max(F.size("v")).alias("places")).first()
+    blocks, stripes = cells_of(facts["asked"], facts["rows"], 2 * df.sparkSession.sparkContext.defaultParallelism, min(block, max(1, BLOCK_NUMBERS // max(1, facts["places"] or 1))))
+
+    def dealt(part: DataFrame, asked: bool) -> DataFrame:
+        """Rows of the blocks to every stripe, or rows of the stripes to every block."""
+        own, others = (blocks, stripes) if asked else (stripes, blocks)
+        at, other = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        both = part.select("id", "v", at.alias("own"), other.alias("other"))
+        a, b = ("own", "other") if asked else ("other", "own")
+        return both.select((F.col(a) * stripes + F.col(b)).cast("int").alias("cell"), F.lit(asked).alias("asked"), "id", "v")
+
+    compared = dealt(top_per_group(rows, ["v"], [F.col("id")], k + 1), False)
+    cells = dealt(rows.where("asked"), True).unionByName(compared).repartitionById(blocks * stripes, "cell").sortWithinPartitions("cell", F.desc("asked"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(top, f"id {kind}, near_id {kind}, score double")
+    found = cells.mapInArrow(lambda batches: vectors.search(batches, k), f"id {kind}, near_id {kind}, score double")
     return ranked(found, ["id"], [F.col("score").desc(), F.col("near_id")]).where(F.col("rn") <= k).withColumnRenamed("id", key)
