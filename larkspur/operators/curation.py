@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
+from . import alike
 from .windows import hash_share, running_total, top_per_group
 
+#: Rows that say which texts are copies or to be read again are broadcast up to this number (about 100 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Of the cells in which whole sets are compared: pairs around one class from which they are dealt out, and tokens of all sets.
+CELL_PAIRS, CELL_TOKENS = 50_000, 500_000
+
 
 def squeezed(text: Column) -> Column:
     """White space runs as one blank, none at the ends."""
@@ -246,33 +252,69 @@ def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) ->
     """(id, known_id, jaccard) of whole texts alike in their token sets, each to the representatives of all classes.
 
     Texts of one token set are a class, represented by the smallest id; only classes are compared, then members follow
-    by membership. Exact prefix filter as in ``fuzzy_titles``, with the sizes and the places of a shared token as bounds;
-    pairs are compared in full only if what they share of their prefixes and all that follows would be enough.
+    by membership. Exact prefix filter as in ``fuzzy_titles``, on 32-bit hashes of the tokens, with the sizes and the
+    places of a shared token as bounds; parities of the sets rule out what shares a rare token by chance. Only the sets of
+    classes that still have a pair are read again, and go to the cells of pairs that compare them, not to each pair.
     """
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
-    rows = cut(df.select(F.col(id_column).alias("id"), tokens.alias("t")).where(F.size("t") > 0).withColumn("set", F.sha2(F.array_join("t", " "), 256)))
-    classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.any_value("t").alias("t")))
-    words = classes.select("rep", F.size("t").alias("n"), F.explode("t").alias("w"))
-    order = words.groupBy("w").agg(F.count("*").alias("df"))
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    sorted_words = words.join(order, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    prefixes = cut(sorted_words.select("rep", "n", F.posexplode(F.slice(F.col("o")["w"], 1, keep)).alias("i", "w")))
-    # sizes that can be alike lie in one band or in two neighbouring ones, so the smaller set asks two bands of a token
-    width = max(math.log(100 / percent), 1e-6) * 1.000001
-    side = lambda x: prefixes.select("w", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), F.floor(F.log(F.col("n")) / width).alias("band"))
-    a, b = side("a").withColumn("band", F.explode(F.array("band", F.col("band") + 1))), side("b")
-    both_least = lambda x, y: (100 + percent) * F.least(x, y) >= percent * (F.col("na") + F.col("nb"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    likely = smaller & both_least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    # all tokens shared up to the last likely one are among the likely ones, and those after it stand after it on both sides
-    shared = a.join(b, ["w", "band"]).where(likely).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    pairs = shared.where(both_least(F.col("c") + F.col("na") - F.col("ia") - 1, F.col("c") + F.col("nb") - F.col("ib") - 1)).select("a", "b")
-    x, y = (classes.select(F.col("rep").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("union", F.size("ta") + F.size("tb") - F.col("common"))
-    alike = both.where(100 * F.col("common") >= percent * F.col("union")).select("a", "b", F.round(F.col("common") / F.col("union"), 4).alias("jaccard"))
-    ways = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")))
-    members = rows.select("id", "set").join(classes.select("set", F.col("rep").alias("a")), "set")
-    return members.join(ways, "a").select(F.col("id").alias(id_column), F.col("b").alias("known_id"), "jaccard")
+    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    joined = F.array_join(F.sort_array("t"), " ")
+    digest = lambda words: F.unhex(F.sha2(words, 256))
+    texts = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    numbered = texts.select("id", tokens.alias("t"), F.monotonically_increasing_id().alias("k")).where(F.size("t") > 0)
+    rows = cut(numbered.select("id", "k", F.size("t").alias("n"), digest(joined).alias("set"), F.transform("t", lambda w: F.hash(w)).alias("h")))
+    classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.min_by("id", "k").alias("own"), F.any_value("n").alias("n")).where("rep IS NOT NULL"))
+    copies = cut(rows.select("id", "k", "set").join(classes.select("k"), "k", "left_anti"))
+    members = classes.select(F.col("own").alias("id"), "rep").union(classes.select("set", "rep").join(few(copies), "set").select("id", "rep"))
+
+    # every task ranks tokens alike, by a byte of each of a fixed number of counters
+    rank = bytearray(alike.COUNTERS)
+    for chunk, part in rows.select("h").mapInArrow(alike.counted, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(alike.ranks, "chunk int, ranks binary").collect():
+        rank[chunk * alike.CHUNK : (chunk + 1) * alike.CHUNK] = part
+    shared = df.sparkSession.sparkContext.broadcast(bytes(rank))
+    first = rows.select("k", "n", "h").mapInArrow(lambda batches: alike.prefixes(batches, shared.value, percent), "k long, n int, skip int, p array<int>, bits binary")
+    heads = cut(first.join(few(copies.select("k")), "k", "left_anti"))
+
+    # a token's place bounds the sizes of the sets that can be alike, so the smaller set asks for one band of sizes or two
+    width = max(1.5 * math.log(100 / percent), 1e-6)
+    band = lambda n: F.floor(F.log(n) / width).cast("int")
+    places = heads.select("k", "n", "skip", "p", F.posexplode("p").alias("i", "w")).select("k", "n", (F.col("skip") + F.col("i")).alias("i"), "w", F.get("p", F.col("i") - 1).alias("v"))
+    largest = F.floor((100 + percent) * (F.col("n") - F.col("i")) / percent) - F.col("n")
+    short = places.where(largest >= F.col("n")).withColumn("band", F.explode(F.sequence(band("n"), band(largest))))
+    side = lambda rows, x: rows.select(F.hash("w", "band").alias("w"), *(F.col(c).alias(c + x) for c in "kniv"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb")))
+    likely = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+    # where the tokens before are the same, too, these give the pair
+    again = F.coalesce(F.col("va") == F.col("vb"), F.lit(False))
+    pairs = side(short, "a").join(side(places.withColumn("band", band("n")), "b"), "w").where(smaller & likely & ~again).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+    bits = lambda x: heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    close = (100 + percent) * alike.differing("bitsa", "bitsb") <= (100 - percent) * (F.col("na") + F.col("nb"))
+    near = cut(pairs.join(bits("a"), "a").join(bits("b"), "b").where(close).select("a", "b"))
+
+    # pairs around one class go to one cell, so a set goes to few; a crowd is dealt out to cells by both of its sides
+    least = near.select("a", "b").union(near.select("b", "a")).groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    size = least.join(classes.select(F.col("k").alias("a"), "n"), "a").agg(F.sum("n")).first()[0] or 0
+    cells = max(df.sparkSession.sparkContext.defaultParallelism, size // CELL_TOKENS)
+    around = near.join(least, "a")
+    crowds = around.groupBy("m").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).alias("parts")).where("parts > 1")
+    dealt = lambda key, parts: F.pmod(F.xxhash64(key), parts)
+    cell = F.xxhash64(dealt("m", F.lit(cells)), dealt("a", F.coalesce("parts", F.lit(1))), dealt("b", F.coalesce("parts", F.lit(1))))
+    placed = around.join(F.broadcast(crowds), "m", "left").select(cell.alias("cell"), "a", "b")
+
+    # the sets of the classes in pairs, from texts with the id and the tokens of one
+    homes = placed.select(F.explode(F.array("a", "b")).alias("k"), "cell").groupBy("k").agg(F.collect_set("cell").alias("homes"))
+    wanted = cut(classes.select("k", F.col("rep").alias("id"), "set").join(few(cut(homes)), "k"))
+    # with a column that is not deterministic, tokens are made once a row and after the join
+    read = texts.join(few(wanted), "id").select("k", F.col("id").alias("rep"), "set", "homes", tokens.alias("t"), F.monotonically_increasing_id().alias("row"))
+    read = read.where("row >= 0").select("k", "rep", "set", "homes", joined.alias("words"), F.monotonically_increasing_id().alias("row"))
+    sets = read.where((digest(F.col("words")) == F.col("set")) & (F.col("row") >= 0)).select(F.explode("homes").alias("home"), "k", "rep", "words")
+    kind = df.schema[id_column].dataType.simpleString()
+    found = placed.groupBy("cell").cogroup(sets.groupBy("home")).applyInArrow(lambda pairs, sets: alike.compared(pairs, sets, percent), f"rep_a {kind}, rep_b {kind}, common long, total long")
+
+    way = lambda a, b: F.struct(F.col(a).alias("rep"), F.col(b).alias("known_id"))
+    ways = found.select(F.explode(F.array(way("rep_a", "rep_b"), way("rep_b", "rep_a"))).alias("way"), F.round(F.col("common") / F.col("total"), 4).alias("jaccard"))
+    ways = ways.select("way.*", "jaccard").union(classes.select("rep", "rep", F.lit(1.0)))
+    return members.join(ways, "rep").select(F.col("id").alias(id_column), "known_id", "jaccard")
 
 
 def soft_match(df: DataFrame, truth: str, guess: str) -> DataFrame:
