@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, lent
 from . import alike
 from .windows import hash_share, running_total, top_per_group
 
@@ -248,33 +249,18 @@ def fuzzy_titles(df: DataFrame, known: DataFrame, id_column: str, title: str, pe
     return found.join(right.select("known_title", F.col("set").alias("b")), "b").select(id_column, "known_title", "jaccard")
 
 
-def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) -> DataFrame:
-    """(id, known_id, jaccard) of whole texts alike in their token sets, each to the representatives of all classes.
-
-    Texts of one token set are a class, represented by the smallest id; only classes are compared, then members follow
-    by membership. Exact prefix filter as in ``fuzzy_titles``, on 32-bit hashes of the tokens, with the sizes and the
-    places of a shared token as bounds; parities of the sets rule out what shares a rare token by chance. Only the sets of
-    classes that still have a pair are read again, and go to the cells of pairs that compare them, not to each pair.
-    """
-    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    joined = F.array_join(F.sort_array("t"), " ")
-    digest = lambda words: F.unhex(F.sha2(words, 256))
-    texts = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    numbered = texts.select("id", tokens.alias("t"), F.monotonically_increasing_id().alias("k")).where(F.size("t") > 0)
-    rows = cut(numbered.select("id", "k", F.size("t").alias("n"), digest(joined).alias("set"), F.transform("t", lambda w: F.hash(w)).alias("h")))
-    classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.min_by("id", "k").alias("own"), F.any_value("n").alias("n")).where("rep IS NOT NULL"))
-    copies = cut(rows.select("id", "k", "set").join(classes.select("k"), "k", "left_anti"))
-    members = classes.select(F.col("own").alias("id"), "rep").union(classes.select("set", "rep").join(few(copies), "set").select("id", "rep"))
-
+def rarest_first(rows: DataFrame, percent: int) -> DataFrame:
+    """(k, n, skip, p, bits) of ``rows`` (k, n, h), as ``alike.prefixes`` gives them."""
     # every task ranks tokens alike, by a byte of each of a fixed number of counters
     rank = bytearray(alike.COUNTERS)
     for chunk, part in rows.select("h").mapInArrow(alike.counted, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(alike.ranks, "chunk int, ranks binary").collect():
         rank[chunk * alike.CHUNK : (chunk + 1) * alike.CHUNK] = part
-    shared = df.sparkSession.sparkContext.broadcast(bytes(rank))
-    first = rows.select("k", "n", "h").mapInArrow(lambda batches: alike.prefixes(batches, shared.value, percent), "k long, n int, skip int, p array<int>, bits binary")
-    heads = cut(first.join(few(copies.select("k")), "k", "left_anti"))
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(rank))
+    return rows.select("k", "n", "h").mapInArrow(lambda batches: alike.prefixes(batches, shared.value, percent), "k long, n int, skip int, p array<int>, bits binary")
+
 
+def likely_alike(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of ``heads`` that share a hash of their prefixes and whose sizes, places and parities allow the rest."""
     # a token's place bounds the sizes of the sets that can be alike, so the smaller set asks for one band of sizes or two
     width = max(1.5 * math.log(100 / percent), 1e-6)
     band = lambda n: F.floor(F.log(n) / width).cast("int")
@@ -289,7 +275,31 @@ def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) ->
     pairs = side(short, "a").join(side(places.withColumn("band", band("n")), "b"), "w").where(smaller & likely & ~again).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
     bits = lambda x: heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     close = (100 + percent) * alike.differing("bitsa", "bitsb") <= (100 - percent) * (F.col("na") + F.col("nb"))
-    near = cut(pairs.join(bits("a"), "a").join(bits("b"), "b").where(close).select("a", "b"))
+    return pairs.join(bits("a"), "a").join(bits("b"), "b").where(close).select("a", "b")
+
+
+def alike_texts(df: DataFrame, id_column: str, text: str, percent: int = 85) -> DataFrame:
+    """(id, known_id, jaccard) of whole texts alike in their token sets, each to the representatives of all classes.
+
+    Texts of one token set are a class, represented by the smallest id; only classes are compared, then members follow
+    by membership. Exact prefix filter as in ``fuzzy_titles``, on 32-bit hashes of the tokens, with the sizes and the
+    places of a shared token as bounds; parities of the sets rule out what shares a rare token by chance. Only the sets of
+    classes that still have a pair are read again, and go to the cells of pairs that compare them, not to each pair.
+    """
+    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    joined = F.array_join(F.sort_array("t"), " ")
+    digest = lambda words: F.unhex(F.sha2(words, 256))
+    texts = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    numbered = texts.select("id", tokens.alias("t"), F.monotonically_increasing_id().alias("k")).where(F.size("t") > 0)
+    hashed = numbered.select("id", "k", F.size("t").alias("n"), digest(joined).alias("set"), F.transform("t", lambda w: F.hash(w)).alias("h"))
+    with ExitStack() as later:
+        with lent(hashed) as rows:
+            classes = cut(rows.groupBy("set").agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.min_by("id", "k").alias("own"), F.any_value("n").alias("n")).where("rep IS NOT NULL"))
+            copies = cut(rows.select("id", "k", "set").join(classes.select("k"), "k", "left_anti"))
+            heads = later.enter_context(lent(rarest_first(rows, percent).join(few(copies.select("k")), "k", "left_anti")))
+        near = cut(likely_alike(heads, percent))
+    members = classes.select(F.col("own").alias("id"), "rep").union(classes.select("set", "rep").join(few(copies), "set").select("id", "rep"))
 
     # pairs around one class go to one cell, so a set goes to few; a crowd is dealt out to cells by both of its sides
     least = near.select("a", "b").union(near.select("b", "a")).groupBy("a").agg(F.least("a", F.min("b")).alias("m"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def lent(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder and deleted at the end of the block: for large steps that nothing reads later."""
+    spark = df.sparkSession
+    sc, path = spark.sparkContext, f"{shared_dir(spark)}/lent-{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
